@@ -12,7 +12,7 @@ def section_blocks(blocks: DataFrame) -> DataFrame:
     """Paragraph blocks with the number of the section they are in; 0 precedes the first heading."""
     paragraphs = blocks.filter("type = 'p'").select("doc_id", "block_no", "text", "heading_level")
     level = F.nullif("heading_level", F.lit(0))
-    marked = paragraphs.withColumn("level", F.least(level, F.lit(fixed.MAX_HEADING_LEVEL)))
+    marked = paragraphs.withColumn("level", F.when(level.isNotNull(), F.least(level, F.lit(fixed.MAX_HEADING_LEVEL))))
     starts = F.col("level").isNotNull().cast("bigint")
     return running(marked, ["doc_id"], ["block_no"], position_bucket("block_no"), [Total("section_no", starts)])
 

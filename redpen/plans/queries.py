@@ -472,9 +472,9 @@ def resolve_feedback(v: Views) -> DataFrame:
 @query
 def merge_feedback(v: Views) -> DataFrame:
     resolved = feedback.resolve_decisions(v.comments(), "qa-bot")
-    # What half of the reviewed reports said is already known, in other letter case.
+    # What half of the reviewed reports said is already known, in other spacing.
     reviewed = feedback.reviewed_rewrites(resolved)
-    known = reviewed.select("decision", F.upper("from_text").alias("from_text"), F.upper("to_text").alias("to_text"), (F.col("doc_id") % 2 == 0).alias("known"))
+    known = reviewed.select("decision", F.replace("from_text", F.lit(" "), F.lit("  ")).alias("from_text"), F.concat(F.lit(" "), "to_text").alias("to_text"), (F.col("doc_id") % 2 == 0).alias("known"))
     existing = known.filter("known").drop("known").distinct()
     merged = feedback.merge_rewrites(existing, reviewed)
     rules = feedback.merge_diagnostics(
