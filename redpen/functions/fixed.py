@@ -38,6 +38,12 @@ RUBRIC_AXES = ["look", "words", "tone", "information", "structure"]
 
 AI_SOURCES = ["ai", "ai_review", "llm"]
 
+# Unicode whitespace, the plain space first.
+WHITESPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: patterns ---------------------------------------------------
 
 URL = r"(?iU)(https?://|www\.)\S+"
@@ -58,6 +64,9 @@ EVIDENCE_MARKERS = [
     r"\bpoc\b", r"\bpacket capture\b", r"\bburp\b",
 ]
 
+# The texts the markers above begin with or consist of.
+EVIDENCE_WORDS = ["figure", "fig.", "screenshot", "proof of concept", "poc", "packet capture", "burp"]
+
 THREAT_LABEL = r"(?iU)\bthreat\s*level\s*[:=]?\s*(critical|high|medium|low|informational)\b"
 THREAT_WORD = r"(?iU)\b(critical|high|medium|low|informational)\b"
 SEVERITY_WORD = r"(?iU)\b(critical|high|medium|low)\b"

@@ -23,16 +23,24 @@ def words_literal(words: list[str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(fixed.WHITESPACE))
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    return F.regexp_replace(c, f"[{fixed.WHITESPACE}]+", " ")
+
+
+def collapse_stored(c: Column) -> Column:
+    """:func:`collapse` for a plain column: even texts are left alone without a regex."""
+    uneven = F.contains(c, F.lit("  "))
+    for w in fixed.WHITESPACE[1:]:
+        uneven = uneven | F.contains(c, F.lit(w))
+    return F.when(uneven, collapse(c)).otherwise(c)
 
 
 def squash(c: Column) -> Column:
     """Lower case, single spaces, no outer space: the key for comparing wording."""
-    return F.trim(collapse(F.lower(c)))
+    return F.trim(F.lower(collapse_stored(c)))
 
 
 def paragraph_texts(text: Column) -> Column:
@@ -201,8 +209,9 @@ def opens_finding(rows: Column) -> Column:
 
 def label_of(line: Column) -> Column:
     """Lower-cased label of a line that is nothing but ``Label:``, else null."""
-    label = F.regexp_extract(strip(line), r"(?U)\A([A-Za-z\s]+):\s*\z", 1)
-    return F.when(label != "", F.lower(strip(label)))
+    bare = strip(line)
+    label = F.regexp_extract(bare, r"(?U)\A([A-Za-z\s]+):\z", 1)
+    return F.when(F.endswith(bare, F.lit(":")) & (label != ""), F.lower(strip(label)))
 
 
 def field_of(label: Column) -> Column:
@@ -213,7 +222,14 @@ def field_of(label: Column) -> Column:
 
 
 def shows_evidence(line: Column) -> Column:
-    return F.lower(strip(line)).rlike("(?U)" + "|".join(fixed.EVIDENCE_MARKERS))
+    """The line has an evidence marker; plain substring tests come before the patterns."""
+    def judge(low: Column) -> Column:
+        possible = F.lit(False)
+        for word in fixed.EVIDENCE_WORDS:
+            possible = possible | F.contains(low, F.lit(word))
+        return possible & low.rlike("(?U)" + "|".join(fixed.EVIDENCE_MARKERS))
+
+    return bind(F.lower(strip(line)), judge)
 
 
 def threat_level(text: Column) -> Column:

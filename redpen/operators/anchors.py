@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import fixed, text as t
-from redpen.operators.matching import hits_by_word
+from redpen.operators.lineage import settle
+from redpen.operators.matching import hits_within
 from redpen.operators.ordered import numbered, position_bucket
 
 
@@ -70,12 +71,9 @@ def _candidates(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.select("doc_id", "seq", F.inline(F.filter(ladder, lambda c: c["needle"] != "")))
 
 
-def _needle_paragraphs(candidates: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def _needle_paragraphs(needles: DataFrame, hits: DataFrame) -> DataFrame:
     """Per report and needle the first paragraph equal to it and the first holding it."""
-    needles = candidates.select("doc_id", "needle").distinct().withColumn("phrase", F.lower("needle"))
-    lowered = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
-    hits = hits_by_word(lowered, needles, ["doc_id", "para_no"], within=["doc_id"]).select("doc_id", "para_no", "phrase")
-    found = hits.join(needles, ["doc_id", "phrase"]).join(paragraphs, ["doc_id", "para_no"])
+    found = hits.join(needles, ["doc_id", "phrase"])
 
     def first(test: Column) -> Column:
         return F.min(F.when(test, F.col("para_no")))
@@ -88,15 +86,13 @@ def _needle_paragraphs(candidates: DataFrame, paragraphs: DataFrame) -> DataFram
     )
 
 
-def _hint_overlaps(diagnostics: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Per report and hint the first paragraph that holds enough of its words.
+def _hint_probes(hints: DataFrame) -> DataFrame:
+    """Words to search for so that no paragraph with enough of a hint's words is missed.
 
-    Of n words, k must be there, so at least one of the n - k + 1 longest is; only
-    those are searched for.
+    Of n words, k must be there, so at least one of the n - k + 1 longest is.
     """
-    hints = (
-        diagnostics.filter("loc_section <> 'Document'")
-        .select("doc_id", F.explode(section_hints(F.col("loc_section"))).alias("hint"))
+    worded = (
+        hints.select("doc_id", "hint")
         .distinct()
         .withColumn("tokens", hint_tokens(F.col("hint")))
         .withColumn("needed", hint_tokens_needed(F.col("tokens")))
@@ -106,12 +102,14 @@ def _hint_overlaps(diagnostics: DataFrame, paragraphs: DataFrame) -> DataFrame:
     probes = F.array_distinct(
         F.transform(F.slice(longest, F.lit(1), F.size("tokens") - F.col("needed") + 1), lambda x: x["w"])
     )
-    probed = hints.select("doc_id", "hint", "tokens", "needed", F.explode(probes).alias("phrase"))
-    lowered = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
-    hits = hits_by_word(lowered, probed, ["doc_id", "para_no"], within=["doc_id"])
+    return worded.select("doc_id", "hint", "tokens", "needed", F.explode(probes).alias("phrase"))
+
+
+def _hint_overlaps(probes: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per report and hint the first paragraph that holds enough of its words."""
     return (
-        hits.join(probed, ["doc_id", "phrase"])
-        .filter(F.size(F.filter("tokens", lambda w: F.contains(F.col("text"), w))) >= F.col("needed"))
+        hits.join(probes, ["doc_id", "phrase"])
+        .filter(F.size(F.filter("tokens", lambda w: F.contains(F.lower("text"), w))) >= F.col("needed"))
         .groupBy("doc_id", "hint")
         .agg(F.min("para_no").alias("para_no"))
     )
@@ -124,15 +122,21 @@ def resolve_anchors(diagnostics: DataFrame, paragraphs: DataFrame) -> DataFrame:
     5 words of the hint, 6 quotes in the message, 7 the first paragraph with text.
     """
     paragraphs = paragraphs.select("doc_id", "para_no", t.strip(F.col("text")).alias("text"))
-    candidates = _candidates(diagnostics)
-    by_needle = candidates.join(_needle_paragraphs(candidates, paragraphs), ["doc_id", "needle"]).select(
+    candidates = settle(_candidates(diagnostics))
+    hints = candidates.filter("rung = 4").select("doc_id", "seq", "nth", F.col("needle").alias("hint"))
+    needles = candidates.select("doc_id", "needle").distinct().withColumn("phrase", F.lower("needle"))
+    probes = _hint_probes(hints)
+
+    wanted = needles.select("doc_id", "phrase").unionByName(probes.select("doc_id", "phrase"))
+    lowered = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
+    matches = settle(hits_within(lowered, wanted, ["doc_id", "para_no"], ["doc_id"]))
+    hits = matches.join(paragraphs, ["doc_id", "para_no"])
+
+    by_needle = candidates.join(_needle_paragraphs(needles, hits), ["doc_id", "needle"]).select(
         "doc_id", "seq", "rung", "nth", F.when(F.col("whole"), F.col("as_whole")).otherwise(F.col("as_part")).alias("para_no")
     )
-    by_words = (
-        diagnostics.filter("loc_section <> 'Document'")
-        .select("doc_id", "seq", F.posexplode(section_hints(F.col("loc_section"))).alias("nth", "hint"))
-        .join(_hint_overlaps(diagnostics, paragraphs), ["doc_id", "hint"])
-        .select("doc_id", "seq", F.lit(5).alias("rung"), "nth", "para_no")
+    by_words = hints.join(_hint_overlaps(probes, hits), ["doc_id", "hint"]).select(
+        "doc_id", "seq", F.lit(5).alias("rung"), "nth", "para_no"
     )
     best = (
         by_needle.unionByName(by_words)

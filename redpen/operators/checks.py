@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpen.functions import fixed, text as t
 from redpen.operators import structure
+from redpen.operators.lineage import settle
 from redpen.operators.matching import phrase_hits
 from redpen.operators.ordered import Latest, position_bucket, running
 
@@ -207,6 +208,7 @@ def matching_phrases(phrases: DataFrame, known: DataFrame) -> DataFrame:
 def without_ignored(rules: DataFrame, column: str, ignored: DataFrame | None) -> DataFrame:
     if ignored is None:
         return rules
+    rules = settle(rules)
     matched = matching_phrases(rules.select(F.col(column).alias("phrase")), ignored)
     return rules.join(matched.withColumnRenamed("phrase", column), column, "left_anti")
 
@@ -219,7 +221,7 @@ def deprecated_phrases(
     Phrases are counted as written; those learned by a model are lower-cased first.
     """
     kept = without_ignored(phrases.select("phrase").distinct(), "phrase", ignored)
-    wanted = kept.withColumn("shown", F.col("phrase"))
+    wanted = settle(kept.select("phrase", F.col("phrase").alias("shown")))
     if from_ai:
         wanted = wanted.withColumn("phrase", F.lower("phrase"))
     lowered = texts.select("doc_id", F.lower("text").alias("text"))
@@ -259,7 +261,7 @@ def preferred_rewrites(
     texts: DataFrame, rules: DataFrame, ignored: DataFrame | None = None, rejected: DataFrame | None = None
 ) -> DataFrame:
     """Reports that hold a rule's old wording and not its new one."""
-    usable = usable_rewrites(rules, ignored, rejected).withColumnRenamed("from_key", "phrase")
+    usable = settle(usable_rewrites(rules, ignored, rejected).withColumnRenamed("from_key", "phrase"))
     squashed = texts.select("doc_id", t.squash(F.col("text")).alias("text"))
     found = (
         phrase_hits(squashed, usable.select("phrase"), ["doc_id"])

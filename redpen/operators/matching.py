@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from redpen.functions.text import exact_count
+from redpen.operators.lineage import settle
 
-AUTOMATON_PHRASES = 20_000
-AUTOMATON_PHRASE_CHARS = 2_000
+AUTOMATON_PHRASES = 200_000
+AUTOMATON_CHARS = 4_000_000
+SMALL_GROUP_PAIRS = 1_000_000
 PIECES = [1, 2, 3, 5, 8]
 
 _RUN = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
@@ -29,11 +31,11 @@ _HITS = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.Str
 
 
 def small_phrase_list(phrases: DataFrame) -> list[str] | None:
-    """The distinct phrases if they are few and short enough to broadcast, else None."""
-    bounded = F.when(F.length("phrase") <= AUTOMATON_PHRASE_CHARS, F.col("phrase")).alias("phrase")
-    rows = phrases.select(bounded).distinct().limit(AUTOMATON_PHRASES + 1).collect()
-    found = [r["phrase"] for r in rows]
-    return None if len(found) > AUTOMATON_PHRASES or None in found else found
+    """The distinct phrases if few and short enough to send to every executor, else None."""
+    size = phrases.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).first()
+    if size["n"] > AUTOMATON_PHRASES or size["chars"] > AUTOMATON_CHARS:
+        return None
+    return [r["phrase"] for r in phrases.collect()]
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> DataFrame:
@@ -43,7 +45,7 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> DataFr
     ``phrases`` has a ``phrase`` column.  Both must already be in the same letter case.
     Result: keep, text, phrase, n.
     """
-    wanted = phrases.filter(F.length("phrase") > 0)
+    wanted = settle(phrases.select("phrase").filter(F.length("phrase") > 0).distinct())
     small = small_phrase_list(wanted)
     if small is None:
         return hits_by_word(texts, wanted, keep)
@@ -110,42 +112,74 @@ def hits_by_word(texts: DataFrame, phrases: DataFrame, keep: list[str], within:
     """Join form of :func:`phrase_hits`; ``within`` keys (part of ``keep``) must be equal too."""
     within = within or []
     rule = [*within, "phrase"]
-    phrases = phrases.select(*rule).distinct()
+    longest_text = texts.agg(F.max(F.length("text")).alias("n")).select("n").scalar()
     words = texts.select(*keep, F.explode(F.array_distinct(word_runs(F.col("text")))).alias("word"))
-    vocabulary = words.groupBy(*within, "word").agg(F.count("*").alias("texts_with"))
 
-    runs = phrases.select(*rule, word_runs(F.col("phrase")).alias("runs"))
+    runs = (
+        phrases.select(*rule)
+        .filter(F.length("phrase") <= longest_text)
+        .distinct()
+        .select(*rule, word_runs(F.col("phrase")).alias("runs"))
+    )
     inner = F.filter(F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 2, F.lit(0))), is_word)
     last = F.element_at("runs", -1)
     longest = F.array_max(F.transform("runs", lambda r: F.struct(is_word(r), F.length(r), r.alias("run"))))["run"]
     has_start = (F.size("runs") > 1) & is_word(last)
-    keyed = runs.select(
+    parts = runs.select(
         *rule,
-        inner.alias("inner"),
         F.when(F.size(inner) > 0, "whole").when(has_start, "start").otherwise("piece").alias("how"),
-        F.when(has_start, last).otherwise(longest).alias("part"),
-    ).withColumn("piece", F.substring("part", F.lit(1), _piece_length(F.col("part"))))
-
-    rarest = F.min_by("word", F.struct("texts_with", "word"))
-    whole = (
-        keyed.filter("how = 'whole'")
-        .select(*rule, F.explode(F.array_distinct("inner")).alias("word"))
-        .join(vocabulary, [*within, "word"])
-        .groupBy(*rule)
-        .agg(rarest.alias("word"))
+        F.explode(
+            F.when(F.size(inner) > 0, F.array_distinct(inner)).otherwise(F.array(F.when(has_start, last).otherwise(longest)))
+        ).alias("part"),
+    )
+    piece = F.when(F.col("how") == "whole", F.col("part")).otherwise(
+        F.substring("part", F.lit(1), _piece_length(F.col("part")))
     )
-    begins = (
-        vocabulary.select(*within, "word", F.explode(_beginnings(F.col("word"))).alias("piece"))
-        .join(keyed.filter("how = 'start'"), [*within, "piece"])
-        .filter(F.startswith("word", "part"))
+    word = F.col("word")
+    keys = F.concat(
+        F.array(F.struct(F.lit("whole").alias("how"), word.alias("piece"))),
+        F.transform(_beginnings(word), lambda p: F.struct(F.lit("start").alias("how"), p.alias("piece"))),
+        F.transform(_all_pieces(word), lambda p: F.struct(F.lit("piece").alias("how"), p.alias("piece"))),
     )
-    holds = (
-        vocabulary.select(*within, "word", F.explode(_all_pieces(F.col("word"))).alias("piece"))
-        .join(keyed.filter("how = 'piece'"), [*within, "piece"])
-        .filter(F.contains("word", "part"))
+    vocabulary = words.groupBy(*within, "word").agg(F.count("*").alias("texts_with"))
+    fitting = (
+        vocabulary.select(*within, "word", "texts_with", F.inline(keys))
+        .join(parts.withColumn("piece", piece), [*within, "how", "piece"])
+        .filter(
+            F.when(F.col("how") == "start", F.startswith("word", "part"))
+            .when(F.col("how") == "piece", F.contains("word", "part"))
+            .otherwise(True)
+        )
+    )
+    # Of the whole words of a phrase only the rarest stays; word pieces stay for every word they fit.
+    slot = F.when(F.col("how") == "whole", "").otherwise(word)
+    anchors = (
+        fitting.groupBy(*rule, slot.alias("slot"))
+        .agg(F.min_by("word", F.struct("texts_with", "word")).alias("word"))
+        .select(*rule, "word")
     )
-    anchors = whole.select(*rule, "word").unionByName(begins.select(*rule, "word")).unionByName(holds.select(*rule, "word"))
 
     candidates = words.join(anchors, [*within, "word"]).select(*keep, "phrase").distinct()
     found = candidates.join(texts.select(*keep, "text"), keep).filter(F.contains("text", "phrase"))
     return found.select(*keep, "text", "phrase", exact_count(F.col("text"), F.col("phrase")).alias("n"))
+
+
+def hits_within(texts: DataFrame, phrases: DataFrame, keep: list[str], within: list[str]) -> DataFrame:
+    """Phrases in the texts with the same ``within`` keys: keep, phrase.
+
+    A group whose texts times phrases stay within a bound is compared directly, which is
+    cheap; larger groups meet on words, so that no group is compared pair by pair.
+    """
+    wanted = phrases.select(*within, "phrase").filter(F.length("phrase") > 0).distinct()
+    sizes = texts.groupBy(*within).agg(F.count("*").alias("texts")).join(
+        wanted.groupBy(*within).agg(F.count("*").alias("phrases")), within
+    )
+    large = settle(sizes.filter(F.col("texts") * F.col("phrases") > SMALL_GROUP_PAIRS).select(*within))
+    direct = texts.join(large, within, "left_anti").join(wanted, within).filter(F.contains("text", "phrase"))
+    found = direct.select(*keep, "phrase")
+    if large.isEmpty():
+        return found
+    by_word = hits_by_word(
+        texts.join(large, within, "left_semi"), wanted.join(large, within, "left_semi"), keep, within
+    )
+    return found.unionByName(by_word.select(*keep, "phrase"))

@@ -288,14 +288,20 @@ _SENSITIVE = " union all ".join(
     for i, (name, p) in enumerate(_SECRETS)
 )
 
-_DOUBLED = r"""
-    list_bool_or(list_transform(generate_series(1, len(string_split_regex(trim(t), '\s+')) - 1), lambda i:
-      lower(regexp_extract(string_split_regex(trim(t), '\s+')[i], '[\p{L}\p{N}_]+$')) <> ''
-      and lower(regexp_extract(string_split_regex(trim(t), '\s+')[i], '[\p{L}\p{N}_]+$')) = lower(regexp_extract(string_split_regex(trim(t), '\s+')[i + 1], '^[\p{L}\p{N}_]+'))))"""
-_HYGIENE = f"""
-    select doc_id, {diag('suggestion', 'DOC-STYLE-HYGIENE-001', 'issue')}, substr(t, 1, 120) as loc_text from (
-      select doc_id, t, unnest(list_filter([case when {_DOUBLED} then 'Repeated word' end, case when contains(t, '  ') then 'Double spaces' end], lambda x: x is not null)) as issue
-      from (select doc_id, unnest(string_split(text, chr(10))) as t from v_secrets))"""
+# Each word's last run of word characters against the first run of the next word.
+_HYGIENE_ROWS = r"""
+    select *, len(list_filter(list_zip(ends[:-2], starts[2:]), lambda p: p[1] <> '' and p[1] = p[2])) > 0 as doubled from (
+      select doc_id, block_no, t, list_transform(words, lambda w: lower(regexp_extract(w, '[\p{L}\p{N}_]+$'))) as ends,
+        list_transform(words, lambda w: lower(regexp_extract(w, '^[\p{L}\p{N}_]+'))) as starts
+      from (select *, string_split_regex(trim(t), '\s+') as words from (SOURCE)))"""
+
+
+def hygiene(source: str) -> str:
+    return f"""
+    select doc_id, {diag('suggestion', 'DOC-STYLE-HYGIENE-001', 'issue')}, substr(t, 1, 120) as loc_text, block_no from (
+      select doc_id, t, block_no, unnest(list_filter([case when doubled then 'Repeated word' end, case when contains(t, '  ') then 'Double spaces' end], lambda x: x is not null)) as issue
+      from ({_HYGIENE_ROWS.replace('SOURCE', source)}))"""
+
 
 _STRUCTURE = " union all ".join(
     [f"select doc_id, {diag('warning', 'FND-STRUCT-005', repr('Missing narrative section.'))}, title as loc_finding from v_finding_facts where not list_contains(fields, 'narrative')"]
@@ -352,7 +358,7 @@ _SCAN = f"""
       union all select doc_id, severity, code, message, 2, 1, null from ({_INDEX})
       union all select doc_id, severity, code, message, 3, pos, null from ({_REPEATED.replace("select doc_id, 'warning'", "select doc_id, min(block_no) as pos, 'warning'", 1)})
       union all select doc_id, severity, code, message, 4, pattern_no * 1099511627776 + hit_no, null from ({_SENSITIVE})
-      union all select doc_id, severity, code, message, 5, block_no, null from ({_HYGIENE.replace("substr(t, 1, 120) as loc_text", "block_no").replace("select doc_id, t, unnest", "select doc_id, t, block_no, unnest").replace("select doc_id, unnest(string_split(text, chr(10))) as t from v_secrets", "select doc_id, text as t, block_no from v_blocks")})
+      union all select doc_id, severity, code, message, 5, block_no, null from ({hygiene('select doc_id, block_no, text as t from v_blocks')})
       union all select doc_id, severity, code, message, 13, cast(substr(loc_finding, 9) as bigint), null from ({_STRUCTURE})
       union all select doc_id, severity, code, message, 14, cast(substr(loc_finding, 9) as bigint), null from ({_QUALITY})
       union all select doc_id, severity, code, message, 15, cast(substr(loc_finding, 9) as bigint), null from ({finding_repeats(10, 3)})
@@ -560,7 +566,7 @@ STATEMENTS = {
     "check_index_headings": _INDEX,
     "check_repetition": _REPEATED,
     "check_sensitive": f"select doc_id, severity, code, message, evidence from ({_SENSITIVE})",
-    "check_hygiene": _HYGIENE,
+    "check_hygiene": f"select doc_id, severity, code, message, loc_text from ({hygiene('select doc_id, 0 as block_no, unnest(string_split(text, chr(10))) as t from v_secrets')})",
     "check_deprecated_ngrams": phrase_checks("DOC-STYLE-DEPRECATED-001", "Deprecated phrase found", "select phrase, phrase as shown from v_phrases where phrase <> 'les'"),
     "check_deprecated_ai": phrase_checks(
         "DOC-STYLE-DEPRECATED-AI-001", "AI-learned deprecated phrase found",
@@ -694,4 +700,25 @@ STATEMENTS = {
         from documents, (select unnest(['look', 'words', 'tone', 'information', 'structure']) as axis) where doc_id % 5 = 3""",
 }
 
-ORACLES = {name: with_views(sql) for name, sql in STATEMENTS.items()}
+# Columns that SQL would give a narrower integer type than the queries do.
+BIGINT_COLUMNS = {
+    "tracked_pairs": ["seq"],
+    "config_rules": ["pos"],
+    "section_depth": ["depth"],
+    "phrase_counts": ["n"],
+    "llm_payload": ["n_issues"],
+    "report_versions": ["major"],
+    "preferred_rewrites": ["priority"],
+    "resolve_anchors": ["rung"],
+    "llm_grounding": ["nth"],
+    "llm_counts": ["nth", "max_count"],
+    "llm_severity": ["nth"],
+}
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = ", ".join(f"cast({c} as bigint) as {c}" for c in BIGINT_COLUMNS.get(name, []))
+    return f"select * replace ({casts}) from ({sql})" if casts else sql
+
+
+ORACLES = {name: with_views(_typed(name, sql)) for name, sql in STATEMENTS.items()}

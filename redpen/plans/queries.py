@@ -17,10 +17,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+    QUERIES[build.__name__] = lambda spark, sf_dir: _wide_integers(build(Views(spark, sf_dir)))
     return build
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Integers as BIGINT, the type SQL gives counts and positions."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
+
+
 def flat(diagnostics: DataFrame, *more: str) -> DataFrame:
     return diagnostics.select("doc_id", "severity", "code", "message", *more)
 
