@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpen.functions import fixed, text as t
+from redpen.operators.lineage import settle
 from redpen.operators.ordered import Total, numbered, running
 
 # --- versions and pairs ---------------------------------------------------------------
@@ -400,5 +401,5 @@ def profile_rows(df: DataFrame, kind: str, phrase: Column, detail: Column, n: Co
         n.cast("bigint").alias("n"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("sort"),
     )
     bucket = F.struct("sort", F.substring("phrase", 1, 2).alias("start"))
-    placed = numbered(shaped, ["kind"], ["sort", "phrase", "detail"], bucket, "rank")
+    placed = numbered(settle(shaped), ["kind"], ["sort", "phrase", "detail"], bucket, "rank")
     return placed.select("kind", "rank", "phrase", "detail", "n")

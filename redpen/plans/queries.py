@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from redpen.functions import text as t
 from redpen.operators import anchors, checks, feedback, learning, review, structure
+from redpen.operators.lineage import settle
 from redpen.operators.matching import phrase_hits
 from redpen.plans import refresh, scan
 from redpen.plans.views import Views
@@ -476,7 +477,7 @@ def resolve_feedback(v: Views) -> DataFrame:
 
 @query
 def merge_feedback(v: Views) -> DataFrame:
-    resolved = feedback.resolve_decisions(v.comments(), "qa-bot")
+    resolved = settle(feedback.resolve_decisions(v.comments(), "qa-bot"))
     # What half of the reviewed reports said is already known, in other spacing.
     reviewed = feedback.reviewed_rewrites(resolved)
     known = reviewed.select("decision", F.replace("from_text", F.lit(" "), F.lit("  ")).alias("from_text"), F.concat(F.lit(" "), "to_text").alias("to_text"), (F.col("doc_id") % 2 == 0).alias("known"))
