@@ -486,6 +486,8 @@ _SUPPORT_SOURCE = r"""
         case when doc_id % 2 = 0 then 'About "' || replace(substr(text, 40, 8), '"', ' ') || '" here' else 'about ' || substr(text, 60, 60) end as message from v_texts)"""
 _EXAMPLE_SOURCE = "select doc_id, text, 'Narrative' as hint, null as quote, 'Stating the obvious: ' || substr(text, 30, 40) as message from v_texts"
 
+_REVIEWED = "select t.doc_id, substr(t.text, 1, 8000) as text, w.w from v_texts t join v_word w on w.doc_id = t.doc_id where t.doc_id % 5 <> 4"
+
 _SECTION_LINES = """
     select m.doc_id, m.section_no as match_no, x.section_no, b.block_no, b.text as line
     from v_tree m join v_tree x on x.doc_id = m.doc_id left join v_tree y on y.doc_id = x.doc_id and y.section_no = x.parent_no
@@ -693,6 +695,16 @@ STATEMENTS = {
     "llm_examples": f"""
         select doc_id, message || ' Example sentence: "' || case when length(s) > 220 then substr(s, 1, 217) || '...' else s end || '"' as message
         from (select doc_id, message, replace(sentence, chr(10), ' ') as s from ({support(_EXAMPLE_SOURCE)}))""",
+    "llm_issues": f"""
+        select doc_id, case when n >= 6 then 'error' else 'warning' end as severity, 'LLM-NARR-001' as code,
+          'Avoid using ''' || w || ''' phrasing Counts in narrative: "' || w || '"=' || n || 'x.' as message, 'Narrative' as loc_section, 'ai_review' as source
+        from (select doc_id, w, {count_of('lower(text)', 'w')} as n from ({_REVIEWED})) where n > 3
+        union all
+        select doc_id, 'suggestion', 'LLM-NARR-001', message || ' Example sentence: "' || case when length(s) > 220 then substr(s, 1, 217) || '...' else s end || '"', 'Narrative', 'ai_review'
+        from (select doc_id, message, replace(sentence, chr(10), ' ') as s from (
+          {support(f"select doc_id, text, 'Narrative' as hint, null as quote, 'Stating the obvious about ' || w as message from ({_REVIEWED})")}))
+        union all
+        select doc_id, 'warning', 'LLM-NARR-001', 'Use ''x'' instead of ''zzqq''', 'Narrative', 'ai_review' from ({_REVIEWED}) where contains(lower(text), 'zzqq')""",
     "llm_parse_failures": "select doc_id, 'warning' as severity, 'LLM-PARSE-001' as code, 'LLM returned non-JSON output for narrative review.' as message, 'Narrative' as loc_section from documents where doc_id % 5 = 4",
     "rubric_scores": """
         select doc_id, axis, case axis when 'look' then least(25, doc_id % 31) when 'structure' then 12 else 0 end as score,
