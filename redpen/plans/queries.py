@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from redpen.functions import text as t
+from redpen.functions import fixed, text as t
 from redpen.operators import anchors, checks, feedback, learning, review, structure
 from redpen.operators.lineage import settle
 from redpen.operators.matching import phrase_hits
@@ -523,18 +523,18 @@ def review_prompts(v: Views) -> DataFrame:
     pairs = _pairs(v)
     ngrams = learning.drops(learning.ngram_counts(v.texts(), pairs), 4)
     accepted = v.rewrite_rules()
-    learned = accepted.limit(0).withColumn("votes", F.lit(0))
+    learned = _learned_rewrites(v).filter("false")
     responses = v.pair_responses()
     guide = review.guidance(
         ngrams, review.with_enough_votes(review.ai_phrase_votes(responses)), learning.merge_rewrite_rules(learned, accepted),
         review.with_enough_votes(review.ai_style_votes(responses)), ignored_phrases=v.phrases().filter("phrase = 'und'"),
     )
-    return review.review_prompts(v.texts().select("doc_id", F.substring("text", 1, 8000).alias("narrative")), guide).select("doc_id", "content")
+    return review.review_prompts(v.texts().select("doc_id", F.substring("text", 1, fixed.NARRATIVE_CHARS).alias("narrative")), guide).select("doc_id", "content")
 
 
 @query
 def llm_issues(v: Views) -> DataFrame:
-    narratives = v.texts().select("doc_id", F.substring("text", 1, 8000).alias("narrative"))
+    narratives = v.texts().select("doc_id", F.substring("text", 1, fixed.NARRATIVE_CHARS).alias("narrative"))
     return flat(review.review_diagnostics(v.responses(), narratives), "loc_section", "source")
 
 
