@@ -1,3 +1,17 @@
 """DuckDB statements for the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op9_lines"] = """
+with lines as (
+  select doc_id, n, line, lower_az(line) as key
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n from documents)
+), firsts as (
+  select key, min(doc_id) as first, count(distinct doc_id) as holders from lines where length(key) >= 10 group by key
+)
+select l.doc_id, count(*) as n_lines, count(*) filter (where f.first < l.doc_id) as n_dropped,
+  sha256(coalesce(string_agg(l.line, chr(10) order by l.n) filter (where f.first is null or f.first >= l.doc_id), '')) as kept_sha256
+from lines l left join firsts f on l.key = f.key
+group by l.doc_id
+""".replace("lower_az(line)", "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+

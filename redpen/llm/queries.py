@@ -1,8 +1,10 @@
 """The registered queries of this package, one per operator."""
 
-from redpen.llm import mixing, quality
+from redpen.llm import lines, mixing, quality, secrets
 
 QUERIES = {
     "op3_mixing": mixing.op3_query,
+    "op5_secrets": secrets.op5_query,
+    "op9_lines": lines.op9_query,
     "op10_quality": quality.op10_query,
 }
