@@ -107,16 +107,14 @@ def sketches(stats: DataFrame, rules: Rules) -> DataFrame:
 def thresholds(group_sketches: DataFrame, rules: Rules) -> DataFrame:
     """lang, source with ``<measure>_low`` and ``<measure>_high`` (null: that side is open)."""
     merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
-    by_lang = group_sketches.groupBy("lang").agg(*merged)
-    by_lang = by_lang.select("lang", *(F.col(m).alias(f"{m}_l") for m in MEASURES))
-    overall = group_sketches.agg(*merged).select(*(F.col(m).alias(f"{m}_a") for m in MEASURES), F.lit(1).alias("one"))
-    g = group_sketches.withColumnRenamed("lang", "g_lang").withColumn("one", F.lit(1))
-    wide = g.join(by_lang, F.col("g_lang").eqNullSafe(F.col("lang"))).join(F.broadcast(overall), "one")
+    by_lang = group_sketches.groupBy("lang").agg(*(F.kll_merge_agg_double(m).alias(f"{m}_l") for m in MEASURES))
+    overall = {m: group_sketches.agg(F.kll_merge_agg_double(m)).scalar() for m in MEASURES}
+    wide = group_sketches.withColumnRenamed("lang", "g_lang").join(by_lang, F.col("g_lang").eqNullSafe(F.col("lang")))
     cols = [F.col("g_lang").alias("t_lang"), F.col("source").alias("t_source")]
     for m, (_, sides, slack) in MEASURES.items():
         size = F.kll_sketch_get_n_double
         pick = (
-            F.when(size(m) >= rules.least_docs, F.col(m)).when(size(f"{m}_l") >= rules.least_docs, F.col(f"{m}_l")).otherwise(F.col(f"{m}_a"))
+            F.when(size(m) >= rules.least_docs, F.col(m)).when(size(f"{m}_l") >= rules.least_docs, F.col(f"{m}_l")).otherwise(overall[m])
         )
         q1, q3 = (F.kll_sketch_get_quantile_double(pick, F.lit(r)) for r in (0.25, 0.75))
         reach = F.greatest(rules.reach * (q3 - q1), F.lit(slack))
