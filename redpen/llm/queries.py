@@ -1,9 +1,10 @@
 """The registered queries of this package, one per operator."""
 
-from redpen.llm import lines, mixing, quality, secret_scan, token_files
+from redpen.llm import lines, mixing, quality, secret_scan, substring, token_files
 
 QUERIES = {
     "op3_mixing": mixing.op3_query,
+    "op4_substring": substring.op4_query,
     "op5_secrets": secret_scan.op5_query,
     "op8_tokens": token_files.op8_query,
     "op9_lines": lines.op9_query,
