@@ -1,8 +1,9 @@
 """The registered queries of this package, one per operator."""
 
-from redpen.llm import lines, mixing, quality, secret_scan, substring, token_files
+from redpen.llm import jaccard_join, lines, mixing, quality, secret_scan, substring, token_files
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_query,
     "op3_mixing": mixing.op3_query,
     "op4_substring": substring.op4_query,
     "op5_secrets": secret_scan.op5_query,

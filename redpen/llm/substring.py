@@ -12,21 +12,18 @@ batch are combined before each shuffle, so a key gets at most one row from each
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redpen.llm import wordhash
+from redpen.llm.batches import whole_keys
 from redpen.llm.common import written
 
 LAST = (1 << 63) - 1
 #: From this many super-k-mers on, a minimiser's windows travel alone.
 HOT = 5000
-#: A bucket task sorts about this many packed bytes at a time, always whole keys.
-CHUNK_BYTES = 16 << 20
 
 
 def _sliding_min(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +91,7 @@ def _suspects(batches):
     A minimiser's leads lie next to each other; with two of them, or one that stands for several,
     it is repeated.  The first lead carries the total of all.
     """
-    for batch in _whole_keys(batches, 1, lambda b: 8 * b.num_rows):
+    for batch in whole_keys(batches, 1, lambda b: 8 * b.num_rows):
         low, n = batch.column(1).to_numpy(), batch.column(5).to_numpy()
         if not len(low):
             continue
@@ -109,27 +106,6 @@ def _suspects(batches):
         yield out.filter(keep)
 
 
-def _whole_keys(batches, key: int, weigh, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Sorted batches joined and cut so that no value of column ``key`` is in two of them."""
-    held, weight = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        weight += weigh(batch)
-        if weight < most:
-            continue
-        whole = pa.concat_batches(held)
-        keys = whole.column(key).to_numpy()
-        cut = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])
-        if cut:
-            yield whole.slice(0, cut)
-        rest = whole.slice(cut)
-        held, weight = [rest], weigh(rest)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _packed(width: int):
     """(d, tie, text, list of (at, low, hot)) to rows (key, d, tie, start, n, words); words null: all its windows are repeated."""
     def run(batches):
@@ -188,7 +164,7 @@ def _runs(d: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> p
 def _bucket(width: int):
     """Packed strings sorted by key to stretches (d, tie, start, n) of windows that start earlier elsewhere."""
     def run(batches):
-        for batch in _whole_keys(batches, 0, lambda b: b.column(5).nbytes + 28 * b.num_rows):
+        for batch in whole_keys(batches, 0, lambda b: b.column(5).nbytes + 28 * b.num_rows):
             d, tie, start, n = (batch.column(k).to_numpy() for k in range(1, 5))
             gone = batch.column(5).is_null().to_numpy(zero_copy_only=False)
             packed = batch.column(5).cast(pa.string())
