@@ -16,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm import part_enum, wordhash
+from redpen.llm import part_enum, rowmap, wordhash
 from redpen.llm.batches import whole_keys
 from redpen.llm.common import written
 
 LAST = (1 << 63) - 1
-#: Bits of the map of candidate rows that keeps other texts from being shuffled; its size is fixed.
-MAP_BITS = 1 << 23
 #: Rows of a leftover group compared at a time.
 BLOCK = 512
 #: Rows that each row of a leftover group meets before all are compared.
@@ -225,26 +223,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
 
 
-def _bitmap(nodes: DataFrame) -> bytes:
-    """A map of MAP_BITS bits with a bit for each node's hash."""
-    spot = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS)).cast("long")
-    chunks = nodes.select(spot.alias("s")).groupBy((F.col("s") / 32768).cast("long").alias("chunk")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("bits"))
-    whole = bytearray(MAP_BITS // 8)
-    for row in chunks.toLocalIterator():
-        whole[row["chunk"] * 4096 : row["chunk"] * 4096 + len(row["bits"])] = row["bits"]
-    return bytes(whole)
-
-
-def _mapped(held):
-    def run(batches):
-        for batch in batches:
-            spot = batch.column(2).to_numpy()
-            bits = np.frombuffer(held.value, np.uint8)
-            yield batch.filter(pa.array((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1)).select([0, 1])
-
-    return run
-
-
 class Join:
     """Documents of ``docs`` (doc_id, text) linked by the share of their word shingles.
 
@@ -290,9 +268,7 @@ class Join:
 
     def _candidates(self, nodes: DataFrame) -> DataFrame:
         """(node, size, sketch, text) of ``nodes``."""
-        held = self.spark.sparkContext.broadcast(_bitmap(nodes))
-        texts = self.base.select(self.node.alias("node"), "text").withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(MAP_BITS)).cast("long"))
-        texts = texts.mapInArrow(_mapped(held), f"node {NODE}, text string").dropDuplicates(["node"])
+        texts = rowmap.kept(self.base.select(self.node.alias("node"), "text"), nodes, "node").dropDuplicates(["node"])
         texts = texts.join(nodes, "node", "left_semi")
         return texts.mapInArrow(_described(self.gram, self.fold), f"node {NODE}, size int, sketch binary, text string")
 

@@ -32,7 +32,7 @@ class Runs:
 
     def _write(self, keys: DataFrame) -> str:
         name, self.made = f"{self.name}_{self.made}", self.made + 1
-        keys.select("h1", "h2").repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        keys.select("h1", "h2").repartition(self.buckets, "h1", "h2").write.option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         return name
 
     def known(self, keys: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def deduplicated(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int
     batch = sum(((F.col("d") > cut).cast("int") for cut in sorted(set(cuts))), F.lit(0))
     path = shared_folder(spark, "line-keys")
     keyed = line_keys(base, least).withColumn("batch", batch)
-    keyed.write.partitionBy("batch").parquet(path)
+    keyed.write.option("compression", "zstd").partitionBy("batch").parquet(path)
     lines = spark.read.schema(keyed.schema).parquet(path)
 
     runs, states = Runs(spark, fanout=fanout), None
