@@ -1,12 +1,13 @@
 """The registered queries of this package, one per operator."""
 
-from redpen.llm import decontaminate, jaccard_join, lines, mixing, quality, secret_scan, substring, token_files
+from redpen.llm import decontaminate, jaccard_join, lines, mixing, quality, secret_scan, substring, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_query,
     "op3_mixing": mixing.op3_query,
     "op4_substring": substring.op4_query,
     "op5_secrets": secret_scan.op5_query,
+    "op6_toxicity": toxicity.op6_query,
     "op7_decontaminate": decontaminate.op7_query,
     "op8_tokens": token_files.op8_query,
     "op9_lines": lines.op9_query,
