@@ -15,3 +15,12 @@ from lines l left join firsts f on l.key = f.key
 group by l.doc_id
 """.replace("lower_az(line)", "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+
+ORACLES["op2_warc"] = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest, coalesce(html, '') as payload from pages),
+o as (select payload, max(page_id) as owner from p where payload_bytes >= 1000 group by payload)
+select p.page_id, p.payload_bytes, p.payload_digest,
+  case when o.owner > p.page_id then 'revisit' else 'response' end as record_type,
+  case when o.owner > p.page_id then o.owner end as refers_to
+from p left join o on p.payload = o.payload
+"""

@@ -1,9 +1,10 @@
 """The registered queries of this package, one per operator."""
 
-from redpen.llm import decontaminate, jaccard_join, lines, mixing, quality, secret_scan, substring, token_files, toxicity
+from redpen.llm import decontaminate, jaccard_join, lines, mixing, quality, secret_scan, substring, token_files, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_query,
+    "op2_warc": warc.op2_query,
     "op3_mixing": mixing.op3_query,
     "op4_substring": substring.op4_query,
     "op5_secrets": secret_scan.op5_query,
