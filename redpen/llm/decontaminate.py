@@ -128,6 +128,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
     return wide.mapInArrow(_verified(least_words, least_share), "d long, tie int, item_id long, start long, length long, same_words long, item_words long")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least_share: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, without a passage of the benchmark."""
+    found = overlaps(docs, benchmark, least_words, least_share).select(F.col("d").alias("leak_d"), F.col("tie").alias("leak_tie")).distinct()
+    keyed = docs.withColumn("leak_d", F.coalesce("doc_id", F.lit(LAST))).withColumn("leak_tie", F.hash(F.coalesce("text", F.lit(""))))
+    return keyed.join(found, ["leak_d", "leak_tie"], "left_anti").select(*docs.columns)
+
+
 def op7_query(spark, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item whose passage it holds; clean documents have none."""
     from redpen.llm.common import table

@@ -313,6 +313,18 @@ def joined(docs: DataFrame, gram: int = 5, percent: int = 80, fold: bool = True)
     return out.select("doc_id", "n_shingles", F.nullif(F.coalesce("comp_d", "d"), F.lit(LAST)).alias("component_id"))
 
 
+def representatives(docs: DataFrame, gram: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the least of their component; rows without links stay.
+
+    Of rows equal in doc_id and text one stays.
+    """
+    comps = Join(docs, gram, percent, fold).classes().where("node != comp")
+    later = comps.select(F.col("node.d").alias("near_d"), F.col("node.tie").alias("near_tie"))
+    keyed = docs.withColumn("near_d", F.coalesce("doc_id", F.lit(LAST))).withColumn("near_tie", F.hash(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(later, ["near_d", "near_tie"], "left_anti").dropDuplicates(["near_d", "near_tie"])
+    return kept.select(*docs.columns)
+
+
 def op1_query(spark, sf_dir: str) -> DataFrame:
     from redpen.llm.common import table
 

@@ -103,6 +103,17 @@ def mixed(
     return chosen.select("doc_id", "row_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def resampled(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, each row as often as the mix takes it.
+
+    Rows equal in doc_id and text count as one row that is taken as often as they are together.
+    """
+    copies = mixed(docs, **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("row_key").alias("mix_key")).agg(F.sum("copies").cast("int").alias("mix_copies"))
+    keyed = docs.withColumn("mix_own", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "mix_own"])
+    joined = keyed.join(copies.where("mix_copies > 0"), (F.col("mix_own") == F.col("mix_key")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+
+
 def _edge(cells: DataFrame, name: str) -> DataFrame:
     """Per source the first ``name`` at which its words reach ``missing``, and what is missing before it."""
     run = Window.partitionBy("g_source").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)

@@ -309,6 +309,21 @@ def predicted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold."""
+    model = train(docs, labels, settings)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        decoder, openings = Decoder(model.letters), {f.removeprefix("^")[:_SHORTEST] for f in model.weights}
+        for batch in batches:
+            sums = np.array([_evidence(t or "", decoder, model.weights, openings) for t in batch.column(at).to_pylist()])
+            score = 1 / (1 + np.exp(-(sums * model.slope + model.offset)))
+            yield batch.filter(pa.array(score < settings.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redpen.llm.common import table
 
