@@ -25,8 +25,8 @@ PENALTY = 3
 
 
 def _seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
-    n = len(words) - mask[-1]
-    out = np.full(max(n, 0), np.uint64(number + 1), np.uint64)
+    n = max(len(words) - mask[-1], 0)
+    out = np.full(n, np.uint64(number + 1), np.uint64)
     for k in mask:
         out = wordhash.mix(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
     return out
