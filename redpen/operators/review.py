@@ -273,31 +273,37 @@ def with_enough_votes(votes: DataFrame, min_votes: int = 2) -> DataFrame:
 # --- prompts -----------------------------------------------------------------------------------------
 
 
-def _head(lines: DataFrame, order: list[str], bucket: Column, separator: Column) -> DataFrame:
-    """The first characters of each report's lines, joined.
+def _head(lines: DataFrame, order: list[str], bucket: Column, separator: Column, most_chars: int | None) -> DataFrame:
+    """Each report's lines joined; with ``most_chars`` only so many characters of them.
 
-    Lines that start beyond the cut are dropped before anything is put together.
+    With a limit, lines that start beyond it are dropped before anything is put together.
     """
-    placed = running(lines, ["doc_id"], order, bucket, [Total("start", F.length("line") + 1, before=True)])
-    kept = placed.filter(F.col("start") < fixed.NARRATIVE_CHARS)
+    kept = lines
+    if most_chars is not None:
+        placed = running(lines, ["doc_id"], order, bucket, [Total("start", F.length("line") + 1, before=True)])
+        kept = placed.filter(F.col("start") < most_chars)
     ordered = F.sort_array(F.collect_list(F.struct(*order, separator.alias("separator"), "line")))
     joined = F.array_join(F.transform(ordered, lambda p: F.concat(p["separator"], p["line"])), "")
-    return kept.groupBy("doc_id").agg(F.substring(joined, 2, fixed.NARRATIVE_CHARS).alias("head"))
+    return kept.groupBy("doc_id").agg((F.substring(joined, 2, most_chars) if most_chars is not None else F.substr(joined, F.lit(2))).alias("head"))
 
 
-def narratives(blocks: DataFrame, finding_fields: DataFrame, texts: DataFrame) -> DataFrame:
-    """The text to review: narrative sections, else findings' narratives, else the whole report."""
+def narratives(blocks: DataFrame, finding_fields: DataFrame, texts: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """The text to review: narrative sections, else findings' narratives, else the whole report.
+
+    The text is whole; ``most_chars`` is for callers whose model takes no more (fixed.NARRATIVE_CHARS in the tool this follows).
+    """
     sections = structure.section_text(blocks, "narrative")
     by_section = _head(
-        sections, ["match_no", "block_no"], F.struct("match_no", F.floor(F.col("block_no") / 65536).alias("b")), F.lit("\n")
+        sections, ["match_no", "block_no"], F.struct("match_no", F.floor(F.col("block_no") / 65536).alias("b")), F.lit("\n"), most_chars
     )
     first_line = finding_fields.filter("field = 'narrative'").groupBy("doc_id", "finding_no").agg(F.min("line_no").alias("first_no"))
     fields = finding_fields.filter("field = 'narrative'").join(first_line, ["doc_id", "finding_no"])
     by_finding = _head(
         fields, ["finding_no", "line_no"], F.struct("finding_no", F.floor(F.col("line_no") / 65536).alias("b")),
         F.when(F.col("line_no") == F.col("first_no"), "\n").otherwise(" "),
+        most_chars,
     )
-    whole = F.substring("text", 1, fixed.NARRATIVE_CHARS)
+    whole = F.col("text") if most_chars is None else F.substring("text", 1, most_chars)
     return (
         texts.select("doc_id", whole.alias("whole"))
         .join(by_section.withColumnRenamed("head", "a"), "doc_id", "left")

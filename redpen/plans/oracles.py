@@ -486,13 +486,17 @@ _SUPPORT_SOURCE = r"""
         case when doc_id % 2 = 0 then 'About "' || replace(substr(text, 40, 8), '"', ' ') || '" here' else 'about ' || substr(text, 60, 60) end as message from v_texts)"""
 _EXAMPLE_SOURCE = "select doc_id, text, 'Narrative' as hint, null as quote, 'Stating the obvious: ' || substr(text, 30, 40) as message from v_texts"
 
-_REVIEWED = "select t.doc_id, substr(t.text, 1, 8000) as text, w.w from v_texts t join v_word w on w.doc_id = t.doc_id where t.doc_id % 5 <> 4"
 
 _SECTION_LINES = """
     select m.doc_id, m.section_no as match_no, x.section_no, b.block_no, b.text as line
     from v_tree m join v_tree x on x.doc_id = m.doc_id left join v_tree y on y.doc_id = x.doc_id and y.section_no = x.parent_no
     join v_sections_raw b on b.doc_id = x.doc_id and b.section_no = x.section_no
     where contains(lower(m.title), '{keyword}') and m.section_no in (x.section_no, x.parent_no, y.parent_no) and (b.level is null or x.section_no <> m.section_no)"""
+_NARRATIVES = f"""
+        select t.doc_id, coalesce(nullif(a.x, ''), nullif(b.x, ''), t.text) as narrative from v_texts t
+        left join (select doc_id, string_agg(line, chr(10) order by match_no, block_no) as x from ({_SECTION_LINES.format(keyword='narrative')}) group by 1) a on a.doc_id = t.doc_id
+        left join (select doc_id, string_agg(narrative, chr(10) order by finding_no) as x from v_finding_facts where narrative is not null group by 1) b on b.doc_id = t.doc_id"""
+_REVIEWED = f"select t.doc_id, t.narrative as text, w.w from ({_NARRATIVES}) t join v_word w on w.doc_id = t.doc_id where t.doc_id % 5 <> 4"
 
 _PROFILE_SENTENCES = f"select phrase, sum(old) as old, sum(new) as new from ({_SIDE_SENTENCES}) group by phrase having sum(old) - sum(new) >= 1 and length(phrase) >= 20"
 
@@ -677,14 +681,11 @@ STATEMENTS = {
           '[' || case when d.code = 'LLM-NARR-001' then 'AI-REVIEW' else 'RULE-PATTERN' end || '][' || d.code || '][' || d.severity || '] ' || d.message as text
         from ({_ANCHORED}) a join v_diagnostics d on d.doc_id = a.doc_id and d.seq = a.seq
         left join (select doc_id, max(comment_id) as max_id from v_comments where author <> 'qa-bot' group by 1) m on m.doc_id = a.doc_id""",
-    "narratives": f"""
-        select t.doc_id, substr(coalesce(nullif(a.x, ''), nullif(b.x, ''), t.text), 1, 8000) as narrative from v_texts t
-        left join (select doc_id, string_agg(line, chr(10) order by match_no, block_no) as x from ({_SECTION_LINES.format(keyword='narrative')}) group by 1) a on a.doc_id = t.doc_id
-        left join (select doc_id, string_agg(narrative, chr(10) order by finding_no) as x from v_finding_facts where narrative is not null group by 1) b on b.doc_id = t.doc_id""",
+    "narratives": _NARRATIVES,
     "review_prompts": f"""
         select doc_id, 'Learned guidance:' || chr(10) || g.guidance || chr(10) || chr(10) || 'Rubric guidance:' || chr(10)
-          || 'Judge layout, wording, tone, information and structure.' || chr(10) || chr(10) || 'Text to review:' || chr(10) || substr(text, 1, 8000) as content
-        from v_texts, ({_GUIDE_PARTS}) g""",
+          || 'Judge layout, wording, tone, information and structure.' || chr(10) || chr(10) || 'Text to review:' || chr(10) || narrative as content
+        from ({_NARRATIVES}) n, ({_GUIDE_PARTS}) g""",
     "llm_grounding": "select doc_id, nth, nth = 0 or contains(lower(text), lower(w2)) as grounded from v_messages",
     "llm_counts": f"""
         select doc_id, nth, message || case when n > 0 then ' Counts in narrative: "' || w || '"=' || n || 'x.' else '' end as message, n as max_count

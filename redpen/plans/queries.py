@@ -529,13 +529,12 @@ def review_prompts(v: Views) -> DataFrame:
         ngrams, review.with_enough_votes(review.ai_phrase_votes(responses)), learning.merge_rewrite_rules(learned, accepted),
         review.with_enough_votes(review.ai_style_votes(responses)), ignored_phrases=v.phrases().filter("phrase = 'und'"),
     )
-    return review.review_prompts(v.texts().select("doc_id", F.substring("text", 1, fixed.NARRATIVE_CHARS).alias("narrative")), guide).select("doc_id", "content")
+    return review.review_prompts(_narratives(v), guide).select("doc_id", "content")
 
 
 @query
 def llm_issues(v: Views) -> DataFrame:
-    narratives = v.texts().select("doc_id", F.substring("text", 1, fixed.NARRATIVE_CHARS).alias("narrative"))
-    return flat(review.review_diagnostics(v.responses(), narratives), "loc_section", "source")
+    return flat(review.review_diagnostics(v.responses(), _narratives(v)), "loc_section", "source")
 
 
 @query

@@ -25,19 +25,9 @@ COLUMNS = {
 }
 
 
-KEYS = {"documents": "doc_id", "orders": "o_orderkey", "lineitem": "l_orderkey", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The columns used of one table; a table in fewer pieces than there are cores is spread by its key.
-
-    Tables of many files are read as they lie, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*COLUMNS[name])
-    cores = spark.sparkContext.defaultParallelism
-    if name in KEYS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, KEYS[name])
-    return df
+    """The columns used of one table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*COLUMNS[name])
 
 
 class Views:

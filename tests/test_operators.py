@@ -286,11 +286,12 @@ def test_configs_missing_and_odd_files(spark, tmp_path):
     assert configs.feedback_diagnostics(files).count() == 0
 
 
-def test_results_nest_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "ROWS_PER_PART", 2)
+def test_results_nest_in_parts(spark):
     found = spark.createDataFrame([(1, 1, i, "warning", "C", f"m{i}", None, None, None, None, None) for i in range(5)],
                                   "doc_id long, check_no int, pos long, severity string, code string, message string, loc_section string, loc_text string, loc_finding string, evidence string, source string")
     reports = spark.createDataFrame([(1, "a.docx"), (2, "b.docx")], "doc_id long, file_name string")
     findings = spark.createDataFrame([(1, 1)], "doc_id long, finding_no int")
-    nested = sinks.scan_results(sinks.in_order(found), findings, reports)
+    whole = sinks.scan_results(sinks.in_order(found), findings, reports)
+    assert rows(whole.select("doc_id", "part", F.size("diagnostics"), "findings_count")) == [(1, 0, 5, 1), (2, 0, 0, 0)]
+    nested = sinks.scan_results(sinks.in_order(found), findings, reports, rows_per_part=2)
     assert rows(nested.select("doc_id", "part", F.size("diagnostics"), "findings_count")) == [(1, 0, 2, 1), (1, 1, 2, 1), (1, 2, 1, 1), (2, 0, 0, 0)]
