@@ -13,10 +13,7 @@ count per pair for the refresh job.  Both are plain sums, so they merge in any o
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpen.functions import fixed, text as t
@@ -177,46 +174,63 @@ def case_rules(votes: DataFrame) -> DataFrame:
 
 # --- sentence alignment --------------------------------------------------------------------------
 
-_CHANGES = "pair_id string, kind string, seq int, old_sentence string, new_sentence string"
-
 
 def sentence_changes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sentences replaced, removed and added between the versions of a pair, in order.
 
-    A pair is one row holding both texts' sentences, so nothing is grouped in Python;
-    only the alignment itself runs there.
+    Sentences that occur once on either side are anchors where they cross no other such
+    sentence.  The stretches between anchors are compared place by place: where both sides
+    have sentences they replace each other as far as they both go, where one side has none the
+    other's are removed or added.  ``docs`` hold one row for each doc_id.
     """
-    said = docs.select("doc_id", t.sentences(F.col("text")).alias("sentences"))
-    both = (
-        pairs.select("pair_id", "old_doc", "new_doc")
-        .join(said.select(F.col("doc_id").alias("old_doc"), F.col("sentences").alias("old")), "old_doc")
-        .join(said.select(F.col("doc_id").alias("new_doc"), F.col("sentences").alias("new")), "new_doc")
-        .filter("old <> new")
-        .select("pair_id", "old", "new")
+    said = docs.select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = said.join(pair_sides(pairs), "doc_id").select("pair_id", "is_old", "pos", "sentence")
+    once = (
+        rows.groupBy("pair_id", "sentence")
+        .agg(
+            F.sum("is_old").alias("n_old"), F.count("*").alias("n"),
+            F.max(F.when(F.col("is_old") == 1, F.col("pos"))).alias("old_pos"), F.max(F.when(F.col("is_old") == 0, F.col("pos"))).alias("new_pos"),
+        )
+        .filter("n = 2 and n_old = 1")
+    )
+    along = Window.partitionBy("pair_id").orderBy("old_pos")
+    earlier = F.max("new_pos").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min("new_pos").over(along.rowsBetween(1, Window.unboundedFollowing))
+    anchors = (
+        once.withColumns({"earlier": earlier, "later": later})
+        .filter("(earlier is null or new_pos > earlier) and (later is null or new_pos < later)")
+        .select("pair_id", "sentence", F.lit(1).alias("anchor"))
+    )
+    side = Window.partitionBy("pair_id", "is_old").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        rows.join(anchors, ["pair_id", "sentence"], "left")
+        .withColumn("stretch", F.sum(F.coalesce("anchor", F.lit(0))).over(side))
+        .filter("anchor is null")
+        .withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "is_old", "stretch").orderBy("pos")))
     )
-    return both.mapInPandas(_align, _CHANGES)
-
-
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _CHANGES.split(", ")]
-    for batch in batches:
-        for pair_id, old, new in batch.itertuples(index=False):
-            changes = []
-            for tag, a, b, c, d in difflib.SequenceMatcher(a=list(old), b=list(new)).get_opcodes():
-                if tag == "replace":
-                    changes += [("replaced", o, n) for o, n in zip(old[a:b], new[c:d])]
-                elif tag == "delete":
-                    changes += [("removed", o, None) for o in old[a:b]]
-                elif tag == "insert":
-                    changes += [("added", None, n) for n in new[c:d]]
-            rows = [(pair_id, kind, seq, o, n) for seq, (kind, o, n) in enumerate(changes)]
-            yield pd.DataFrame(rows, columns=columns)
-
-
-def change_samples(changes: DataFrame, most: int = 32) -> DataFrame:
-    """The first changes of each kind in each pair, for a model to look at."""
+    at = ["pair_id", "stretch", "place"]
+    met = placed.groupBy(*at).agg(
+        F.max(F.when(F.col("is_old") == 1, F.col("sentence"))).alias("old_sentence"),
+        F.max(F.when(F.col("is_old") == 0, F.col("sentence"))).alias("new_sentence"),
+    )
+    # the first place of a stretch tells whether both sides have any
+    stretch = Window.partitionBy("pair_id", "stretch")
+    first = {k: F.count(f"{k}_sentence").over(stretch) for k in ("old", "new")}
+    kind = (
+        F.when(F.col("old_sentence").isNotNull() & F.col("new_sentence").isNotNull() & (F.col("old_sentence") != F.col("new_sentence")), "replaced")
+        .when(F.col("n_new") == 0, "removed")
+        .when(F.col("n_old") == 0, "added")
+    )
+    changed = met.withColumns({"n_old": first["old"], "n_new": first["new"]}).withColumn("kind", kind).filter("kind is not null")
+    seq = F.row_number().over(Window.partitionBy("pair_id").orderBy("stretch", "place")) - 1
+    return changed.select("pair_id", "kind", seq.alias("seq"), "old_sentence", "new_sentence")
+
+
+def change_samples(changes: DataFrame, most: int | None = None) -> DataFrame:
+    """The changes of each kind in each pair, numbered, for a model to look at; with ``most`` the first of them."""
     nth = F.row_number().over(Window.partitionBy("pair_id", "kind").orderBy("seq"))
-    return changes.withColumn("nth", nth).filter(F.col("nth") <= most)
+    numbered_ = changes.withColumn("nth", nth)
+    return numbered_ if most is None else numbered_.filter(F.col("nth") <= most)
 
 
 def rewrite_votes(changes: DataFrame) -> DataFrame:

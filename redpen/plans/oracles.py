@@ -157,16 +157,18 @@ VIEWS = {
         select *, lower(trim(regexp_extract(line, '^([A-Za-z\s]+):\s*$', 1))) as label from v_finding_lines""",
     "v_current": """
         select *, count(*) filter (label <> '') over (partition by finding_no order by line_no) as stretch from v_labels""",
+    # A stretch has one label, its first line.
     "v_fields": """
-        select l.doc_id, l.finding_no, s.field, l.line_no, l.line from v_current l
-        join (select finding_no, stretch,
-                case when label in ('narrative', 'vulnerability', 'description') then 'narrative'
-                  when label in ('business impact', 'business imapct', 'impact') then 'business_impact'
-                  when label in ('recommendations', 'recommendation', 'remediation') then 'recommendations'
-                  when label in ('evidence', 'proof', 'observation', 'poc', 'proof of concept') then 'evidence'
-                  when label in ('steps to reproduce', 'reproduction steps', 'reproduction', 'reproduce') then 'reproduction' end as field
-              from v_current where label <> '') s on s.finding_no = l.finding_no and s.stretch = l.stretch
-        where l.label = '' and s.field is not null and l.line <> ''""",
+        select * from (
+          select doc_id, finding_no,
+            case head when 'narrative' then 'narrative' when 'vulnerability' then 'narrative' when 'description' then 'narrative'
+              when 'business impact' then 'business_impact' when 'business imapct' then 'business_impact' when 'impact' then 'business_impact'
+              when 'recommendations' then 'recommendations' when 'recommendation' then 'recommendations' when 'remediation' then 'recommendations'
+              when 'evidence' then 'evidence' when 'proof' then 'evidence' when 'observation' then 'evidence' when 'poc' then 'evidence' when 'proof of concept' then 'evidence'
+              when 'steps to reproduce' then 'reproduction' when 'reproduction steps' then 'reproduction' when 'reproduction' then 'reproduction' when 'reproduce' then 'reproduction' end as field,
+            line_no, line
+          from (select *, max(label) over (partition by finding_no, stretch) as head from v_current) where label = '' and line <> '')
+        where field is not null""",
     "v_finding_facts": r"""
         select f.*, coalesce(t.chars, 0) as chars, coalesce(t.implicit, false) as implicit, coalesce(d.fields, []) as fields, d.narrative
         from v_findings f
@@ -516,6 +518,28 @@ _GUIDE_PARTS = f"""
             group by {squash('from_text')}, {squash('to_text')}) where {high_signal('from_text', 'to_text')} order by from_text, line limit 8)),
       'AI-learned style rules:' || chr(10) || '- Use active voice.') as guidance"""
 
+_PAIR_SENTENCES = f"""
+    select p.pair_id, side, pos, sentence from (
+      select pair_id, old_doc as doc_id, 'old' as side from v_pairs union all select pair_id, new_doc, 'new' from v_pairs) p
+    join (select doc_id, unnest({sents('text')}) as sentence, generate_subscripts({sents('text')}, 1) as pos from v_texts) t on t.doc_id = p.doc_id"""
+
+_CHANGES = f"""
+    select pair_id, kind, row_number() over (partition by pair_id order by stretch, place) - 1 as seq, old_sentence, new_sentence from (
+      select *, case when old_sentence <> new_sentence then 'replaced' when count(new_sentence) over s = 0 then 'removed' when count(old_sentence) over s = 0 then 'added' end as kind
+      from (select pair_id, stretch, place, max(sentence) filter (side = 'old') as old_sentence, max(sentence) filter (side = 'new') as new_sentence
+        from (select *, row_number() over (partition by pair_id, side, stretch order by pos) as place
+          from (select r.*, k.o, count(k.o) over (partition by r.pair_id, r.side order by r.pos) as stretch
+            from ({_PAIR_SENTENCES}) r left join (
+              select * from (select *, max(n) over (partition by pair_id order by o rows between unbounded preceding and 1 preceding) as earlier,
+                  min(n) over (partition by pair_id order by o rows between 1 following and unbounded following) as later
+                from (select pair_id, sentence, max(pos) filter (side = 'old') as o, max(pos) filter (side = 'new') as n
+                  from ({_PAIR_SENTENCES}) group by all having count(*) = 2 and count(*) filter (side = 'old') = 1))
+              where (earlier is null or n > earlier) and (later is null or n < later)) k on k.pair_id = r.pair_id and k.sentence = r.sentence)
+          where o is null)
+        group by all)
+      window s as (partition by pair_id, stretch))
+    where kind is not null"""
+
 STATEMENTS = {
     "ingest_blocks": """
         select doc_id, row_number() over (partition by doc_id order by para_no) - 1 as block_no, 'p' as type, text,
@@ -625,6 +649,11 @@ STATEMENTS = {
           union all select 'phrase', d.lang, '', count(*) from v_pairs p join documents d on d.doc_id = p.new_doc where family_no % 5 <> 4 group by all
           union all select 'rule', 'Use active voice.', '', count(*) from v_pairs where family_no % 5 <> 4
           union all select 'rewrite', 'the tested device unit', 'the tested unit', count(*) from v_pairs where family_no % 5 <> 4) where votes >= 2""",
+    "change_samples": f"select *, row_number() over (partition by pair_id, kind order by seq) as nth from ({_CHANGES})",
+    "aligned_rewrites": f"""
+        select arg_min(old_sentence, (pair_id, seq)) as from_text, arg_min(new_sentence, (pair_id, seq)) as to_text, count(*) as votes
+        from ({_CHANGES}) where kind = 'replaced' and {squash('old_sentence')} <> {squash('new_sentence')} and {high_signal('old_sentence', 'new_sentence')}
+        group by {squash('old_sentence')}, {squash('new_sentence')}""",
     "preferred_rewrites": f"""
         select arg_min(from_text, (priority, -votes, from_text, to_text)) as from_text, arg_min(to_text, (priority, -votes, from_text, to_text)) as to_text,
           arg_min(votes, (priority, -votes, from_text, to_text)) as votes, min(priority) as priority
