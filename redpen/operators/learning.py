@@ -13,7 +13,6 @@ count per pair for the refresh job.  Both are plain sums, so they merge in any o
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpen.functions import fixed, text as t

@@ -540,10 +540,26 @@ _CHANGES = f"""
       window s as (partition by pair_id, stretch))
     where kind is not null"""
 
+_LINES = """
+    select doc_id, unnest(string_split(text, chr(10))) as line, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as bigint) as no from documents"""
+
 STATEMENTS = {
     "ingest_blocks": """
         select doc_id, row_number() over (partition by doc_id order by para_no) - 1 as block_no, 'p' as type, text,
           case when para_no % 6 = 0 then 'heading ' || (1 + (para_no // 6) % 3) end as style_name, case when para_no % 6 = 0 then 1 + (para_no // 6) % 3 end as heading_level from v_paras""",
+    "ingest_layout": f"""
+        with l as ({_LINES})
+        select doc_id, 'style' as kind, case when no % 6 = 0 then 'H' || (1 + (no // 6) % 3) else '(no-style)' end as value, count(*) as n from l group by all
+        union all select doc_id, 'alignment', case when no % 3 = 0 then 'both' else 'default' end, count(*) from l group by all
+        union all select doc_id, 'table_columns', cast(2 + count(*) % 3 as varchar), 1 from l group by doc_id
+        union all select doc_id, 'image', 'images', count(*) from l where no % 11 = 5 group by doc_id""",
+    "ingest_breaks": f"select doc_id, no as para_no, trim(line) as text, no % 5 = 4 as has_break from ({_LINES})",
+    "ingest_comments": f"""
+        select doc_id, 0::bigint as seq, count(*) as comment_id, null::bigint as parent_id, 'lead' as author, 'ACCEPT ' || count(*) || ' lines' as text
+        from ({_LINES}) group by doc_id""",
+    "ingest_tracked": f"""
+        select doc_id, no as para_no, 0::bigint as seq, 'del' as kind, 'gone ' || no as text from ({_LINES}) where no % 7 = 3
+        union all select doc_id, no, 1, 'ins', '' from ({_LINES}) where no % 7 = 3""",
     "layout_snapshot": """
         select doc_id, 'style' as kind, style_id as value, count(*) as n from v_layout group by all
         union all select doc_id, 'alignment', alignment, count(*) from v_layout group by all

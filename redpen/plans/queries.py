@@ -40,6 +40,27 @@ def ingest_blocks(v: Views) -> DataFrame:
     return blocks.select("doc_id", "block_no", "type", "text", "style_name", "heading_level")
 
 
+@query
+def ingest_layout(v: Views) -> DataFrame:
+    parts = packages.read_packages(v.packages())
+    return packages.layout_snapshot(packages.layout_paragraphs(parts), packages.layout_tables(parts), packages.layout_images(parts))
+
+
+@query
+def ingest_breaks(v: Views) -> DataFrame:
+    return packages.breaks(packages.read_packages(v.packages()))
+
+
+@query
+def ingest_comments(v: Views) -> DataFrame:
+    return packages.comments(packages.read_packages(v.packages()))
+
+
+@query
+def ingest_tracked(v: Views) -> DataFrame:
+    return packages.tracked(packages.read_packages(v.packages()))
+
+
 @query
 def layout_snapshot(v: Views) -> DataFrame:
     layout = v.layout()

@@ -233,21 +233,34 @@ class Views:
 
 @F.pandas_udf(T.BinaryType())
 def _pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A paragraph per line, some with styles, alignment, page breaks, tracked changes or images; a table grid and a comment."""
     names = "".join(
         f'<w:style w:styleId="H{n}"><w:name w:val="heading {n}"/></w:style>' for n in (1, 2, 3)
     )
-    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    main = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    drawing = "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
+    space = f'xmlns:w="{main}" xmlns:wp="{drawing}"'
 
     def paragraph(number: int, line: str) -> str:
-        style = f'<w:pPr><w:pStyle w:val="H{1 + number // 6 % 3}"/></w:pPr>' if number % 6 == 0 else ""
-        return f'<w:p>{style}<w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>'
+        style = f'<w:pStyle w:val="H{1 + number // 6 % 3}"/>' if number % 6 == 0 else ""
+        align = '<w:jc w:val="both"/>' if number % 3 == 0 else ""
+        more = '<w:r><w:br w:type="page"/></w:r>' if number % 5 == 4 else ""
+        if number % 7 == 3:
+            more += f"<w:del><w:r><w:delText>gone {number}</w:delText></w:r></w:del><w:ins><w:r><w:t> </w:t></w:r></w:ins>"
+        if number % 11 == 5:
+            more += f'<w:r><w:drawing><wp:inline><wp:extent cx="{1000 * (number + 1)}" cy="500"/></wp:inline></w:drawing></w:r>'
+        return f'<w:p><w:pPr>{style}{align}</w:pPr><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r>{more}</w:p>'
 
     def pack(text: str) -> bytes:
-        body = "".join(paragraph(i, line) for i, line in enumerate(text.split("\n")))
+        lines = text.split("\n")
+        body = "".join(paragraph(i, line) for i, line in enumerate(lines))
+        grid = f"<w:tbl><w:tblGrid>{'<w:gridCol/>' * (2 + len(lines) % 3)}</w:tblGrid></w:tbl>"
+        comment = f'<w:comment w:id="{len(lines)}" w:author=" lead "><w:p><w:r><w:t>ACCEPT {len(lines)} lines</w:t></w:r></w:p></w:comment>'
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
-            package.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+            package.writestr("word/document.xml", f"<w:document {space}><w:body>{body}{grid}</w:body></w:document>")
             package.writestr("word/styles.xml", f"<w:styles {space}>{names}</w:styles>")
+            package.writestr("word/comments.xml", f"<w:comments {space}>{comment}</w:comments>")
         return out.getvalue()
 
     for batch in batches:
