@@ -23,13 +23,18 @@ from redpen.operators.ordered import Total, numbered, running
 
 
 def report_versions(reports: DataFrame, suffix: str = ".docx") -> DataFrame:
-    """Reports whose file name states a version, with family, major and minor."""
+    """Reports whose file name states a version, with family, major and minor.
+
+    With a column ``path``, families lie within one folder, and file_name comes with its folder.
+    """
     stem = t.file_stem(F.col("file_name"))
+    folder = F.regexp_replace("path", r"[^/]*$", "") if "path" in reports.columns else F.lit("")
     return (
         reports.filter(F.endswith(F.lower("file_name"), F.lit(suffix)) & ~F.startswith("file_name", F.lit(".")))
         .select(
-            "doc_id", "file_name",
-            t.report_family(stem).alias("family"),
+            "doc_id",
+            F.concat(folder, "file_name").alias("file_name"),
+            F.concat(folder, t.report_family(stem)).alias("family"),
             t.version_part(stem, 1).alias("major"),
             t.version_part(stem, 2).alias("minor"),
         )

@@ -295,3 +295,39 @@ def test_results_nest_in_parts(spark):
     assert rows(whole.select("doc_id", "part", F.size("diagnostics"), "findings_count")) == [(1, 0, 5, 1), (2, 0, 0, 0)]
     nested = sinks.scan_results(sinks.in_order(found), findings, reports, rows_per_part=2)
     assert rows(nested.select("doc_id", "part", F.size("diagnostics"), "findings_count")) == [(1, 0, 2, 1), (1, 1, 2, 1), (1, 2, 1, 1), (2, 0, 0, 0)]
+
+
+def test_families_stay_in_their_folder(spark):
+    names = ["/a/Report_v1.0.docx", "/a/Report_v1.1.docx", "/b/Report_v1.0.docx", "/b/Report_v1.2.docx", "/c/Report_v1.0.docx"]
+    reports = spark.createDataFrame([(i, n, n.rsplit("/", 1)[1]) for i, n in enumerate(names)], "doc_id long, path string, file_name string")
+    assert rows(learning.version_pairs(reports).select("pair_id", "old_doc", "new_doc")) == [
+        ("/a/Report_v1.0.docx::/a/Report_v1.1.docx", 0, 1), ("/b/Report_v1.0.docx::/b/Report_v1.2.docx", 2, 3),
+    ]
+
+
+def test_damaged_packages_give_error_rows(spark):
+    def package(method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.writestr("word/document.xml", "<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'><w:body>" + "<w:p/>" * 500 + "</w:body></w:document>")
+        return bytearray(out.getvalue())
+
+    broken, locked, odd = package(), package(), package()
+    broken[60:90] = b"\xff" * 30  # the packed stream
+    central = locked.rindex(b"PK\x01\x02")
+    locked[6] |= 1  # marked as encrypted, in both headers
+    locked[central + 8] |= 1
+    odd[8:10] = b"\x63\x00"  # a method nobody knows
+    odd[central + 10 : central + 12] = b"\x63\x00"
+    files = [(1, bytes(broken)), (2, bytes(locked)), (3, bytes(odd)), (4, b"no zip"), (5, None), (6, bytes(package()))]
+    parts = packages.read_packages(spark.createDataFrame(files, "doc_id long, content binary"))
+    assert [r[0] for r in rows(packages.errors(parts).select("doc_id"))] == [1, 2, 3, 4, 5]
+    assert packages.breaks(parts).filter("doc_id = 6").count() == 500
+
+
+def test_alignment_of_crossing_and_repeated_sentences(spark):
+    docs = spark.createDataFrame([(1, "A one. B two. C three. D four. D four."), (2, "B two. A one. C three. E five. D four. F six.")], "doc_id long, text string")
+    pairs = spark.createDataFrame([("p", "f", 1, 2)], "pair_id string, family string, old_doc long, new_doc long")
+    got = rows(learning.sentence_changes(docs, pairs).select("seq", "kind", "old_sentence", "new_sentence").na.fill(""))
+    # A and B cross, so neither is an anchor; C is; after it D repeats and is compared by place
+    assert got == [(0, "replaced", "A one.", "B two."), (1, "replaced", "B two.", "A one."), (2, "replaced", "D four.", "E five.")]
