@@ -255,13 +255,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return model
 
 
+#: Keeps the fit finite where the evidence separates the classes; more of it would blur the boundary.
+LEAST_SHRINKAGE = 0.002
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a lightly regularised logistic fit, by Newton steps."""
     design, beta = np.column_stack([x, np.ones_like(x)]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (y - p) - 0.1 * beta
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
+        grad = design.T @ (y - p) - LEAST_SHRINKAGE * beta
+        hess = (design * (p * (1 - p))[:, None]).T @ design + LEAST_SHRINKAGE * np.eye(2)
         step = np.linalg.solve(hess, grad)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
@@ -269,6 +273,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+#: Evidence beyond this adds nothing: a few mislabelled documents with very much of it would tilt the fit.
+ENOUGH = 10.0
+
+
 def _evidence(text: str, decoder: Decoder, weights: dict[str, float], openings: set[str]) -> float:
     """The sum over words of the largest weight of the word and its beginnings, flattened for large sums.
 
@@ -278,7 +286,7 @@ def _evidence(text: str, decoder: Decoder, weights: dict[str, float], openings:
     for w in _features(text, decoder):
         if w[:_SHORTEST] in openings:
             total += max((weights[f] for f in (w, *(f"^{w[:n]}" for n in BEGINNINGS)) if f in weights), default=0.0)
-    return min(total, 30.0)
+    return min(total, ENOUGH)
 
 
 def _summed(model: Model, text_at: int):
