@@ -2,8 +2,8 @@
 
 Rows that share a signature are candidates; exact set sizes decide.  Inside a signature's group
 every row is first compared with the group's first row only.  Groups whose rows lie in one
-component after that are done; the rows of the others are compared across components, first
-with a few rows of the group, then with all.  Sketches that bound the difference of two sets from
+component after that are done; the rows of the others are compared across components, in large
+groups first with a few rows of the group, then with all.  Sketches that bound the difference of two sets from
 below keep most of the unlike pairs from being compared in full.
 """
 
@@ -80,7 +80,7 @@ def _signed(gram: int, fold: bool, percent: int):
 
 
 def _shared(batches):
-    """Rows sorted by (twin, sig, d, tie) to (sig, node, lead) for signatures that several rows have.
+    """Rows sorted by (sig, d, tie) to (sig, node, lead) for signatures that several rows have.
 
     ``lead`` is the group's first row, which comes out with the group's second.  Twins pass.  Only
     the current group's first row is held, however many rows it has.
@@ -165,39 +165,53 @@ def _verified(gram: int, fold: bool, percent: int):
 def _across(percent: int, pivots: int | None):
     """Leftover rows sorted by sig, (sig, node, comp, size, sketch), to the likely pairs across components.
 
-    With ``pivots``, a group of more rows than that meets only so many of its rows, spread over it.
+    With ``pivots``, the rows of a group of over four times that many only meet so many of its rows, spread over it.
     """
-    def pairs_of(nodes, comp, size, sketch):
-        other = np.arange(len(comp))
-        if pivots and len(comp) > 4 * pivots:
-            # rows of as many components as there are, spread over the group
-            _, firsts = np.unique(comp, return_index=True)
-            other = np.unique(np.concatenate([firsts[: pivots // 2], np.linspace(0, len(comp) - 1, pivots // 2).astype(int)]))
-        for at in range(0, len(comp), BLOCK):
-            mine = np.arange(at, min(at + BLOCK, len(comp)))
+    def pairs_of(nodes, comp_d, comp_tie, size, sketch):
+        other = np.arange(len(size))
+        if pivots and len(size) > 4 * pivots:
+            # the first rows of some components, and rows spread over the group
+            _, firsts = np.unique(comp_d, return_index=True)
+            other = np.unique(np.concatenate([firsts[: pivots // 2], np.linspace(0, len(size) - 1, pivots // 2).astype(int)]))
+        for at in range(0, len(size), BLOCK):
+            mine = np.arange(at, min(at + BLOCK, len(size)))[:, None]
             for to in range(0, len(other), BLOCK):
-                theirs = other[to : to + BLOCK]
-                ok = _likely(size[mine][:, None], size[theirs][None, :], sketch[mine][:, None], sketch[theirs][None, :], percent)
-                ok &= comp[mine][:, None] != comp[theirs][None, :]
+                theirs = other[None, to : to + BLOCK]
+                ok = (comp_d[mine] != comp_d[theirs]) | (comp_tie[mine] != comp_tie[theirs])
+                ok &= _likely(size[mine], size[theirs], sketch[mine], sketch[theirs], percent)
                 i, j = np.nonzero(ok)
                 if len(i):
-                    x, y = mine[i], theirs[j]
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(np.minimum(x, y))), nodes.take(pa.array(np.maximum(x, y)))], ["a", "b"])
+                    x, y = mine[i, 0], theirs[0, j]
+                    yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches):
         for batch in whole_keys(batches, 0, lambda b: 100 * b.num_rows):
-            sig = batch.column(0).to_numpy()
-            sketch = _sketches(batch.column(4))
-            comp = np.unique(np.array([(c["d"], c["tie"]) for c in batch.column(2).to_pylist()], np.int64), axis=0, return_inverse=True)[1].ravel()
-            size = batch.column(3).to_numpy().astype(np.int64)
+            sig, nodes = batch.column(0).to_numpy(), batch.column(1)
+            sketch, size = _sketches(batch.column(4)), batch.column(3).to_numpy().astype(np.int64)
+            comp_d, comp_tie = (batch.column(2).field(k).to_numpy() for k in range(2))
             cuts = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
+            left, right, held = [], [], 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    yield from pairs_of(batch.column(1).slice(a, b - a), comp[a:b], size[a:b], sketch[a:b])
+                for x, y in pairs_of(nodes, comp_d[a:b], comp_tie[a:b], size[a:b], sketch[a:b]):
+                    left.append(x + a)
+                    right.append(y + a)
+                    held += len(x)
+                    if held >= 100_000:
+                        yield _paired(nodes, left, right)
+                        left, right, held = [], [], 0
+            if held:
+                yield _paired(nodes, left, right)
 
     return run
 
 
+def _paired(nodes: pa.Array, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs of a chunk, each once."""
+    pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
+    a, b = (nodes.take(pa.array(pairs[:, k])) for k in range(2))
+    return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b): the least node it is joined to by links.
 
@@ -241,7 +255,7 @@ class Join:
     def links(self) -> DataFrame:
         """(a, b) of verified links that join the same rows as all links do.  Nodes are structs (d, tie)."""
         signed = self.base.mapInArrow(_signed(self.gram, self.fold, self.percent), "sig long, d long, tie int, twin boolean, d2 long, tie2 int")
-        dealt = signed.repartition("sig", F.when(F.col("twin"), F.col("d"))).sortWithinPartitions("twin", "sig", "d", "tie")
+        dealt = signed.repartition("sig", F.when(F.col("twin"), F.col("d"))).sortWithinPartitions("sig", "d", "tie")
         shared = written(dealt.mapInArrow(_shared, f"sig long, node {NODE}, lead {NODE}, twin boolean"), "jaccard-shared")
         twins = shared.where("twin and node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         shared = shared.where("not twin")
@@ -253,7 +267,10 @@ class Join:
         for pivots in (PIVOTS, None):
             comps = written(components(found), "jaccard-components").withColumnRenamed("node", "c_node")
             rows = shared.join(comps, F.col("node") == F.col("c_node"), "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")).distinct()
-            open_ = rows.groupBy(F.col("sig").alias("o_sig")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+            open_ = rows.groupBy(F.col("sig").alias("o_sig")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+            if pivots is None:
+                # smaller groups have been compared in full
+                open_ = open_.where(F.col("n") > 4 * PIVOTS)
             left = rows.join(open_.select("o_sig"), F.col("sig") == F.col("o_sig"), "left_semi")
             facts = self.candidates.select(F.col("node").alias("f_node"), "size", "sketch")
             left = left.join(facts, F.col("node") == F.col("f_node")).select("sig", "node", "comp", "size", "sketch")
