@@ -1,5 +1,7 @@
 """DuckDB statements for the queries that SQL can express."""
 
+from redpen.llm.secret_scan import RULES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op9_lines"] = """
@@ -24,3 +26,60 @@ select p.page_id, p.payload_bytes, p.payload_digest,
   case when o.owner > p.page_id then o.owner end as refers_to
 from p left join o on p.payload = o.payload
 """
+
+_LOWER = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(string_split_regex(%s, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES["op1_jaccard_join"] = f"""
+with recursive words as (select doc_id, {_WORDS % (_LOWER % "coalesce(text, '')")} as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as shingle from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as (select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c.n >= 85 * (x.n + y.n - c.n)),
+steps as (select a, b from links union all select b, a from links),
+reach as (select a, b from steps union select r.a, s.b from reach r join steps s on r.b = s.a)
+select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, coalesce(least(d.doc_id, min(r.b)), d.doc_id) as component_id
+from documents d left join sizes s on s.doc_id = d.doc_id left join reach r on r.a = d.doc_id
+group by d.doc_id
+"""
+
+ORACLES["op4_substring"] = f"""
+with words as (select doc_id, {_WORDS % "coalesce(text, '')"} as w from documents),
+windows as (select doc_id, p, array_to_string(w[p:p + 19], ' ') as said from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from words)),
+firsts as (select said, min(row(doc_id, p)) as first_place from windows group by said having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(p, p + 20)) as place from windows join firsts using (said) where row(doc_id, p) <> first_place),
+placed as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from words),
+kept as (
+  select p.doc_id, count(g.place) as n_removed, string_agg(p.word, ' ' order by p.place) filter (g.place is null) as text
+  from placed p left join gone g on g.doc_id = p.doc_id and g.place = p.place group by p.doc_id
+)
+select w.doc_id, len(w.w) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from words w left join kept k on k.doc_id = w.doc_id
+"""
+
+
+def _spans(rank: int, rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+    select doc_id, {rank} as rank, '{rule.kind}' as kind, stop - length(hits[i]) as start, stop from (
+      select *, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(hits[1:i], lambda x: length(x))) as stop
+      from (select *, unnest(range(1, len(hits) + 1)) as i
+        from (select doc_id, string_split_regex(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}', 0) as hits, regexp_extract_all(text, '{pattern}', {rule.group}) as inside
+          from documents where regexp_matches(text, '{pattern}'))))
+    where length(inside[i]) >= {rule.least}"""
+
+
+_BASE = [r.kind for r in RULES if r.base]
+ORACLES["op5_secrets"] = f"""
+with spans as ({" union all ".join(_spans(k, r) for k, r in enumerate(RULES))}),
+labels as (select *, kind || ':' || start || ':' || stop as label from spans),
+per_doc as (
+  select doc_id, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in _BASE)},
+    string_agg(label, ',' order by start, rank) filter (kind in ({", ".join(f"'{k}'" for k in _BASE)})) as base, string_agg(label, ',' order by start, rank) as spans
+  from labels group by doc_id
+)
+select d.doc_id, {", ".join(f"coalesce(p.n_{k}, 0) as n_{k}" for k in _BASE)}, sha256(coalesce(p.base, '')) as base_sha256, coalesce(p.spans, '') as spans
+from documents d left join per_doc p on p.doc_id = d.doc_id
+"""
