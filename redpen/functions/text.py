@@ -30,17 +30,9 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, f"[{fixed.WHITESPACE}]+", " ")
 
 
-def collapse_stored(c: Column) -> Column:
-    """:func:`collapse` for a plain column: even texts are left alone without a regex."""
-    uneven = F.contains(c, F.lit("  "))
-    for w in fixed.WHITESPACE[1:]:
-        uneven = uneven | F.contains(c, F.lit(w))
-    return F.when(uneven, collapse(c)).otherwise(c)
-
-
 def squash(c: Column) -> Column:
     """Lower case, single spaces, no outer space: the key for comparing wording."""
-    return F.trim(F.lower(collapse_stored(c)))
+    return F.trim(F.lower(collapse(c)))
 
 
 def paragraph_texts(text: Column) -> Column:
