@@ -17,12 +17,13 @@ from redpen.llm.common import WHITE, words, written
 
 SYMBOLS = "#*$%&|<>"
 
-#: measure: (expression over the counts, which sides are fenced, least distance of a fence from its quartile)
+#: measure: (expression over the counts, which sides are fenced, least distance of a fence from its quartile).
+#: The least distances keep tables with a sign between cells, and short texts with a repeated head and foot line.
 MEASURES = {
     "word_length": ("word_chars / n_words", "both", 2.0),
-    "symbol_share": ("n_symbols / n_words", "upper", 0.2),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", "upper", 0.3),
-    "repeat_share": ("n_repeat_words / n_words", "upper", 0.2),
+    "symbol_share": ("n_symbols / n_words", "upper", 1.0),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", "upper", 0.5),
+    "repeat_share": ("n_repeat_words / n_words", "upper", 0.4),
 }
 
 
