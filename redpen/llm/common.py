@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,4 +40,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there: a lost executor costs no upstream work."""
     path = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``written`` wrote for these frames, once nothing reads it any more."""
+    from pyarrow import fs
+
+    for frame in frames:
+        files, path = fs.FileSystem.from_uri(frame.written_to if "://" in frame.written_to else f"file://{frame.written_to}")
+        files.delete_dir(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished jobs now.
+
+    It removes them once the driver's JVM has collected what refers to them, which may be
+    long after a large shuffle has been read.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from redpen.llm import part_enum, rowmap, wordhash
 from redpen.llm.batches import whole_keys
-from redpen.llm.common import written
+from redpen.llm.common import discard, release, written
 
 LAST = (1 << 63) - 1
 #: Rows of a leftover group compared at a time.
@@ -107,35 +107,39 @@ def _shared(batches):
 
 
 def _described(gram: int, fold: bool):
-    """(node, text) with the size and the sketch of its set."""
+    """(node, text) with the size and the sketch of its set, the latter also over the least number of cells."""
     def run(batches):
         for batch in batches:
             sizes, sketches = np.zeros(batch.num_rows, np.int32), [b""] * batch.num_rows
             for i, own in feature_sets(batch.column(1), gram, fold):
-                sizes[i], sketches[i] = len(own), part_enum.sketch(own).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sketches, pa.binary()), batch.column(1)], ["node", "size", "sketch", "text"])
+                sizes[i], sketches[i] = len(own), part_enum.sketch(own)
+            short = [part_enum.folded(k).tobytes() for k in sketches]
+            columns = [batch.column(0), pa.array(sizes), pa.array(short, pa.binary()), pa.array(sketches, pa.binary()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "short", "sketch", "text"])
 
     return run
 
 
-def _likely(a_size, b_size, a_sketch, b_sketch, percent: int) -> np.ndarray:
-    """Whether two sets may be similar enough, by their sizes and the lower bound of their difference."""
+def _possible(a_size, b_size, apart, percent: int):
+    """Whether two sets may be similar enough, by their sizes and a lower bound of their difference."""
     low, high = np.minimum(a_size, b_size), np.maximum(a_size, b_size)
-    apart = np.bitwise_count(a_sketch ^ b_sketch).sum(axis=-1)
     return (low * 100 >= high * percent) & (apart * (100 + percent) <= (100 - percent) * (low + high))
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), part_enum.SKETCH_WORDS)
+def _shorts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _prefiltered(percent: int):
-    """Pairs (a, b, sizes, sketches) to the likely (a, b)."""
+    """Pairs (a, b, sizes, short sketches, sketches) to the likely (a, b)."""
     def run(batches):
         for batch in batches:
-            sizes = [batch.column(k).to_numpy().astype(np.int64) for k in (2, 3)]
-            keep = _likely(*sizes, _sketches(batch.column(4)), _sketches(batch.column(5)), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            a, b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            keep = _possible(a, b, np.bitwise_count(_shorts(batch.column(4)) ^ _shorts(batch.column(5))).sum(axis=-1), percent)
+            batch, a, b = batch.filter(pa.array(keep)), a[keep], b[keep]
+            # whole sketches where the short ones do not tell
+            apart = np.fromiter(map(part_enum.apart, *(batch.column(k).to_pylist() for k in (6, 7))), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(_possible(a, b, apart, percent)))
 
     return run
 
@@ -163,11 +167,11 @@ def _verified(gram: int, fold: bool, percent: int):
 
 
 def _across(percent: int, pivots: int | None):
-    """Leftover rows sorted by sig, (sig, node, comp, size, sketch), to the likely pairs across components.
+    """Leftover rows sorted by sig, (sig, node, comp, size, short, sketch), to the likely pairs across components.
 
     With ``pivots``, the rows of a group of over four times that many only meet so many of its rows, spread over it.
     """
-    def pairs_of(nodes, comp_d, comp_tie, size, sketch):
+    def pairs_of(comp_d, comp_tie, size, short):
         other = np.arange(len(size))
         if pivots and len(size) > 4 * pivots:
             # the first rows of some components, and rows spread over the group
@@ -178,40 +182,43 @@ def _across(percent: int, pivots: int | None):
             for to in range(0, len(other), BLOCK):
                 theirs = other[None, to : to + BLOCK]
                 ok = (comp_d[mine] != comp_d[theirs]) | (comp_tie[mine] != comp_tie[theirs])
-                ok &= _likely(size[mine], size[theirs], sketch[mine], sketch[theirs], percent)
+                ok &= _possible(size[mine], size[theirs], np.bitwise_count(short[mine] ^ short[theirs]).sum(axis=-1), percent)
                 i, j = np.nonzero(ok)
                 if len(i):
                     x, y = mine[i, 0], theirs[0, j]
                     yield np.minimum(x, y), np.maximum(x, y)
 
+    def paired(nodes, codes, size, sketch, left, right) -> pa.RecordBatch:
+        """Each pair of nodes of a chunk once, if the whole sketches allow it; codes number the nodes in order."""
+        x, y = np.concatenate(left), np.concatenate(right)
+        _, one = np.unique(np.column_stack([codes[x], codes[y]]), axis=0, return_index=True)
+        x, y = x[one], y[one]
+        apart = np.fromiter((part_enum.apart(sketch[i].as_py(), sketch[j].as_py()) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
+        ok = _possible(size[x], size[y], apart, percent)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(x[ok])), nodes.take(pa.array(y[ok]))], ["a", "b"])
+
     def run(batches):
-        for batch in whole_keys(batches, 0, lambda b: 100 * b.num_rows):
-            sig, nodes = batch.column(0).to_numpy(), batch.column(1)
-            sketch, size = _sketches(batch.column(4)), batch.column(3).to_numpy().astype(np.int64)
+        for batch in whole_keys(batches, 0, lambda b: 100 * b.num_rows + b.column(5).nbytes):
+            sig, nodes, sketch = batch.column(0).to_numpy(), batch.column(1), batch.column(5)
+            short, size = _shorts(batch.column(4)), batch.column(3).to_numpy().astype(np.int64)
             comp_d, comp_tie = (batch.column(2).field(k).to_numpy() for k in range(2))
+            codes = np.unique(np.column_stack([nodes.field(k).to_numpy() for k in range(2)]), axis=0, return_inverse=True)[1].ravel()
             cuts = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
             left, right, held = [], [], 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for x, y in pairs_of(nodes, comp_d[a:b], comp_tie[a:b], size[a:b], sketch[a:b]):
+                for x, y in pairs_of(comp_d[a:b], comp_tie[a:b], size[a:b], short[a:b]):
                     left.append(x + a)
                     right.append(y + a)
                     held += len(x)
-                    if held >= 100_000:
-                        yield _paired(nodes, left, right)
+                    if held >= 500_000:
+                        yield paired(nodes, codes, size, sketch, left, right)
                         left, right, held = [], [], 0
             if held:
-                yield _paired(nodes, left, right)
+                yield paired(nodes, codes, size, sketch, left, right)
 
     return run
 
 
-def _paired(nodes: pa.Array, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    """Pairs of a chunk, each once."""
-    pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-    a, b = (nodes.take(pa.array(pairs[:, k])) for k in range(2))
-    return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b): the least node it is joined to by links.
 
@@ -227,6 +234,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("m_u")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
+        discard(edges, large)
         # all stars: no node has two parents, and no parent has one
         parents = small.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         chains = small.join(small.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi")
@@ -256,43 +264,51 @@ class Join:
         """(a, b) of verified links that join the same rows as all links do.  Nodes are structs (d, tie)."""
         signed = self.base.mapInArrow(_signed(self.gram, self.fold, self.percent), "sig long, d long, tie int, twin boolean, d2 long, tie2 int")
         dealt = signed.repartition("sig", F.when(F.col("twin"), F.col("d"))).sortWithinPartitions("sig", "d", "tie")
-        shared = written(dealt.mapInArrow(_shared, f"sig long, node {NODE}, lead {NODE}, twin boolean"), "jaccard-shared")
+        every = shared = written(dealt.mapInArrow(_shared, f"sig long, node {NODE}, lead {NODE}, twin boolean"), "jaccard-shared")
+        release(self.spark)
         twins = shared.where("twin and node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         shared = shared.where("not twin")
         stars = shared.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
         self.candidates = written(self._candidates(shared.select("node").distinct()), "jaccard-candidates")
+        release(self.spark)
         tried = written(self._likely(stars), "jaccard-tried")
         found = written(self._linked(tried).unionByName(twins), "jaccard-links")
+        spent = [every, self.candidates, tried]
         for pivots in (PIVOTS, None):
-            comps = written(components(found), "jaccard-components").withColumnRenamed("node", "c_node")
+            whole = written(components(found), "jaccard-components")
+            spent.append(whole)
+            comps = whole.withColumnRenamed("node", "c_node")
             rows = shared.join(comps, F.col("node") == F.col("c_node"), "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")).distinct()
             open_ = rows.groupBy(F.col("sig").alias("o_sig")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
             if pivots is None:
                 # smaller groups have been compared in full
                 open_ = open_.where(F.col("n") > 4 * PIVOTS)
             left = rows.join(open_.select("o_sig"), F.col("sig") == F.col("o_sig"), "left_semi")
-            facts = self.candidates.select(F.col("node").alias("f_node"), "size", "sketch")
-            left = left.join(facts, F.col("node") == F.col("f_node")).select("sig", "node", "comp", "size", "sketch")
+            facts = self.candidates.select(F.col("node").alias("f_node"), "size", "short", "sketch")
+            left = left.join(facts, F.col("node") == F.col("f_node")).select("sig", "node", "comp", "size", "short", "sketch")
             left = left.repartition("sig").sortWithinPartitions("sig", "node")
             pairs = left.mapInArrow(_across(self.percent, pivots), f"a {NODE}, b {NODE}").distinct()
             pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
+            spent.append(pairs)
             if pairs.isEmpty():
                 continue
             more = written(self._linked(pairs), "jaccard-links")
             tried, found = tried.unionByName(pairs), found.unionByName(more)
+        discard(*spent)
+        release(self.spark)
         return found
 
     def _candidates(self, nodes: DataFrame) -> DataFrame:
-        """(node, size, sketch, text) of ``nodes``."""
+        """(node, size, short, sketch, text) of ``nodes``."""
         texts = rowmap.kept(self.base.select(self.node.alias("node"), "text"), nodes, "node").dropDuplicates(["node"])
         texts = texts.join(nodes, "node", "left_semi")
-        return texts.mapInArrow(_described(self.gram, self.fold), f"node {NODE}, size int, sketch binary, text string")
+        return texts.mapInArrow(_described(self.gram, self.fold), f"node {NODE}, size int, short binary, sketch binary, text string")
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
-        facts = self.candidates.select("node", "size", "sketch")
-        a, b = (facts.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in ("a", "b"))
-        wide = pairs.join(b, "b").join(a, "a").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+        kinds = ("size", "short", "sketch")
+        a, b = (self.candidates.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in kinds)) for x in ("a", "b"))
+        wide = pairs.join(b, "b").join(a, "a").select("a", "b", *(f"{x}_{k}" for k in kinds for x in ("a", "b")))
         return wide.mapInArrow(_prefiltered(self.percent), f"a {NODE}, b {NODE}")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:

@@ -115,10 +115,23 @@ def signatures(features: np.ndarray, plan: Plan) -> np.ndarray:
     return mix(totals ^ mix(salt + (own << np.uint64(1)) + np.uint64(1))).ravel()
 
 
-SKETCH_WORDS = 4
+#: The least number of cells of a sketch.
+LEAST_CELLS = 256
 
 
-def sketch(features: np.ndarray) -> np.ndarray:
-    """Parities of the features over 256 cells: two sets differ in at least as many features as in cells."""
-    cells = np.bincount((mix(features) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.uint64)
+def sketch(features: np.ndarray) -> bytes:
+    """Parities of the features over at least as many cells, a power of two: sets differ in at least as many features as cells."""
+    cells = max(LEAST_CELLS, 1 << max(len(features) - 1, 0).bit_length())
+    odd = np.bincount((mix(features) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(own: bytes, cells: int = LEAST_CELLS) -> np.ndarray:
+    """The sketch of the same set over fewer cells, in 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(own, np.uint64).reshape(-1, cells // 64), axis=0)
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of features in one of two sets only."""
+    cells = 8 * min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, cells) ^ folded(b, cells)).sum())

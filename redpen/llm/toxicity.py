@@ -260,17 +260,24 @@ LEAST_SHRINKAGE = 0.002
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a lightly regularised logistic fit, by Newton steps."""
-    design, beta = np.column_stack([x, np.ones_like(x)]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+    """Slope and offset of a lightly regularised logistic fit, by Newton steps that never make it worse."""
+    design, beta = np.column_stack([x / ENOUGH, np.ones_like(x)]), np.zeros(2)
+
+    def loss(b: np.ndarray) -> float:
+        z = design @ b
+        return float(np.sum(np.logaddexp(0.0, z) - y * z) + LEAST_SHRINKAGE / 2 * b @ b)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
         grad = design.T @ (y - p) - LEAST_SHRINKAGE * beta
         hess = (design * (p * (1 - p))[:, None]).T @ design + LEAST_SHRINKAGE * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-9 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-6:
             break
-    return float(beta[0]), float(beta[1])
+    return float(beta[0] / ENOUGH), float(beta[1])
 
 
 #: Evidence beyond this adds nothing: a few mislabelled documents with very much of it would tilt the fit.
