@@ -195,6 +195,14 @@ def test_toxicity(spark, sf_dir, awkward, empty):
     assert toxicity.predicted(empty, labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clean, toxic", [([0] * 20000, [10] * 2000), ([0] * 20000 + [3] * 50, [8] * 5 + [10] * 2000), ([0] * 12291 + [4.6] * 69 + [10], [8.2] * 5 + [10] * 1280)])
+def test_fit_of_separate_classes(clean, toxic):
+    x, y = np.array(clean + toxic, float), np.repeat([0.0, 1.0], [len(clean), len(toxic)])
+    slope, offset = toxicity._logistic(x, y)
+    score = 1 / (1 + np.exp(-(slope * np.array([0, 3, 8, 10]) + offset)))
+    assert score[0] < 0.1 and score[1] < 0.3 and score[2] > 0.7 and score[3] > 0.9
+
+
 # --- 7 ---
 
 def test_decontamination(spark, sf_dir, awkward, empty):
