@@ -17,25 +17,30 @@ from redpen.llm.common import WHITE, words, written
 
 SYMBOLS = "#*$%&|<>"
 
-#: measure: (expression over the counts, which sides are fenced, least distance of a fence from its quartile).
-#: The least distances keep tables with a sign between cells, and short texts with a repeated head and foot line.
+#: measure: (count, what it is counted over, which sides are fenced, rank of the upper fence).
+#: Repeats are rare in every group and have a long honest tail, so their fence is far out; up to a fifth of a
+#: group may be symbol junk, so that fence starts at the quartile.
 MEASURES = {
-    "word_length": ("word_chars / n_words", "both", 2.0),
-    "symbol_share": ("n_symbols / n_words", "upper", 1.0),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", "upper", 0.5),
-    "repeat_share": ("n_repeat_words / n_words", "upper", 0.4),
+    "word_length": ("word_chars", "n_words", "both", 0.75),
+    "symbol_share": ("n_symbols", "n_words", "upper", 0.75),
+    "dup_line_share": ("n_dup_lines", "n_lines", "upper", 0.98),
+    "repeat_share": ("n_repeat_words", "n_words", "upper", 0.98),
 }
+#: Their quantiles are taken of each group: the measures, and how much each document has to count over.
+SKETCHED = {m: f"{count} / greatest({over}, 1)" for m, (count, over, *_) in MEASURES.items()} | {"n_words": "n_words", "n_lines": "n_lines"}
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``reach``: how many quartile distances beyond the outer quartiles a fence lies.
+    """``reach``: how many quartile distances beyond its rank a fence lies.
+    ``errors``: standard errors of a count that a document may lie beyond the fence.
     ``least_docs``: documents below which a group borrows the next wider sketch.
     ``sketch_k``: KLL accuracy (200: rank error about 1.3 %)."""
 
     least_words: int = 50
     repeat_percent: int = 50
     reach: float = 4.0
+    errors: float = 3.0
     least_docs: int = 200
     sketch_k: int = 200
 
@@ -100,29 +105,51 @@ def with_base(stats: DataFrame, rules: Rules) -> DataFrame:
 
 
 def sketches(stats: DataFrame, rules: Rules) -> DataFrame:
-    """One row per (lang, source): a KLL sketch per measure over all documents that pass the base rules."""
-    passed = stats.where("not base_failed").select("lang", "source", *(F.expr(e).cast("double").alias(m) for m, (e, *_) in MEASURES.items()))
-    return passed.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(m, F.lit(rules.sketch_k)).alias(m) for m in MEASURES))
+    """One row per (lang, source): a KLL sketch of each measure and length over all documents that pass the base rules."""
+    passed = stats.where("not base_failed").select("lang", "source", *(F.expr(e).cast("double").alias(m) for m, e in SKETCHED.items()))
+    return passed.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(m, F.lit(rules.sketch_k)).alias(m) for m in SKETCHED))
 
 
 def thresholds(group_sketches: DataFrame, rules: Rules) -> DataFrame:
-    """lang, source with ``<measure>_low`` and ``<measure>_high`` (null: that side is open)."""
-    merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
-    by_lang = group_sketches.groupBy("lang").agg(*(F.kll_merge_agg_double(m).alias(f"{m}_l") for m in MEASURES))
-    overall = {m: group_sketches.agg(F.kll_merge_agg_double(m)).scalar() for m in MEASURES}
+    """lang, source with ``<measure>_low`` and ``<measure>_high`` (null: that side is open) and the median n_words and n_lines."""
+    by_lang = group_sketches.groupBy("lang").agg(*(F.kll_merge_agg_double(m).alias(f"{m}_l") for m in SKETCHED))
+    overall = {m: group_sketches.agg(F.kll_merge_agg_double(m)).scalar() for m in SKETCHED}
     wide = group_sketches.withColumnRenamed("lang", "g_lang").join(by_lang, F.col("g_lang").eqNullSafe(F.col("lang")))
-    cols = [F.col("g_lang").alias("t_lang"), F.col("source").alias("t_source")]
-    for m, (_, sides, slack) in MEASURES.items():
+
+    def quantile(m: str, rank: float) -> Column:
         size = F.kll_sketch_get_n_double
         pick = (
             F.when(size(m) >= rules.least_docs, F.col(m)).when(size(f"{m}_l") >= rules.least_docs, F.col(f"{m}_l")).otherwise(overall[m])
         )
-        q1, q3 = (F.kll_sketch_get_quantile_double(pick, F.lit(r)) for r in (0.25, 0.75))
-        reach = F.greatest(rules.reach * (q3 - q1), F.lit(slack))
-        cols += [(q1 - reach if sides == "both" else F.lit(None).cast("double")).alias(f"{m}_low"), (q3 + reach).alias(f"{m}_high")]
+        return F.kll_sketch_get_quantile_double(pick, F.lit(rank))
+
+    cols = [F.col("g_lang").alias("t_lang"), F.col("source").alias("t_source")]
+    cols += [quantile(over, 0.5).alias(f"{over}_usual") for over in ("n_words", "n_lines")]
+    for m, (_, _, sides, rank) in MEASURES.items():
+        q1, q3 = quantile(m, 0.25), quantile(m, 0.75)
+        reach = rules.reach * (q3 - q1)
+        cols += [
+            (F.greatest(q1 - reach, F.lit(0.0)) if sides == "both" else F.lit(None).cast("double")).alias(f"{m}_low"),
+            (quantile(m, rank) + reach).alias(f"{m}_high"),
+        ]
     return wide.select(*cols)
 
 
+def inside(measure: str, rules: Rules) -> Column:
+    """Whether a document lies within the fences, but for the sampling error of its count.
+
+    A count over n words or lines is taken to vary by the square root of what the fence lets expect,
+    plus what can come up where it lets expect none.  Documents longer than usual in their group get
+    the error of a usual one: a fence is not known more closely than the documents it is taken from.
+    """
+    count, over, *_ = MEASURES[measure]
+    n = F.greatest(F.least(F.col(over).cast("double"), F.col(f"{over}_usual")), F.lit(1.0))
+    low, high, value = F.col(f"{measure}_low"), F.col(f"{measure}_high"), F.col(count) / F.greatest(F.col(over), F.lit(1))
+    under = value < low - rules.errors * F.sqrt(low / n)
+    beyond = value > high + rules.errors * F.sqrt(high / n) + rules.errors**2 / n
+    return ~F.coalesce(under, F.lit(False)) & ~F.coalesce(beyond, F.lit(False))
+
+
 def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per document its counts, ``base_failed`` and ``kept``.
 
@@ -133,11 +160,10 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     stats = written(with_base(counts(docs), rules), "quality")
     fences = thresholds(sketches(stats, rules), rules)
     joined = stats.join(fences, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    inside = F.lit(True)
-    for m, (expression, *_) in MEASURES.items():
-        value = F.expr(f"case when n_words > 0 then {expression} end")
-        inside = inside & F.coalesce(value >= F.col(f"{m}_low"), F.lit(True)) & F.coalesce(value <= F.col(f"{m}_high"), F.lit(True))
-    return joined.select(*stats.columns, (~F.col("base_failed") & inside).alias("kept"))
+    kept = ~F.col("base_failed")
+    for m in MEASURES:
+        kept = kept & inside(m, rules)
+    return joined.select(*stats.columns, kept.alias("kept"))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

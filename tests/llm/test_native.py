@@ -39,6 +39,19 @@ def test_quality_fences_follow_their_group(spark):
     assert not kept[5000] and sum(kept.values()) == 600
 
 
+def test_quality_fences_come_from_the_groups(spark):
+    def text(n, signs, size=300):
+        return " ".join(f"w{n}x{k}" + "#" * (k % 10 < signs) for k in range(size))
+
+    few = [(n, text(n, 0), "en", "a") for n in range(300)] + [(1000, text(1000, 4), "en", "a")]
+    many = [(2000 + n, text(2000 + n, n % 5), "en", "b") for n in range(300)]
+    line = "the same head line of ten words stands here again"
+    short = [(4000 + n, f"{line}\n" + text(4000 + n, 0, 58) + f"\n{line}", "en", "a") for n in range(12)]
+    docs = spark.createDataFrame(few + many + short, "doc_id long, text string, lang string, source string")
+    dropped = [r.doc_id for r in quality.judged(docs).collect() if not r.kept]
+    assert dropped == [1000]  # four signs in ten words are usual in b only; short texts of a repeat their head line
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = {r.doc_id: r for r in mixing.mixed(docs).collect()}
