@@ -3,7 +3,7 @@
 A mask picks some of the words of a stretch and ignores the others, so two stretches that differ
 only in ignored words have equal hashes.  Hashes of training texts that a fixed-size bitmap of
 the benchmark's hashes lets through are joined with these; every hit fixes an alignment
-of the text with an item, and the words along it, substitutions included, decide.
+of the text with an item, and all words along it, substitutions included, decide.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ LAST = (1 << 63) - 1
 #: Word positions that count, of each mask.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 5, 8, 9))
 SEED_BITS = 1 << 25
-#: What a differing word costs an aligned stretch, in equal words.
-PENALTY = 3
 
 
 def _seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -57,13 +55,15 @@ def _seeded(map_):
     return run
 
 
-def _best(equal: np.ndarray) -> tuple[int, int, int]:
-    """Begin, end and equal words of the stretch that has most equal words after penalties."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmin(total[: end + 1]))
-    return begin, end, int(equal[begin:end].sum())
+def _best(equal: np.ndarray, least_share: float = 0.7) -> tuple[int, int, int]:
+    """Begin, end and equal words of the stretch that has most equal words among those with ``least_share`` of them equal."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - least_share, -least_share))]).round(9)
+    same = np.concatenate([[0], np.cumsum(equal)])
+    # the first place from which a stretch to each end has the share
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(same - same[first]))
+    inside = np.flatnonzero(equal[first[end] : end]) + first[end]
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
 def _verified(least_words: int, least_share: float):
@@ -86,8 +86,9 @@ def _verified(least_words: int, least_share: float):
                     for j in range(offsets[r], offsets[r + 1]):
                         own = items[item_text[j]]
                         begin, end = max(0, -shift[j]), min(len(own), len(words) - shift[j])
-                        a, b, same = _best(words[begin + shift[j] : end + shift[j]] == own[begin:end])
+                        equal = words[begin + shift[j] : end + shift[j]] == own[begin:end]
                         needed = min(len(own), least_words, max(8, int(np.ceil(least_share * len(own)))))
+                        a, b, same = _best(equal, least_share)
                         if same >= needed:
                             best[item[j]] = max(best.get(item[j], (0,)), (same, -(begin + shift[j] + a), b - a, len(own)))
                     for k, (same, start, length, size) in best.items():
@@ -105,8 +106,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
     """(d, tie, item_id, start, length, same_words, item_words) for every row of ``docs`` that holds a passage of an item.
 
     A passage is an aligned stretch with ``least_words`` equal words, or ``least_share`` of a shorter item's words
-    (8 at least, or the whole of an item with fewer), where a differing word outweighs three equal ones.  Items need
-    the 6 words of a mask to be found.  Words are compared with A-Z as a-z.  ``d`` is the doc_id (null: the
+    (8 at least, or the whole of an item with fewer), in which ``least_share`` of the words are equal.
+    Items need the 6 words of a mask to be found.  Words are compared with A-Z as a-z.  ``d`` is the doc_id (null: the
     largest long) and ``tie`` a hash of the text, which tells rows of one doc_id apart.
     Null texts and items have no words; null item ids count as -1.  Repeated rows give one result.
     """

@@ -236,6 +236,39 @@ def test_decontamination(spark, sf_dir, awkward, empty):
     assert decontaminate.clean(docs, bench).count() == docs.count() - len({k for k, _ in got})
 
 
+def brute_passage(words, item):
+    """Whether any stretch of any alignment has enough equal words and 70 % of its words equal."""
+    needed = min(len(item), 13, max(8, -(-7 * len(item) // 10)))
+    for shift in range(-len(item), len(words)):
+        equal = [0 <= j + shift < len(words) and words[j + shift] == w for j, w in enumerate(item)]
+        for a in range(len(item)):
+            for b in range(a + needed, len(item) + 1):
+                same = sum(equal[a:b])
+                if same >= needed and 10 * same >= 7 * (b - a):
+                    return True
+    return False
+
+
+def test_decontamination_counts_whole_alignments(spark):
+    items = {1: [f"a{k}" for k in range(15)], 2: [f"b{k}" for k in range(59)], 3: [f"c{k}" for k in range(40)]}
+    swap = lambda words, at: [f"z{k}" if k in at else w for k, w in enumerate(words)]
+    texts = [
+        swap(items[1], {2, 12}),
+        swap(items[2], set(range(3, 59, 4))),
+        swap(items[2], set(range(3, 59, 4)))[10:40],
+        swap(items[2], set(range(0, 59, 2))),
+        items[3][:6] + ["x"] * 20 + items[3][26:33],
+        swap(items[1], {0, 3, 7, 10, 13}),
+        items[3][:12],
+    ]
+    texts = [["lorem"] * 9 + t + ["ipsum"] * 9 for t in texts]
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    got = {(r.d, r.item_id): r for r in decontaminate.overlaps(docs, bench).collect()}
+    assert set(got) == {(n, k) for n, t in enumerate(texts) for k, item in items.items() if brute_passage(t, item)} == {(0, 1), (1, 2), (2, 2)}
+    assert [(r.start, r.length, r.same_words) for r in (got[0, 1], got[1, 2])] == [(9, 15, 13), (9, 59, 45)]
+
+
 # --- 8 ---
 
 def _tokenizer():
