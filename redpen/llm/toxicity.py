@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
-Tokens that may be disguised (digits or signs for letters, letters drawn out, letters spaced
-apart) become lattices of what each character may stand for.  A Viterbi search over pairs of
+Tokens that may be disguised (digits or signs for letters, doubled or drawn out letters, letters
+spaced apart) become lattices of what each character may stand for.  A Viterbi search over pairs of
 letters finds the likeliest reading under a character trigram model counted over the whole
 corpus.  Words and word beginnings of the restored text are then weighed by how their document
 frequencies differ between labelled toxic and clean documents.
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,33 +98,34 @@ def letter_model(docs: DataFrame) -> np.ndarray:
 class Decoder:
     """Restores tokens; keeps those it has met, up to ``most`` of them."""
 
-    edges = string.punctuation + "«»¿¡…–—"
     same = re.compile(r"([^\w\s])\1+$|^([^\w\s])\2+")
     plain_edges = re.compile(r"^[\"'(\[{,.;:?]+|[\"')\]},.;:?!]+$")
-    drawn = re.compile(r"([^\W\d_])\1\1")
-    spaced = re.compile(r"(?<!\S)[^\s.\-_]([\s.\-_])[^\s.\-_](?:\1[^\s.\-_])+(?!\S)")
+    doubled = re.compile(r"([^\W\d_])\1")
+    spaced = re.compile(r"(?<!\S)[^\s.\-_](?:[\s.\-_]+[^\s.\-_]){2,}(?![^\s.,;:!?\-_])")
 
     def __init__(self, model: np.ndarray, most: int = 300_000):
         self.model = model.tolist()
         self.most, self.met = most, {}
 
-    def suspicious(self, token: str) -> str | None:
-        """The part of a token that may be a disguised word."""
+    def parts(self, token: str) -> set[str]:
+        """The parts of a token that may be a disguised word: with and without signs that may be punctuation."""
         bare = self.plain_edges.sub("", self.same.sub("", token))
-        if not bare or bare.isdigit():
-            return None
-        if bare.isalpha():
-            return bare if self.drawn.search(bare) else None
-        return bare if any(c.isalpha() for c in bare) else None
+        full = token.strip(_OUTER)
+        return {x for x in (bare, full, full.rstrip("!")) if x and (not x.isalpha() or self.doubled.search(x))}
 
-    def word(self, token: str) -> str:
+    def readings(self, token: str) -> tuple[str, ...]:
+        """What a token may say besides its plain letters."""
         found = self.met.get(token)
         if found is None:
             if len(self.met) >= self.most:
                 self.met.clear()
-            found = self.met[token] = self._viterbi(token)
+            found = self.met[token] = tuple({w for x in self.parts(token) if (w := self._viterbi(x))})
         return found
 
+    def word(self, letters: str) -> str:
+        """The likeliest reading of letters that stood apart."""
+        return self._viterbi(letters)
+
     def _choices(self, token: str) -> list[list[tuple[str, float]]]:
         out, k = [], 0
         while k < len(token):
@@ -163,21 +163,19 @@ class Decoder:
 
 
 #: Signs that are punctuation at the ends of a token.
-_OUTER = ".,;:?\"'()[]{}"
+_OUTER = ".,;:?\"')[]{}"
 _WORD = re.compile(r"[^\W\d_]+")
+_APART = re.compile(r"[\s.\-_]+")
 
 
 def _features(text: str, decoder: Decoder) -> set[str]:
     """Words and word beginnings of a text and of its restored tokens."""
     low = text.lower()
     words = set(_WORD.findall(low))
-    drawn = decoder.drawn.search(low) is not None
     for token in set(low.split()):
-        bare = token.strip(_OUTER)
-        if (drawn or not bare.isalpha()) and (part := decoder.suspicious(token)):
-            words.add(decoder.word(part))
+        words.update(decoder.readings(token))
     for run in decoder.spaced.finditer(low):
-        words.add(decoder.word(re.sub(r"[\s.\-_]+", "", run[0])))
+        words.add(decoder.word(_APART.sub("", run[0])))
     return words
 
 

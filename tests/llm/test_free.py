@@ -195,6 +195,18 @@ def test_toxicity(spark, sf_dir, awkward, empty):
     assert toxicity.predicted(empty, labels.limit(0)).count() == 0
 
 
+def test_toxicity_of_other_disguises(spark):
+    rnd = random.Random(7)
+    plain = ["river", "stone", "garden", "winter", "letter", "window", "orange", "market", "silver", "summer"]
+    rows = [(n, " ".join([rnd.choice(plain) for _ in range(30)] + [rnd.choice(["idiot", "stupid", "ass"])] * (n % 4 == 0)), int(n % 4 == 0)) for n in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    disguised = ["river 455 stone", "the @55 came", "an a$$ here", "so stuupid now", "an idiiot, then", "you i  d  i  o  t now", "you i. d. i. o. t. Then", "what an i - d - i - o - t"]
+    clean = ["letter, summer!! winter", "numbers 10, 2020 and 1.500", "a  b  c of the garden", "$$ and !!! and --", "river@stone.market"]
+    scores = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame([*enumerate(disguised + clean)], "doc_id long, text string"), model).collect()}
+    assert [t for k, t in enumerate(disguised + clean) if scores[k] >= 0.7] == disguised
+
+
 @pytest.mark.parametrize("clean, toxic", [([0] * 20000, [10] * 2000), ([0] * 20000 + [3] * 50, [8] * 5 + [10] * 2000), ([0] * 12291 + [4.6] * 69 + [10], [8.2] * 5 + [10] * 1280)])
 def test_fit_of_separate_classes(clean, toxic):
     x, y = np.array(clean + toxic, float), np.repeat([0.0, 1.0], [len(clean), len(toxic)])
