@@ -1,8 +1,8 @@
 """Quality rules whose thresholds adapt to each language and source.
 
 Per document a few counts are taken inside its row.  Each (lang, source) gets one
-mergeable KLL quantile sketch per measure; a group with too few documents uses the
-sketches of its language merged, and a language with too few the merge of all.
+mergeable KLL quantile sketch per measure; the fewer documents a group has, the more its
+quantiles are drawn to those of its language, and those of a language to those of all.
 The fences taken from the sketches are joined back and filter the documents.
 """
 
@@ -34,14 +34,14 @@ SKETCHED = {m: f"{count} / greatest({over}, 1)" for m, (count, over, *_) in MEAS
 class Rules:
     """``reach``: how many quartile distances beyond its rank a fence lies.
     ``errors``: standard errors of a count that a document may lie beyond the fence.
-    ``least_docs``: documents below which a group borrows the next wider sketch.
+    ``borrowed``: documents of the next wider sketch that count with a group's own.
     ``sketch_k``: KLL accuracy (200: rank error about 1.3 %)."""
 
     least_words: int = 50
     repeat_percent: int = 50
     reach: float = 4.0
     errors: float = 3.0
-    least_docs: int = 200
+    borrowed: int = 20
     sketch_k: int = 200
 
 
@@ -117,11 +117,12 @@ def thresholds(group_sketches: DataFrame, rules: Rules) -> DataFrame:
     wide = group_sketches.withColumnRenamed("lang", "g_lang").join(by_lang, F.col("g_lang").eqNullSafe(F.col("lang")))
 
     def quantile(m: str, rank: float) -> Column:
-        size = F.kll_sketch_get_n_double
-        pick = (
-            F.when(size(m) >= rules.least_docs, F.col(m)).when(size(f"{m}_l") >= rules.least_docs, F.col(f"{m}_l")).otherwise(overall[m])
-        )
-        return F.kll_sketch_get_quantile_double(pick, F.lit(rank))
+        """The group's quantile, drawn to that of its language, and this to that of all, as if by ``borrowed`` documents."""
+        own, lang = (F.kll_sketch_get_n_double(x) for x in (m, f"{m}_l"))
+        value = F.kll_sketch_get_quantile_double(overall[m], F.lit(rank))
+        for n, x in ((lang, m + "_l"), (own, m)):
+            value = (n * F.kll_sketch_get_quantile_double(x, F.lit(rank)) + rules.borrowed * value) / (n + rules.borrowed)
+        return value
 
     cols = [F.col("g_lang").alias("t_lang"), F.col("source").alias("t_source")]
     cols += [quantile(over, 0.5).alias(f"{over}_usual") for over in ("n_words", "n_lines")]

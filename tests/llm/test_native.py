@@ -52,6 +52,17 @@ def test_quality_fences_come_from_the_groups(spark):
     assert dropped == [1000]  # four signs in ten words are usual in b only; short texts of a repeat their head line
 
 
+def test_quality_fences_move_little_with_one_document(spark):
+    def high(size):
+        stats = [("en", s, False, 100, 500, n, 10, 0, 0) for s, k, n in (("a", size, 40), ("b", 2000, 10)) for _ in range(k)]
+        shape = "lang string, source string, base_failed boolean, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+        fences = quality.thresholds(quality.sketches(spark.createDataFrame(stats, shape), quality.Rules()), quality.Rules())
+        return fences.where("t_source = 'a'").first().symbol_share_high
+
+    few, under, at = map(high, (5, 199, 200))
+    assert 0.1 < few < under < at < 0.45 and at - under < 0.01
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = {r.doc_id: r for r in mixing.mixed(docs).collect()}
