@@ -83,3 +83,26 @@ per_doc as (
 select d.doc_id, {", ".join(f"coalesce(p.n_{k}, 0) as n_{k}" for k in _BASE)}, sha256(coalesce(p.base, '')) as base_sha256, coalesce(p.spans, '') as spans
 from documents d left join per_doc p on p.doc_id = d.doc_id
 """
+
+
+ORACLES["op13_divergence"] = """
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(lower_az(text), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+kept as (select lang, term, count(*)::hugeint as n from w group by lang, term having count(distinct r) >= 10),
+own as (select w.lang, w.source, w.term, count(*)::hugeint as n from w join kept k on w.lang = k.lang and w.term = k.term group by all),
+langs as (select lang, sum(n)::hugeint as n, count(*)::hugeint as v from kept group by lang),
+sizes as (select lang, source, sum(n)::hugeint as n from own group by all),
+grp as (select g.lang, g.source, coalesce(s.n, 0) + 2 * l.v as m, l.n + 2 * l.v as lang_m
+  from (select distinct lang, source from d) g join langs l on g.lang = l.lang left join sizes s on g.lang = s.lang and g.source = s.source),
+p as (select g.lang, g.source, k.term, coalesce(o.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(o.n, 0) + 2)) // g.m as p, 1 + (1000000000::hugeint * (k.n + 2)) // g.lang_m as q
+  from grp g join kept k on g.lang = k.lang left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+priced as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value
+  from (select distinct lang, source from d) a join (select distinct lang, source from d) b on a.lang = b.lang and a.source <> b.source
+  left join priced x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+""".replace("lower_az(text)", _LOWER % "text")
