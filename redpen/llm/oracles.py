@@ -106,3 +106,5 @@ terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) /
 ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
 select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
 """.replace("lower_az(text)", _LOWER % "text")
+
+ORACLES["op12_minhash"] = f"select *, doc_id = component_id as kept from ({ORACLES['op1_jaccard_join'].replace('>= 85 *', '>= 80 *')})"

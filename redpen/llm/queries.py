@@ -1,6 +1,6 @@
 """The registered queries of this package, one per operator."""
 
-from redpen.llm import alignment, decontaminate, divergence, jaccard_join, lines, mixing, quality, secret_scan, substring, token_files, toxicity, warc
+from redpen.llm import alignment, decontaminate, divergence, jaccard_join, lines, minhash, mixing, quality, secret_scan, substring, token_files, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_lines": lines.op9_query,
     "op10_quality": quality.op10_query,
     "op11_alignment": alignment.op11_query,
+    "op12_minhash": minhash.op12_query,
     "op13_divergence": divergence.op13_query,
 }
