@@ -176,58 +176,7 @@ def case_rules(votes: DataFrame) -> DataFrame:
     return totals.groupBy("lower").agg(best.alias("preferred"), F.max("votes").alias("votes"))
 
 
-# --- sentence alignment --------------------------------------------------------------------------
-
-
-def sentence_changes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sentences replaced, removed and added between the versions of a pair, in order.
-
-    Sentences that occur once on either side are anchors where they cross no other such
-    sentence.  The stretches between anchors are compared place by place: where both sides
-    have sentences they replace each other as far as they both go, where one side has none the
-    other's are removed or added.  ``docs`` hold one row for each doc_id.
-    """
-    said = docs.select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
-    rows = said.join(pair_sides(pairs), "doc_id").select("pair_id", "is_old", "pos", "sentence")
-    once = (
-        rows.groupBy("pair_id", "sentence")
-        .agg(
-            F.sum("is_old").alias("n_old"), F.count("*").alias("n"),
-            F.max(F.when(F.col("is_old") == 1, F.col("pos"))).alias("old_pos"), F.max(F.when(F.col("is_old") == 0, F.col("pos"))).alias("new_pos"),
-        )
-        .filter("n = 2 and n_old = 1")
-    )
-    along = Window.partitionBy("pair_id").orderBy("old_pos")
-    earlier = F.max("new_pos").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min("new_pos").over(along.rowsBetween(1, Window.unboundedFollowing))
-    anchors = (
-        once.withColumns({"earlier": earlier, "later": later})
-        .filter("(earlier is null or new_pos > earlier) and (later is null or new_pos < later)")
-        .select("pair_id", "sentence", F.lit(1).alias("anchor"))
-    )
-    side = Window.partitionBy("pair_id", "is_old").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        rows.join(anchors, ["pair_id", "sentence"], "left")
-        .withColumn("stretch", F.sum(F.coalesce("anchor", F.lit(0))).over(side))
-        .filter("anchor is null")
-        .withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "is_old", "stretch").orderBy("pos")))
-    )
-    at = ["pair_id", "stretch", "place"]
-    met = placed.groupBy(*at).agg(
-        F.max(F.when(F.col("is_old") == 1, F.col("sentence"))).alias("old_sentence"),
-        F.max(F.when(F.col("is_old") == 0, F.col("sentence"))).alias("new_sentence"),
-    )
-    # the first place of a stretch tells whether both sides have any
-    stretch = Window.partitionBy("pair_id", "stretch")
-    first = {k: F.count(f"{k}_sentence").over(stretch) for k in ("old", "new")}
-    kind = (
-        F.when(F.col("old_sentence").isNotNull() & F.col("new_sentence").isNotNull() & (F.col("old_sentence") != F.col("new_sentence")), "replaced")
-        .when(F.col("n_new") == 0, "removed")
-        .when(F.col("n_old") == 0, "added")
-    )
-    changed = met.withColumns({"n_old": first["old"], "n_new": first["new"]}).withColumn("kind", kind).filter("kind is not null")
-    seq = F.row_number().over(Window.partitionBy("pair_id").orderBy("stretch", "place")) - 1
-    return changed.select("pair_id", "kind", seq.alias("seq"), "old_sentence", "new_sentence")
+# --- changed sentences (``alignment.sentence_changes``) ---------------------------------------------
 
 
 def change_samples(changes: DataFrame, most: int | None = None) -> DataFrame:

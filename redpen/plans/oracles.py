@@ -523,22 +523,37 @@ _PAIR_SENTENCES = f"""
       select pair_id, old_doc as doc_id, 'old' as side from v_pairs union all select pair_id, new_doc, 'new' from v_pairs) p
     join (select doc_id, unnest({sents('text')}) as sentence, generate_subscripts({sents('text')}, 1) as pos from v_texts) t on t.doc_id = p.doc_id"""
 
+# The longest shared run first, then the longest on either side of it, and so on: ranges are split in a recursion.
+# Sentences that make up over a hundredth of a long version start no run; here they extend none either.
 _CHANGES = f"""
-    select pair_id, kind, row_number() over (partition by pair_id order by stretch, place) - 1 as seq, old_sentence, new_sentence from (
-      select *, case when old_sentence <> new_sentence then 'replaced' when count(new_sentence) over s = 0 then 'removed' when count(old_sentence) over s = 0 then 'added' end as kind
-      from (select pair_id, stretch, place, max(sentence) filter (side = 'old') as old_sentence, max(sentence) filter (side = 'new') as new_sentence
-        from (select *, row_number() over (partition by pair_id, side, stretch order by pos) as place
-          from (select r.*, k.o, count(k.o) over (partition by r.pair_id, r.side order by r.pos) as stretch
-            from ({_PAIR_SENTENCES}) r left join (
-              select * from (select *, max(n) over (partition by pair_id order by o rows between unbounded preceding and 1 preceding) as earlier,
-                  min(n) over (partition by pair_id order by o rows between 1 following and unbounded following) as later
-                from (select pair_id, sentence, max(pos) filter (side = 'old') as o, max(pos) filter (side = 'new') as n
-                  from ({_PAIR_SENTENCES}) group by all having count(*) = 2 and count(*) filter (side = 'old') = 1))
-              where (earlier is null or n > earlier) and (later is null or n < later)) k on k.pair_id = r.pair_id and k.sentence = r.sentence)
-          where o is null)
-        group by all)
-      window s as (partition by pair_id, stretch))
-    where kind is not null"""
+    with recursive said as materialized (select pair_id, side, pos - 1 as pos, sentence from ({_PAIR_SENTENCES})),
+    sizes as (select pair_id, count(*) filter (side = 'old') as o, count(*) filter (side = 'new') as n from said group by pair_id),
+    rare as (select pair_id, sentence from said join sizes using (pair_id) group by pair_id, sentence
+      having max(n) < 200 or count(*) filter (side = 'new') <= max(n) // 100 + 1),
+    same as (select a.pair_id, a.pos as i, b.pos as j from said a join said b on a.pair_id = b.pair_id and a.sentence = b.sentence and a.side = 'old' and b.side = 'new'
+      where (a.pair_id, a.sentence) in (select (pair_id, sentence) from rare)),
+    runs as materialized (select pair_id, min(i) as i, min(j) as j, count(*) as n from (
+      select *, i - row_number() over (partition by pair_id, i - j order by i) as island from same) group by pair_id, i - j, island),
+    ranges as (
+      select r.pair_id, 0::bigint as a, z.o as a_end, 0::bigint as b, z.n as b_end, arg_min(struct_pack(i := i, j := j, n := r.n), (-r.n, i, j)) as best
+      from runs r join sizes z using (pair_id) group by all
+      union all
+      select pair_id, a, a_end, b, b_end, arg_min(struct_pack(i := start, j := start - d, n := n), (-n, start, start - d)) from (
+        select c.*, r.i - r.j as d, greatest(r.i, c.a, c.b + r.i - r.j) as start, least(r.i + r.n, c.a_end, c.b_end + r.i - r.j) - greatest(r.i, c.a, c.b + r.i - r.j) as n
+        from (select pair_id, a, best.i as a_end, b, best.j as b_end from ranges
+              union all select pair_id, best.i + best.n, a_end, best.j + best.n, b_end from ranges) c join runs r using (pair_id))
+      where n > 0 group by pair_id, a, a_end, b, b_end),
+    kept as (select pair_id, best.i as i, best.j as j, best.n as n from ranges union all select pair_id, o, n, 0 from sizes),
+    gaps as (select pair_id, i as a_end, j as b_end, coalesce(lag(i + n) over w, 0) as a, coalesce(lag(j + n) over w, 0) as b from kept window w as (partition by pair_id order by i, j)),
+    places as (
+      select pair_id, 'replaced' as kind, a + k as old_pos, b + k as new_pos from (select *, unnest(range(least(a_end - a, b_end - b))) as k from gaps where a < a_end and b < b_end)
+      union all select pair_id, 'removed', unnest(range(a, a_end)), null from gaps where b = b_end
+      union all select pair_id, 'added', null, unnest(range(b, b_end)) from gaps where a = a_end)
+    select p.pair_id, kind, row_number() over (partition by p.pair_id order by coalesce(old_pos, anchor_old), coalesce(new_pos, 0)) - 1 as seq, o.sentence as old_sentence, n.sentence as new_sentence
+    from (select p.*, g.a_end as anchor_old from places p left join gaps g on g.pair_id = p.pair_id and p.kind = 'added' and p.new_pos >= g.b and p.new_pos < g.b_end) p
+      left join said o on o.pair_id = p.pair_id and o.side = 'old' and o.pos = old_pos
+      left join said n on n.pair_id = p.pair_id and n.side = 'new' and n.pos = new_pos
+    where kind <> 'replaced' or o.sentence <> n.sentence"""
 
 _LINES = """
     select doc_id, unnest(string_split(text, chr(10))) as line, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as bigint) as no from documents"""

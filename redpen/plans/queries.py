@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from redpen.functions import fixed, text as t
-from redpen.operators import anchors, checks, feedback, learning, review, structure
+from redpen.operators import alignment, anchors, checks, feedback, learning, review, structure
 from redpen.operators.lineage import settle
 from redpen.operators.matching import phrase_hits
 from redpen.plans import refresh, scan
@@ -381,12 +381,12 @@ def case_normalization(v: Views) -> DataFrame:
 
 @query
 def aligned_rewrites(v: Views) -> DataFrame:
-    return learning.rewrite_rules(learning.rewrite_votes(learning.sentence_changes(v.texts(), _pairs(v))), min_votes=1)
+    return learning.rewrite_rules(learning.rewrite_votes(alignment.sentence_changes(v.texts(), _pairs(v))), min_votes=1)
 
 
 @query
 def change_samples(v: Views) -> DataFrame:
-    return learning.change_samples(learning.sentence_changes(v.texts(), _pairs(v)))
+    return learning.change_samples(alignment.sentence_changes(v.texts(), _pairs(v)))
 
 
 @query

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from redpen.operators import anchors, checks, feedback, learning, matching, ordered, structure
+from redpen.operators import alignment, anchors, checks, feedback, learning, matching, ordered, structure
 from redpen.plans import refresh
 from redpen.sources import configs, packages, sinks
 
@@ -171,7 +171,7 @@ def test_partial_counts_per_pair_merge_to_the_whole(spark):
 
 def test_aligned_rewrites_and_samples(spark):
     docs, pairs = _small_corpus(spark)
-    changes = learning.sentence_changes(docs, pairs)
+    changes = alignment.sentence_changes(docs, pairs)
     assert rows(changes.select("pair_id", "kind", "old_sentence", "new_sentence").na.fill("")) == [
         ("p1", "added", "", "New one."), ("p1", "replaced", "The tested device unit.", "The tested unit."), ("p2", "removed", "New one.", ""),
     ]
@@ -323,11 +323,3 @@ def test_damaged_packages_give_error_rows(spark):
     parts = packages.read_packages(spark.createDataFrame(files, "doc_id long, content binary"))
     assert [r[0] for r in rows(packages.errors(parts).select("doc_id"))] == [1, 2, 3, 4, 5]
     assert packages.breaks(parts).filter("doc_id = 6").count() == 500
-
-
-def test_alignment_of_crossing_and_repeated_sentences(spark):
-    docs = spark.createDataFrame([(1, "A one. B two. C three. D four. D four."), (2, "B two. A one. C three. E five. D four. F six.")], "doc_id long, text string")
-    pairs = spark.createDataFrame([("p", "f", 1, 2)], "pair_id string, family string, old_doc long, new_doc long")
-    got = rows(learning.sentence_changes(docs, pairs).select("seq", "kind", "old_sentence", "new_sentence").na.fill(""))
-    # A and B cross, so neither is an anchor; C is; after it D repeats and is compared by place
-    assert got == [(0, "replaced", "A one.", "B two."), (1, "replaced", "B two.", "A one."), (2, "replaced", "D four.", "E five.")]
