@@ -147,4 +147,3 @@ LOCATION_CHARS = 120
 NARRATIVE_CHARS = 8000
 RULE_MESSAGE_CHARS = 220
 EXAMPLE_CHARS = 220
-MAX_HEADING_LEVEL = 9

@@ -97,3 +97,42 @@ def running(
 def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
     """Row numbers from 1 within each key."""
     return running(df, keys, order, bucket, [Total(name, F.lit(1).cast("bigint"))])
+
+
+def _outlined(earlier: Column, later: Column) -> Column:
+    """Two chains one after the other: what the later one's first entry leaves open of the earlier, then the later."""
+    outermost = F.get(later, F.lit(0))
+    return F.concat(F.filter(earlier, lambda x: outermost.isNull() | (x["level"] < outermost["level"])), later)
+
+
+def _folded(chains: Column, kind: str) -> Column:
+    return F.aggregate(chains, F.array().cast(kind), _outlined)
+
+
+def enclosing(df: DataFrame, keys: list[str], position: str, level: str, name: str, width: int = 64) -> DataFrame:
+    """``name``: the positions of the entries open at each row, outermost first.
+
+    An entry is open until one of its level or a smaller one comes; ``position`` counts up from 0 within the
+    keys without large gaps.  A stretch of rows is summarised by its chain, the entries still open at its end, whose levels rise;
+    two chains join to that of both stretches.  Rows are cut into stretches of ``width``, these into
+    stretches of as many, and a row's chain is put together from those before it at each size.
+    """
+    entry = F.struct(F.col(level).alias("level"), F.col(position).cast("bigint").alias("at"))
+    kind = f"array<struct<level:{dict(df.dtypes)[level]},at:bigint>>"
+    small, large = F.floor(F.col(position) / width), F.floor(F.col(position) / (width * width))
+
+    def before(rows: DataFrame, group: list[str], order: str, chain: Column, out: str) -> DataFrame:
+        earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, _folded(F.collect_list(chain).over(earlier), kind))
+
+    def chains(rows: DataFrame, group: list[str], order: str, chain: Column) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), chain.alias("c"))))
+        return rows.groupBy(*group).agg(_folded(F.transform(ordered, lambda x: x["c"]), kind).alias("_chain"))
+
+    rows = df.withColumns({"_small": small, "_large": large})
+    bottom = chains(rows, [*keys, "_large", "_small"], position, F.array(entry))
+    middle = before(bottom, [*keys, "_large"], "_small", F.col("_chain"), "_middle").drop("_chain")
+    top = before(chains(bottom, [*keys, "_large"], "_small", F.col("_chain")), keys, "_large", F.col("_chain"), "_top").drop("_chain")
+    placed = before(rows, [*keys, "_large", "_small"], position, F.array(entry), "_own").join(middle, [*keys, "_large", "_small"]).join(top, [*keys, "_large"])
+    whole = _outlined(_outlined(F.col("_top"), F.col("_middle")), F.col("_own"))
+    return placed.select(*df.columns, F.transform(F.filter(whole, lambda x: x["level"] < F.col(level)), lambda x: x["at"]).alias(name))

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import fixed, text as t
-from redpen.operators.ordered import Latest, Total, numbered, position_bucket, running
+from redpen.operators.ordered import Latest, Total, enclosing, numbered, position_bucket, running
 
 
 def section_blocks(blocks: DataFrame) -> DataFrame:
     """Paragraph blocks with the number of the section they are in; 0 precedes the first heading."""
     paragraphs = blocks.filter("type = 'p'").select("doc_id", "block_no", "text", "heading_level")
-    level = F.nullif("heading_level", F.lit(0))
-    marked = paragraphs.withColumn("level", F.when(level.isNotNull(), F.least(level, F.lit(fixed.MAX_HEADING_LEVEL))))
+    marked = paragraphs.withColumn("level", F.nullif("heading_level", F.lit(0)))
     starts = F.col("level").isNotNull().cast("bigint")
     return running(marked, ["doc_id"], ["block_no"], position_bucket("block_no"), [Total("section_no", starts)])
 
@@ -20,10 +19,8 @@ def section_blocks(blocks: DataFrame) -> DataFrame:
 def sections(blocks: DataFrame) -> DataFrame:
     """One row per section, with the section numbers above it, outermost first.
 
-    Section numbers follow reading order, which is also the depth-first order of the
-    tree.  A section of level L is open at a later one when no section of level L or
-    less came in between, so the ancestors are read off the last section of each
-    smaller level.
+    Section numbers follow reading order, which is also the depth-first order of the tree.  Headings
+    may have any level; one is inside the nearest earlier section of a smaller level.
     """
     placed = section_blocks(blocks)
     headings = placed.filter("level is not null").select(
@@ -35,21 +32,8 @@ def sections(blocks: DataFrame) -> DataFrame:
         .distinct()
         .select("doc_id", "section_no", F.lit(0).alias("level"), F.lit("Preamble").alias("title"))
     )
-    levels = range(fixed.MAX_HEADING_LEVEL)
-    latest = [
-        Latest(f"_last_{n}", F.when(F.col("level") == n, F.col("section_no")), before=True) for n in levels
-    ]
-    seen = running(headings.unionByName(preamble), ["doc_id"], ["section_no"], position_bucket("section_no"), latest)
-
-    def is_open(n: int) -> Column:
-        mine = F.when(F.col("level") > n, F.col(f"_last_{n}"))
-        if n == 0:
-            return mine
-        outer = F.greatest(*[F.col(f"_last_{k}") for k in range(n)]) if n > 1 else F.col("_last_0")
-        return F.when(mine > F.coalesce(outer, F.lit(-1)), mine)
-
-    above = F.array_compact(F.array(*[is_open(n) for n in levels]))
-    return seen.select("doc_id", "section_no", "level", "title", above.alias("ancestors")).select(
+    seen = enclosing(headings.unionByName(preamble), ["doc_id"], "section_no", "level", "ancestors")
+    return seen.select(
         "doc_id",
         "section_no",
         F.get(F.reverse("ancestors"), F.lit(0)).alias("parent_no"),

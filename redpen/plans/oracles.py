@@ -589,6 +589,15 @@ STATEMENTS = {
     "scan_report": _SCAN,
     "heading_levels": "select doc_id, block_no, level as heading_level from v_blocks",
     "sections": "select doc_id, section_no, parent_no, level, title from v_tree",
+    # open: no section of its level or a smaller one has come since
+    "deep_sections": """
+        select * from (with b as (select doc_id, para_no, case when para_no % 2 = 1 then 1 + (para_no * para_no * 7 + doc_id) % 40 end as level from v_paras),
+        n as (select *, count(level) over (partition by doc_id order by para_no) as section_no from b),
+        s as (select doc_id, section_no, level from n where level is not null union all select distinct doc_id, section_no, 0 from n where section_no = 0),
+        e as (select s.*, min(t.section_no) as closed from s left join s t on t.doc_id = s.doc_id and t.section_no > s.section_no and t.level <= s.level group by all)
+        select s.doc_id, s.section_no, s.level, coalesce(string_agg(cast(e.section_no as varchar), '>' order by e.section_no), '') as path
+        from s left join e on e.doc_id = s.doc_id and e.section_no < s.section_no and e.level < s.level and coalesce(e.closed, s.section_no + 1) > s.section_no
+        group by all)""",
     "section_depth": "select doc_id, section_no, depth from v_depth",
     "section_text": _SECTION_LINES.format(keyword="on"),
     # A finding's paragraphs include the title of the next one in the same report.

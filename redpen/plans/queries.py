@@ -109,6 +109,12 @@ def section_depth(v: Views) -> DataFrame:
     return structure.sections(v.blocks()).select("doc_id", "section_no", "depth")
 
 
+@query
+def deep_sections(v: Views) -> DataFrame:
+    """Sections of 40 levels with all sections above them."""
+    return structure.sections(v.deep_blocks()).select("doc_id", "section_no", "level", F.array_join("ancestors", ">").alias("path"))
+
+
 @query
 def section_text(v: Views) -> DataFrame:
     return structure.section_text(v.blocks(), "on")

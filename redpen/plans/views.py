@@ -67,6 +67,14 @@ class Views:
             p=self.paras(),
         )
 
+    def deep_blocks(self) -> DataFrame:
+        """Every second paragraph a heading of one of 40 levels."""
+        return self._sql(
+            """select doc_id, para_no as block_no, 'p' as type, text,
+                 case when para_no % 2 = 1 then 1 + cast((para_no * para_no * 7 + doc_id) % 40 as int) end as heading_level from {p}""",
+            p=self.paras(),
+        )
+
     def breaks(self) -> DataFrame:
         return self._sql(
             """select doc_id, para_no, (doc_id + para_no) % 5 in (0, 1) as has_break,

@@ -4,6 +4,8 @@ import io
 import random
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from redpen.operators import alignment, anchors, checks, feedback, learning, matching, ordered, structure
@@ -34,9 +36,10 @@ def test_running_values_do_not_depend_on_the_bucket_size(spark):
         assert t_ == total
 
 
-def test_sections_equal_a_stack(spark):
+@pytest.mark.parametrize("choices, n", [([None, 1, 2, 3, 5], 80), ([None, *range(1, 41)], 700), ([10, 9, 11, None], 60)])
+def test_sections_equal_a_stack(spark, choices, n):
     random.seed(3)
-    levels = [random.choice([None, 1, 2, 3, 5]) for _ in range(80)]
+    levels = [random.choice(choices) for _ in range(n)]
     blocks = spark.createDataFrame(
         [(1, i, "p", f"t{i}", level) for i, level in enumerate(levels)], "doc_id long, block_no int, type string, text string, heading_level int"
     )
@@ -54,6 +57,16 @@ def test_sections_equal_a_stack(spark):
     assert got == expected
 
 
+def test_enclosing_across_stretches_of_every_size(spark):
+    random.seed(4)
+    data = [(key, i, random.choice((1, 2, 3, 7, 40))) for key in (1, 2) for i in range(150)]
+    df = spark.createDataFrame(data + [(3, i, i + 1) for i in range(30)], "k long, at long, level int")
+    for r in ordered.enclosing(df, ["k"], "at", "level", "above", width=4).collect():
+        own = {i: level for key, i, level in data if key == r.k} or {i: i + 1 for i in range(30)}
+        want = [i for i in range(r.at) if own[i] < r.level and all(own[j] > own[i] for j in range(i + 1, r.at))]
+        assert r.above == want
+
+
 def test_findings_and_their_lines(spark):
     table = [["Threat Level", "High", "CVSS", "7.1"]]
     data = [(0, "p", "Intro", None), (1, "p", "First", None), (2, "tbl", None, table), (3, "p", "a", None), (4, "tbl", None, [["x"]]),
