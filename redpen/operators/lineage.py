@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def _shared(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.  Only a local session that names none gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='redpen-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``."""
+    return f"{_shared(spark)}/{label}-{uuid.uuid4().hex}"
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a local
-    session without one gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="redpen-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()

@@ -719,6 +719,7 @@ STATEMENTS = {
         group by pair_id, phrase having coalesce(sum(n) filter (side = 'old'), 0) - coalesce(sum(n) filter (side = 'new'), 0) >= 1
         union all
         select pair_id, 'case', lower, null, null, arg_max(preferred, para_no) from ({_CASE_ROWS}) group by pair_id, lower""",
+    "refreshed_totals": f"select phrase, cast(sum(old) as bigint) as old, cast(sum(new) as bigint) as new from ({_SIDE_SENTENCES}) group by phrase",
     "incremental_refresh": """
         select pair_id, case new_doc % 5 when 0 then 'reused_stat' when 1 then 'reused_hash' else 'recomputed' end as status from v_pairs
         union all select pair_id || ' gone', 'stale' from v_pairs where new_doc % 5 = 4""",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from redpen.functions import fixed, text as t
 from redpen.operators import alignment, anchors, checks, feedback, learning, review, structure
-from redpen.operators.lineage import settle
+from redpen.operators.lineage import settle, shared_folder
 from redpen.operators.matching import phrase_hits
 from redpen.plans import refresh, scan
 from redpen.plans.views import Views
@@ -456,7 +456,22 @@ def change_profile(v: Views) -> DataFrame:
 @query
 def incremental_refresh(v: Views) -> DataFrame:
     pairs, state = refresh.example_state(v, _pairs(v))
-    return refresh.pair_status(pairs, state, refresh.fingerprint()).select("pair_id", "status")
+    found = refresh.examined(pairs, state, refresh.fingerprint(), refresh.hashed_rows(refresh.example_files(v)))
+    return found.select("pair_id", "status")
+
+
+@query
+def refreshed_totals(v: Views) -> DataFrame:
+    """Sentence totals after two refreshes: between them reports changed, and pairs came and went."""
+    folder, pairs, files = shared_folder(v.spark, "refresh"), _pairs(v), refresh.example_files(v)
+    changed = F.col("doc_id") % 3 == 0
+    drafts = v.texts().withColumn("text", F.when(changed, F.concat(F.lit("First draft. "), F.substring("text", 1, 500))).otherwise(F.col("text")))
+    earlier = files.withColumns({"size": F.when(changed, 1).otherwise(F.col("size")), "content": F.when(changed, F.lit(b"draft")).otherwise(F.col("content"))})
+    missing = pairs.filter("old_doc % 4 <> 1").unionByName(pairs.filter("old_doc % 4 = 2").withColumn("pair_id", F.concat("pair_id", F.lit(" gone"))))
+    for now, listed, texts in ((missing, earlier, drafts), (pairs, files, v.texts())):
+        count = {"sentences": lambda todo, texts=texts: learning.sentence_counts(texts, todo, per_pair=True)}
+        refresh.refresh(v.spark, folder, refresh.pair_stats(now, listed), refresh.hashed_rows(listed), count)
+    return refresh.totals(v.spark, folder, "sentences")
 
 
 @query

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from redpen.operators import alignment, anchors, checks, feedback, learning, matching, ordered, structure
-from redpen.plans import refresh
 from redpen.sources import configs, packages, sinks
 
 
@@ -199,30 +198,6 @@ def test_usual_range_takes_ranks_not_interpolation(spark):
     assert learning.usual_range(facts.limit(2), "w", 10).count() == 0
 
 
-def test_refresh_recomputes_only_what_changed(spark, tmp_path):
-    docs, pairs = _small_corpus(spark)
-    folder = str(tmp_path)
-    build = {"sentences": lambda todo: learning.sentence_counts(docs, todo, per_pair=True)}
-
-    def signed(*changes):
-        facts = {1: (1, "a"), 2: (2, "b"), 3: (3, "c")} | dict(changes)
-        files = spark.createDataFrame([(d, s, c.encode()) for d, (s, c) in facts.items()], "doc_id long, size long, content binary")
-        return refresh.pair_signatures(pairs, files.withColumn("modified", F.timestamp_seconds("size")))
-
-    def run(*changes, **more):
-        return dict(refresh.refresh(spark, folder, signed(*changes), build, **more).collect())
-
-    assert run() == {"recomputed": 2}
-    assert run() == {"reused_stat": 2}
-    assert run((3, (9, "c"))) == {"reused_stat": 1, "reused_hash": 1}
-    assert run((3, (9, "c"))) == {"reused_stat": 2}
-    assert run((3, (10, "d"))) == {"reused_stat": 1, "recomputed": 1}
-    assert run((3, (10, "d")), settings={"ngram_max": 4}) == {"recomputed": 2}
-    assert run((3, (10, "d")), settings={"ngram_max": 4}, full=True) == {"recomputed": 2}
-    stored = refresh.contributions(spark, folder, "sentences").select("phrase", "old", "new")
-    assert rows(learning.merge_counts(stored)) == rows(learning.sentence_counts(docs, pairs))
-
-
 def test_suppression_order_and_no_extra_rows(spark):
     diagnostics = spark.createDataFrame([(1, "A", "Check  this"), (2, "A", "other"), (3, "B", "check this"), (4, "C", "x")], "doc_id long, code string, message string")
     rules = spark.createDataFrame(
