@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpen.functions import fixed, text as t
-from redpen.operators.lineage import settle
-from redpen.operators.ordered import Total, numbered, running
+from redpen.operators.ordered import at_ranks, numbered
 
 # --- versions and pairs ---------------------------------------------------------------
 
@@ -270,17 +269,23 @@ def rewrite_rules(votes: DataFrame, min_votes: int = 2) -> DataFrame:
 
 
 def merge_rewrite_rules(learned: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Accepted rules first, then learned ones; the first of each wording stays."""
+    """Accepted rules first, then learned ones by votes; the first of each wording stays.
+
+    Accepted rules keep the order of ``pos`` if they have it; learned ones keep ``source`` and ``reason`` if they have them.
+    """
     from_text, to_text = F.col("from_text"), F.col("to_text")
-    ranked = accepted.select(
-        "from_text", "to_text", F.lit(fixed.ACCEPTED_REWRITE_COUNT).cast("bigint").alias("votes"), F.lit(0).alias("priority")
+    more = [c for c in ("source", "reason") if c in learned.columns]
+    given = {"source": F.lit("accepted_feedback"), "reason": F.lit("")}
+    pos = F.col("pos").cast("bigint") if "pos" in accepted.columns else F.lit(0).cast("bigint")
+    ranked_ = accepted.select(
+        "from_text", "to_text", F.lit(fixed.ACCEPTED_REWRITE_COUNT).cast("bigint").alias("votes"), F.lit(0).alias("priority"), pos.alias("pos"), *[given[c].alias(c) for c in more]
     ).unionByName(
-        learned.select("from_text", "to_text", F.col("votes").cast("bigint").alias("votes"), F.lit(1).alias("priority"))
+        learned.select("from_text", "to_text", F.col("votes").cast("bigint").alias("votes"), F.lit(1).alias("priority"), F.lit(0).cast("bigint").alias("pos"), *more)
     )
-    order = F.struct("priority", (-F.col("votes")).alias("v"), "from_text", "to_text")
-    first = F.min_by(F.struct("from_text", "to_text", "votes", "priority"), order)
+    order = F.struct("priority", "pos", (-F.col("votes")).alias("v"), "from_text", "to_text", *more)
+    first = F.min_by(F.struct("from_text", "to_text", "votes", "priority", *more), order)
     return (
-        ranked.withColumns({"from_key": t.squash(from_text), "to_key": t.squash(to_text)})
+        ranked_.withColumns({"from_key": t.squash(from_text), "to_key": t.squash(to_text)})
         .filter("from_key <> '' and to_key <> ''")
         .groupBy("from_key", "to_key")
         .agg(first.alias("rule"))
@@ -301,26 +306,13 @@ def usual_values(facts: DataFrame, column: str, min_share: float, min_count: int
     )
 
 
-def usual_range(facts: DataFrame, column: str, bucket_width: float, min_samples: int = 3) -> DataFrame:
-    """Low, median and high of positive values: those at ranks n/10, n/2 and 9n/10, rounded down.
-
-    Equal values are counted first; running totals over value buckets then find the
-    ranks, so no task sorts all values.
-    """
-    counts = facts.filter(F.col(column) > 0).groupBy(column).agg(F.count("*").alias("n")).withColumn("one", F.lit(0))
-    bucket = F.floor(F.col(column) / F.lit(bucket_width))
-    placed = running(counts, ["one"], [column], bucket, [Total("upto", F.col("n"))])
-    samples = counts.agg(F.sum("n").alias("total")).select("total").scalar()
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col(column)))
-
-    return placed.agg(
-        at(F.floor(samples * F.lit(0.1))).alias("low"),
-        at(F.floor(samples / F.lit(2))).alias("median"),
-        at(F.floor(samples * F.lit(0.9))).alias("high"),
-        F.sum("n").alias("samples"),
-    ).filter(F.col("samples") >= min_samples)
+def usual_range(facts: DataFrame, column: str, min_samples: int = 3) -> DataFrame:
+    """Low, median and high of positive values: those at ranks n/10, n/2 and 9n/10, rounded down.  No row if there are too few values."""
+    spark, kind = facts.sparkSession, dict(facts.dtypes)[column]
+    positive = facts.filter(F.col(column) > 0).select(column)
+    n = positive.count()
+    values = at_ranks(positive, column, [int(n * 0.1), n // 2, int(n * 0.9)]) if n >= min_samples else []
+    return spark.createDataFrame([(*values, n)] if values else [], f"low {kind}, median {kind}, high {kind}, samples bigint")
 
 
 def pair_layout(layout: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -353,20 +345,3 @@ def change_profile(
         .unionByName(shaped(ngrams, "ngram", "phrase", F.col("old"), F.col("new"), none))
         .unionByName(shaped(new.join(old, ["pair_id", "lower"]), "case", "lower", none, none, F.col("preferred")))
     )
-
-
-# --- the learned profile -------------------------------------------------------------------------------------
-
-
-def profile_rows(df: DataFrame, kind: str, phrase: Column, detail: Column, n: Column, *order: Column) -> DataFrame:
-    """Rules of one kind in the common shape, with a rank by ``order`` and then phrase.
-
-    Ranks are counted within buckets of equal leading order values and phrase starts.
-    """
-    shaped = df.select(
-        F.lit(kind).alias("kind"), phrase.alias("phrase"), detail.cast("string").alias("detail"),
-        n.cast("bigint").alias("n"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("sort"),
-    )
-    bucket = F.struct("sort", F.substring("phrase", 1, 2).alias("start"))
-    placed = numbered(settle(shaped), ["kind"], ["sort", "phrase", "detail"], bucket, "rank")
-    return placed.select("kind", "rank", "phrase", "detail", "n")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from redpen.operators.lineage import settle
+
 BUCKET_ROWS = 65_536
 _BUCKET = "_bucket"
 
@@ -99,6 +101,58 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, n
     return running(df, keys, order, bucket, [Total(name, F.lit(1).cast("bigint"))])
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Ranks from 1 within each key by ``order``, however large a key is.
+
+    All rows are cut into ranges of (keys, order).  A row's place is its place in its range and
+    the number of rows in the ranges before; a key's rows follow each other, so its ranks count from its first place.
+    """
+    by = [*keys, *order]
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = settle(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_at": index}))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    whole = placed.join(offsets, "_range").withColumn("_at", F.col("_before") + F.col("_at"))
+    starts = whole.groupBy(*keys).agg(F.min("_at").alias("_start"))
+    return whole.join(starts, keys).select(*df.columns, (F.col("_at") - F.col("_start") + 1).alias(name))
+
+
+#: Cells that a span of values is cut into at a time.
+CELLS = 1024
+
+
+def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list:
+    """The values at ``ranks`` (from 0) of the ascending numbers in ``column``, exactly and without sorting them.
+
+    Values are counted by cells of a span; a rank falls into one cell, which is the span of the next turn,
+    until a cell holds one value.  Each turn brings at most CELLS rows for each rank to the driver.
+    """
+    counts = settle(df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")))
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    found: list = [None] * len(ranks)
+    open_ = {i: (ends["low"], ends["high"], rank) for i, rank in enumerate(ranks)}
+    while open_:
+        spans = [
+            F.struct(F.lit(i).alias("i"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (low, high, _) in open_.items()
+        ]
+        part = (F.col("v") - F.col("s.low")).cast("double") / F.greatest((F.col("s.high") - F.col("s.low")).cast("double"), F.lit(1e-300))
+        cell = F.least(F.floor(part * CELLS), F.lit(CELLS - 1))
+        cells = (
+            counts.select("v", "n", F.explode(F.array(*spans)).alias("s")).filter("v between s.low and s.high")
+            .groupBy("s.i", cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        )
+        for i, (_, _, rank) in list(open_.items()):
+            for row in sorted((r for r in cells if r["i"] == i), key=lambda r: r["cell"]):
+                if rank < row["n"]:
+                    open_[i] = (row["low"], row["high"], rank)
+                    if row["low"] == row["high"]:
+                        found[i] = row["low"]
+                        del open_[i]
+                    break
+                rank -= row["n"]
+    return found
+
+
 def _outlined(earlier: Column, later: Column) -> Column:
     """Two chains one after the other: what the later one's first entry leaves open of the earlier, then the later."""
     outermost = F.get(later, F.lit(0))

@@ -723,12 +723,6 @@ STATEMENTS = {
     "incremental_refresh": """
         select pair_id, case new_doc % 5 when 0 then 'reused_stat' when 1 then 'reused_hash' else 'recomputed' end as status from v_pairs
         union all select pair_id || ' gone', 'stale' from v_pairs where new_doc % 5 = 4""",
-    "learned_profile": f"""
-        select 'deprecated_sentence' as kind, row_number() over (order by old - new desc, old desc, phrase) as rank, phrase, cast(cast(new as bigint) as varchar) as detail, cast(old as bigint) as n from ({_PROFILE_SENTENCES})
-        union all select 'deprecated_ngram', row_number() over (order by old - new desc, old desc, phrase), phrase, cast(new as varchar), old from ({_GRAM_DROPS}) where old - new >= 4
-        union all select 'case', row_number() over (order by lower, preferred), lower, preferred, votes from ({_CASE})
-        union all select 'style', row_number() over (order by count(*) desc, style_id), style_id, null, count(*) from v_layout group by style_id
-          having count(*) >= 2 and count(*)::double / (select count(*) from v_layout) >= 0.03::double""",
     "comment_decisions": f"select doc_id, seq, {decision('text')} as decision from v_comments",
     "comment_rewrites": _COMMENT_PAIRS,
     "comment_diag_rules": r"""
@@ -783,6 +777,62 @@ STATEMENTS = {
         from documents, (select unnest(['look', 'words', 'tone', 'information', 'structure']) as axis) where doc_id % 5 = 3""",
 }
 
+# --- the whole profile, and a scan with it ---------------------------------------------------------
+
+_COUNTED = f"select kind, a as phrase, old, new from ({STATEMENTS['tracked_signals']}) where kind <> 'rewrite'"
+_VOTED = f"""
+    select pair_id, 0 as stage, 0 as para_no, seq, old_sentence as from_text, new_sentence as to_text, 1 as votes from ({_CHANGES})
+    where kind = 'replaced' and {squash('old_sentence')} <> {squash('new_sentence')} and {high_signal('old_sentence', 'new_sentence')}
+    union all select pair_id, stage, para_no, seq, from_text, to_text, 2
+    from ({_TRACKED_PAIRS}) t join (select pair_id, 1 as stage, old_doc as doc_id from v_pairs union all select pair_id, 2, new_doc from v_pairs) r on r.doc_id = t.doc_id
+    where from_text <> to_text"""
+_LEARNED_REWRITES = f"""
+    select arg_min(from_text, (pair_id, stage, para_no, seq)) as from_text, arg_min(to_text, (pair_id, stage, para_no, seq)) as to_text, cast(sum(votes) as bigint) as votes, 'versions' as source, '' as reason
+    from ({_VOTED}) group by {squash('from_text')}, {squash('to_text')} having sum(votes) >= 2
+    union all select a, b, votes, 'ai_compare', 'shorter' from ({STATEMENTS['ai_votes']}) where kind = 'rewrite'"""
+
+
+def _ends(kind: str, column: str, shown: str) -> str:
+    return " union all ".join(
+        f"select '{kind}', {place}, 0, '{end}', {shown.format(end)}, null, null, samples from ({rank_values(column)})" for place, end in enumerate(("low", "median", "high"))
+    )
+
+
+_RULES = f"""
+    select 'deprecated_' || kind as kind, new - old as o1, -old as o2, phrase, cast(new as varchar) as detail, null as source, null as reason, old as n
+      from ({_COUNTED}) where old - new >= 4 and (kind = 'ngram' or length(phrase) >= 20)
+    union all select 'case', 0, 0, lower, preferred, null, null, votes from ({_CASE})
+    union all select 'rewrite', -votes, 0, from_text, to_text, source, reason, votes from ({_LEARNED_REWRITES})
+    union all select 'ai_' || kind, -votes, 0, a, null, null, null, votes from ({STATEMENTS['ai_votes']}) where kind <> 'rewrite'
+    union all select kind, -n, 0, value, cast(share as varchar), null, null, n from ({STATEMENTS['format_rules_styles']})
+    union all select 'tracked', -n, 0, kind, null, null, null, n from (
+      select case kind when 'del' then 'deleted' else 'inserted' end as kind, count(*) as n from v_tracked t join ({_ROLES}) r on r.doc_id = t.doc_id where trim(text) <> '' group by all
+      union all select 'replacements', count(*) from ({_TRACKED_PAIRS}) t join ({_ROLES}) r on r.doc_id = t.doc_id)
+    union all {_ends('image_width', 'width_emu', 'cast(cast({} as bigint) as varchar)')}
+    union all {_ends('image_aspect', 'aspect', 'cast({} as varchar)')}"""
+STATEMENTS["learned_profile"] = f"""
+    select kind, row_number() over (partition by kind order by o1, o2, phrase, detail nulls first, source nulls first) as rank, phrase, detail, source, reason, cast(n as bigint) as n from ({_RULES})"""
+
+_MERGED = f"""
+    select arg_min(from_text, k) as from_text, arg_min(to_text, k) as to_text from (
+      select *, (priority, -votes, from_text, to_text, source, reason) as k from (
+        select from_text, to_text, 9999::bigint as votes, 0 as priority, 'accepted_feedback' as source, '' as reason from v_rewrite_rules
+        union all select from_text, to_text, votes, 1, source, reason from ({_LEARNED_REWRITES})))
+    where {squash('from_text')} <> '' and {squash('to_text')} <> '' group by {squash('from_text')}, {squash('to_text')}"""
+_NOT_IGNORED = f"not (contains({squash('phrase')}, 'und') or contains('und', {squash('phrase')}))"
+_WITH_RULES = [
+    phrase_checks("DOC-STYLE-DEPRECATED-001", "Deprecated phrase found", f"select phrase, phrase as shown from ({_COUNTED}) where kind = 'ngram' and old - new >= 4 and {_NOT_IGNORED}"),
+    phrase_checks("DOC-STYLE-DEPRECATED-AI-001", "AI-learned deprecated phrase found", f"select a as phrase, a as shown from (select a, a as phrase from ({STATEMENTS['ai_votes']}) where kind = 'phrase') where {_NOT_IGNORED}"),
+    f"""select doc_id, 'suggestion' as severity, 'DOC-STYLE-CASE-001' as code, 'Preferred casing: "' || preferred || '"' as message
+        from v_texts t, ({_CASE}) p where contains(lower(text), lower) and not contains(text, preferred)""",
+    STATEMENTS["check_rewrites"].replace("from v_rewrite_rules where", f"from ({_MERGED}) where").replace("not (contains(a, 'und') or contains('und', a)) and ", ""),
+    *[STATEMENTS[name] for name in ("check_paragraph_styles", "check_table_columns", "check_image_widths", "llm_issues", "llm_parse_failures")],
+]
+STATEMENTS["profile_scan"] = f"""
+    select doc_id, severity, code, message from ({_SCAN})
+    union all select doc_id, severity, code, message from ({' union all '.join(f"select doc_id, severity, code, message from ({x.replace('v_texts', 'v_secrets')})" for x in _WITH_RULES)}) d
+    where {_SUPPRESSED}"""
+
 # Columns that SQL would give a narrower integer type than the queries do.
 BIGINT_COLUMNS = {
     "tracked_pairs": ["seq"],

@@ -10,7 +10,7 @@ from redpen.functions import fixed, text as t
 from redpen.operators import alignment, anchors, checks, feedback, learning, review, structure
 from redpen.operators.lineage import settle, shared_folder
 from redpen.operators.matching import phrase_hits
-from redpen.plans import refresh, scan
+from redpen.plans import profile, refresh, scan
 from redpen.plans.views import Views
 from redpen.sources import configs, packages, sinks
 
@@ -315,7 +315,7 @@ def check_table_columns(v: Views) -> DataFrame:
 @query
 def check_image_widths(v: Views) -> DataFrame:
     images = packages.image_shapes(v.layout())
-    return flat(checks.image_widths(images, learning.usual_range(images, "width_emu", 10_000)))
+    return flat(checks.image_widths(images, learning.usual_range(images, "width_emu")))
 
 
 def _facts(v: Views) -> DataFrame:
@@ -439,8 +439,8 @@ def format_rules_styles(v: Views) -> DataFrame:
 @query
 def format_rules_images(v: Views) -> DataFrame:
     images = packages.image_shapes(v.layout())
-    widths = learning.usual_range(images, "width_emu", 10_000)
-    aspects = learning.usual_range(images, "aspect", 0.01)
+    widths = learning.usual_range(images, "width_emu")
+    aspects = learning.usual_range(images, "aspect")
 
     def typed(df: DataFrame, kind: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), *[F.col(c).cast("double").alias(c) for c in ("low", "median", "high")], "samples")
@@ -474,24 +474,38 @@ def refreshed_totals(v: Views) -> DataFrame:
     return refresh.totals(v.spark, folder, "sentences")
 
 
+def _evidence(v: Views) -> profile.Evidence:
+    layout = v.layout()
+    return profile.Evidence(
+        docs=v.texts(), paragraphs=v.versions_case(), pairs=settle(_pairs(v)), tracked=v.tracked(), layout_paragraphs=layout, layout_tables=layout,
+        layout_images=packages.image_shapes(layout), responses=v.pair_responses(),
+    )
+
+
 @query
 def learned_profile(v: Views) -> DataFrame:
-    pairs, layout = _pairs(v), v.layout()
-    none = F.lit(None)
-    sentences = learning.drops(learning.sentence_counts(v.texts(), pairs), 1, 20)
-    ngrams = learning.drops(learning.ngram_counts(v.texts(), pairs), 4)
-    case = learning.case_rules(learning.case_votes(v.versions_case(), pairs))
-    styles = learning.usual_values(layout, "style_id", 0.03)
+    """Every kind of rule, written and read again."""
+    path = shared_folder(v.spark, "profile")
+    sinks.write_profile(profile.rules(profile.learn(_evidence(v))), path)
+    return sinks.read_profile(v.spark, path)
 
-    def drop_rows(df: DataFrame, kind: str) -> DataFrame:
-        return learning.profile_rows(df, kind, F.col("phrase"), F.col("new"), F.col("old"), F.col("new") - F.col("old"), -F.col("old"))
 
-    return (
-        drop_rows(sentences, "deprecated_sentence")
-        .unionByName(drop_rows(ngrams, "deprecated_ngram"))
-        .unionByName(learning.profile_rows(case, "case", F.col("lower"), F.col("preferred"), F.col("votes"), none.cast("int")))
-        .unionByName(learning.profile_rows(styles, "style", F.col("style_id"), none, F.col("n"), -F.col("n")))
+@query
+def profile_scan(v: Views) -> DataFrame:
+    """All 18 checks of a scan with the learned profile; results written per report and read again."""
+    rules = profile.for_scan(learned_profile(v), v.rewrite_rules(), ignored_phrases=v.phrases().filter("phrase = 'und'"))
+    layout = v.layout()
+    reports = scan.Reports(
+        blocks=v.blocks(), breaks=v.breaks(), texts=v.secrets(), findings=v.findings(), finding_lines=v.finding_lines(), layout_paragraphs=layout,
+        layout_tables=layout, layout_images=packages.image_shapes(layout), responses=v.responses(),
     )
+    found = sinks.in_order(scan.scan(reports, rules, v.diagnostic_rules(), min_len=10))
+    path = shared_folder(v.spark, "results")
+    ids = [df.select("doc_id") for df in (v.raw("documents"), layout, v.findings())]
+    named = ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct().withColumn("file_name", F.format_string("Report %d", "doc_id"))
+    sinks.write_scan_results(sinks.scan_results(found, v.findings(), named, rows_per_part=1000), path, "parquet")
+    results = v.spark.read.parquet(path)
+    return results.select("doc_id", F.inline("diagnostics")).select("doc_id", "severity", "code", "message")
 
 
 # --- feedback and annotation ------------------------------------------------------------------------

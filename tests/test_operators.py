@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redpen.operators import alignment, anchors, checks, feedback, learning, matching, ordered, structure
+from redpen.plans import profile, scan
 from redpen.sources import configs, packages, sinks
 
 
@@ -193,9 +194,58 @@ def test_aligned_rewrites_and_samples(spark):
 def test_usual_range_takes_ranks_not_interpolation(spark):
     facts = spark.createDataFrame([(i * i + 1,) for i in range(25)], "w long")
     values = sorted(i * i + 1 for i in range(25))
-    got = learning.usual_range(facts, "w", 10).first()
+    got = learning.usual_range(facts, "w").first()
     assert (got["low"], got["median"], got["high"], got["samples"]) == (values[2], values[12], values[22], 25)
-    assert learning.usual_range(facts.limit(2), "w", 10).count() == 0
+    assert learning.usual_range(facts.limit(2), "w").count() == 0
+
+
+def test_values_at_ranks_equal_sorted_ranks(spark):
+    random.seed(6)
+    for kind, values in (("long", [random.randrange(-(1 << 62), 1 << 62) for _ in range(300)] + [5] * 200), ("double", [random.expovariate(1) ** 9 for _ in range(400)] + [0.1, 0.1 + 1e-16, 1e300, -1e300]), ("long", [7])):
+        df = spark.createDataFrame([(x,) for x in values], f"v {kind}").repartition(3)
+        ranks = sorted({0, len(values) // 10, len(values) // 2, len(values) - 1})
+        assert ordered.at_ranks(df, "v", ranks) == [sorted(values)[r] for r in ranks]
+
+
+def test_ranks_across_ranges(spark):
+    random.seed(8)
+    data = [(random.choice("aab"), random.randrange(40), i) for i in range(500)]
+    got = ordered.ranked(spark.createDataFrame(data, "k string, v long, i long").repartition(7), ["k"], ["v", "i"], "rank").collect()
+    for key in "ab":
+        assert [r.i for r in sorted((r for r in got if r.k == key), key=lambda r: r.rank)] == [i for _, i in sorted((v, i) for k, v, i in data if k == key)]
+        assert sorted(r.rank for r in got if r.k == key) == list(range(1, sum(k == key for k, _, _ in data) + 1))
+
+
+def test_merged_rewrites_keep_file_order_and_reason(spark):
+    learned = spark.createDataFrame([("a  b", "c d", 5, "versions", ""), ("a b", "c d", 3, "ai_compare", "shorter"), ("x y", "z y", 2, "ai_compare", "plain")],
+                                    "from_text string, to_text string, votes long, source string, reason string")
+    accepted = spark.createDataFrame([("Q R", "S", 1), ("q r", "s", 0)], "from_text string, to_text string, pos int")
+    assert rows(learning.merge_rewrite_rules(learned, accepted).select("from_text", "votes", "source", "reason")) == [
+        ("a  b", 5, "versions", ""), ("q r", 9999, "accepted_feedback", ""), ("x y", 2, "ai_compare", "plain")]
+
+
+def test_profile_from_versions_to_scan(spark, tmp_path):
+    """Rules learned from a pair, stored, read again, and found in another report."""
+    docs, pairs = _small_corpus(spark)
+    paragraphs = docs.select("doc_id", F.lit(0).alias("para_no"), "text")
+    answer = '{"deprecated_phrases":["Stay Here"],"preferred_rewrites":[{"from":"stay here now","to":"stay here","reason":"shorter"}],"style_rules":["Be brief."]}'
+    responses = spark.createDataFrame([("p1", answer), ("p2", answer), ("p2", "none")], "pair_id string, response string")
+    learned = profile.learn(profile.Evidence(docs, paragraphs, pairs, responses=responses), profile.Limits(min_rewrites=1, min_drop=1, min_len=1))
+    sinks.write_profile(profile.rules(learned), str(tmp_path / "profile"))
+    stored = sinks.read_profile(spark, str(tmp_path / "profile"))
+    assert rows(stored.filter("kind = 'rewrite'").select("rank", "phrase", "detail", "source", "reason", "n")) == [
+        (1, "stay here now", "stay here", "ai_compare", "shorter", 2), (2, "The tested device unit.", "The tested unit.", "versions", "", 1)]
+    wanted = profile.for_scan(stored)
+    assert wanted.styles is None and wanted.image_widths is None and rows(wanted.ai_phrases) == [("stay here",)]
+    text = spark.createDataFrame([(9, "The tested device unit. " + "Stay here. " * 5)], "doc_id long, text string")
+    blocks = spark.createDataFrame([(9, 0, "p", "x", None, None, None, None)], "doc_id long, block_no int, type string, text string, style_id string, style_name string, heading_level int, rows array<array<string>>")
+    breaks = spark.createDataFrame([], "doc_id long, para_no int, text string, has_break boolean")
+    found = sinks.in_order(scan.scan(scan.Reports(blocks=blocks, breaks=breaks, texts=text), wanted))
+    assert {"DOC-STYLE-REWRITE-001", "DOC-STYLE-DEPRECATED-AI-001"} <= {r.code for r in found.collect()}
+    reports = spark.createDataFrame([(9, "nine.docx"), (8, "eight.docx")], "doc_id long, file_name string")
+    path = str(tmp_path / "results")
+    sinks.write_scan_results(sinks.scan_results(found, spark.createDataFrame([], "doc_id long"), reports), path)
+    assert sorted((r.document, len(r.diagnostics)) for r in spark.read.json(path).collect()) == [("eight.docx", 0), ("nine.docx", found.count())]
 
 
 def test_suppression_order_and_no_extra_rows(spark):
