@@ -416,12 +416,18 @@ def cvss_consistency(facts: DataFrame) -> DataFrame:
 # --- suppression --------------------------------------------------------------------------
 
 
+#: A message on one in so many diagnostics, or more, is common; there are at most as many of them.
+COMMON_SHARE = 1000
+
+
 def suppress(diagnostics: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop diagnostics that reviewers rejected or ignored, unless one was accepted.
 
     ``rules`` has decision (accept, reject, ignore), code and message_contains; an empty
     text means "any".  Codes must be equal, message parts are found ignoring case and
-    spacing.  Rows never multiply: rules are reduced to flags before they are joined.
+    spacing.  Rules are applied to the distinct messages, each with a digest and a number of rows.  What becomes of
+    common messages goes to all rows at once, so that the rows of one are never put together; the
+    other rows meet the dropped messages by digest.
     """
     keyed = rules.select(
         "decision",
@@ -430,23 +436,28 @@ def suppress(diagnostics: DataFrame, rules: DataFrame) -> DataFrame:
     ).distinct()
     flags = [F.bool_or(F.col("decision") == d).alias(d) for d in ("accept", "reject", "ignore")]
 
-    tagged = diagnostics.withColumns(
-        {"_code": t.strip(F.coalesce("code", F.lit(""))), "_key": t.squash(F.coalesce("message", F.lit("")))}
-    )
-    messages = tagged.select("_code", F.col("_key").alias("text")).distinct()
-    hits = phrase_hits(messages, keyed.select("phrase"), ["_code"])
-    by_message = (
-        hits.select("_code", F.col("text").alias("_key"), "phrase")
+    code, text = t.strip(F.coalesce("code", F.lit(""))), t.squash(F.coalesce("message", F.lit("")))
+    tagged = diagnostics.withColumn("_message", F.md5(F.concat(code, F.lit("\n"), text)))
+    told = tagged.select("_message", code.alias("_code"), text.alias("text"))
+    messages = settle(told.groupBy("_message").agg(F.first("_code").alias("_code"), F.first("text").alias("text"), F.count("*").alias("_n")))
+    by_text = (
+        phrase_hits(messages.select("_message", "_code", "text"), keyed.select("phrase"), ["_message", "_code"])
+        .select("_message", "_code", "phrase")
         .join(keyed.filter("phrase <> ''"), "phrase")
         .filter("rule_code = '' or rule_code = _code")
-        .groupBy("_code", "_key")
+        .groupBy("_message")
         .agg(*flags)
     )
     by_code = keyed.filter("phrase = '' and rule_code <> ''").groupBy(F.col("rule_code").alias("_code")).agg(*flags)
-
-    joined = tagged.join(by_message.alias("m"), ["_code", "_key"], "left").join(by_code.alias("c"), "_code", "left")
+    joined = messages.select("_message", "_code", "_n").join(by_text.alias("m"), "_message", "left").join(by_code.alias("c"), "_code", "left")
 
     def either(flag: str) -> Column:
         return F.coalesce(F.col(f"m.{flag}"), F.lit(False)) | F.coalesce(F.col(f"c.{flag}"), F.lit(False))
 
-    return joined.filter(either("accept") | ~(either("reject") | either("ignore"))).select(*diagnostics.columns)
+    dropped = ~either("accept") & (either("reject") | either("ignore"))
+    rows = messages.agg(F.sum("_n")).scalar()
+    judged = settle(joined.select("_message", dropped.alias("_dropped"), (F.col("_n") * COMMON_SHARE >= rows).alias("_common")))
+    common = F.broadcast(judged.filter("_common").select("_message", "_dropped"))  # at most COMMON_SHARE rows
+    marked = tagged.join(common, "_message", "left")
+    rare = marked.filter("_dropped is null").join(judged.filter("_dropped and not _common").select("_message"), "_message", "left_anti")
+    return marked.filter("not _dropped").unionByName(rare).select(*diagnostics.columns)

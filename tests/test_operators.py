@@ -255,6 +255,22 @@ def test_suppression_order_and_no_extra_rows(spark):
     assert rows(checks.suppress(diagnostics, rules).select("doc_id")) == [(1,), (4,)]
 
 
+@pytest.mark.parametrize("share", [2, 1000])
+def test_suppression_of_common_and_rare_messages(spark, monkeypatch, share):
+    """One message is on a third of all rows; it may be kept, dropped or accepted."""
+    monkeypatch.setattr(checks, "COMMON_SHARE", share)
+    random.seed(2)
+    data = [(i, random.choice("ABC") if i % 3 else "A", "Common  one" if i % 3 == 0 else f"note {random.randrange(60)}") for i in range(600)]
+    diagnostics = spark.createDataFrame(data, "doc_id long, code string, message string")
+    for common in ("accept", "reject", "ignore", None):
+        decisions = [("reject", "B", ""), ("reject", "", "note 1"), ("accept", "C", "note 12")] + ([(common, "A", "COMMON one")] if common else [])
+        def stays(code, message):
+            hit = {d for d, c, part in decisions if c in ("", code) and part.lower() in " ".join(message.lower().split())}
+            return "accept" in hit or not hit & {"reject", "ignore"}
+        rules = spark.createDataFrame(decisions, "decision string, code string, message_contains string")
+        assert rows(checks.suppress(diagnostics, rules)) == sorted(r for r in data if stays(*r[1:]))
+
+
 def test_decisions_come_from_text_reply_or_neighbour(spark):
     base = '[R][C-1][warning] "one two" -> "one three"'
     data = [(1, 0, 1, None, "bot", base), (1, 1, 2, 1, "me", "accepted"), (1, 2, 3, None, "bot", base), (1, 3, 4, None, "bot", "accept: mine"),
