@@ -99,30 +99,48 @@ def reviewed_diagnostics(resolved: DataFrame) -> DataFrame:
     return resolved.filter("rule is not null").select("doc_id", "seq", "decision", "rule.*")
 
 
+REWRITE_COLUMNS = ["from_text", "to_text"]
+DIAGNOSTIC_COLUMNS = ["code", "message_contains"]
+
+
+def _rewrite_keys() -> dict[str, Column]:
+    return {"_from": t.squash(F.col("from_text")), "_to": t.squash(F.col("to_text"))}
+
+
+def _diagnostic_keys() -> dict[str, Column]:
+    return {"_code": F.upper(t.strip(t.collapse(F.col("code")))), "_message": t.squash(F.col("message_contains"))}
+
+
 def _new_rules(existing: DataFrame, reviewed: DataFrame, keys: dict[str, Column], columns: list[str]) -> DataFrame:
     names = ["decision", *keys]
-    first = F.min_by(F.struct(*columns), F.struct("doc_id", "seq"))
+    first = F.min_by(F.struct(*columns, "doc_id", "seq"), F.struct("doc_id", "seq"))
     fresh = reviewed.withColumns(keys).groupBy(*names).agg(first.alias("rule"))
     return fresh.join(existing.withColumns(keys).select(*names), names, "left_anti").select("decision", "rule.*")
 
 
+def new_rewrites(existing: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Rewrite decisions that ``existing`` does not have, worded as first reviewed: decision, from_text, to_text, doc_id, seq."""
+    return _new_rules(existing, reviewed, _rewrite_keys(), REWRITE_COLUMNS)
+
+
+def new_diagnostics(existing: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Diagnostic decisions that ``existing`` does not have: decision, code, message_contains, doc_id, seq.  Codes are equal whatever their case."""
+    return _new_rules(existing, reviewed, _diagnostic_keys(), DIAGNOSTIC_COLUMNS)
+
+
+def _merged(existing: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    added = new.select("decision", *columns, F.lit(True).alias("added"))
+    return existing.select("decision", *columns, F.lit(False).alias("added")).unionByName(added)
+
+
 def merge_rewrites(existing: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Existing rewrite decisions plus new ones, with ``added`` telling which is which."""
-    keys = {"_from": t.squash(F.col("from_text")), "_to": t.squash(F.col("to_text"))}
-    columns = ["from_text", "to_text"]
-    new = _new_rules(existing, reviewed, keys, columns)
-    return existing.select("decision", *columns, F.lit(False).alias("added")).unionByName(new.withColumn("added", F.lit(True)))
+    return _merged(existing, new_rewrites(existing, reviewed), REWRITE_COLUMNS)
 
 
 def merge_diagnostics(existing: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Existing diagnostic decisions plus new ones; codes merge whatever their case."""
-    keys = {
-        "_code": F.upper(t.strip(t.collapse(F.col("code")))),
-        "_message": t.squash(F.col("message_contains")),
-    }
-    columns = ["code", "message_contains"]
-    new = _new_rules(existing, reviewed, keys, columns)
-    return existing.select("decision", *columns, F.lit(False).alias("added")).unionByName(new.withColumn("added", F.lit(True)))
+    """Existing diagnostic decisions plus new ones."""
+    return _merged(existing, new_diagnostics(existing, reviewed), DIAGNOSTIC_COLUMNS)
 
 
 def feedback_counts(merged_rewrites: DataFrame, merged_diagnostics: DataFrame) -> DataFrame:

@@ -276,11 +276,12 @@ def merge_rewrite_rules(learned: DataFrame, accepted: DataFrame) -> DataFrame:
     from_text, to_text = F.col("from_text"), F.col("to_text")
     more = [c for c in ("source", "reason") if c in learned.columns]
     given = {"source": F.lit("accepted_feedback"), "reason": F.lit("")}
-    pos = F.col("pos").cast("bigint") if "pos" in accepted.columns else F.lit(0).cast("bigint")
+    kind = dict(accepted.dtypes).get("pos", "bigint")
+    pos = F.col("pos") if "pos" in accepted.columns else F.lit(None).cast(kind)
     ranked_ = accepted.select(
         "from_text", "to_text", F.lit(fixed.ACCEPTED_REWRITE_COUNT).cast("bigint").alias("votes"), F.lit(0).alias("priority"), pos.alias("pos"), *[given[c].alias(c) for c in more]
     ).unionByName(
-        learned.select("from_text", "to_text", F.col("votes").cast("bigint").alias("votes"), F.lit(1).alias("priority"), F.lit(0).cast("bigint").alias("pos"), *more)
+        learned.select("from_text", "to_text", F.col("votes").cast("bigint").alias("votes"), F.lit(1).alias("priority"), F.lit(None).cast(kind).alias("pos"), *more)
     )
     order = F.struct("priority", "pos", (-F.col("votes")).alias("v"), "from_text", "to_text", *more)
     first = F.min_by(F.struct("from_text", "to_text", "votes", "priority", *more), order)

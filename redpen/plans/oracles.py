@@ -738,6 +738,10 @@ STATEMENTS = {
         join (select decision, count(distinct (from_text, to_text)) filter (doc_id % 2 = 0) as kept from reviewed group by all) using (decision) group by decision
         union all
         select 'diagnostic', decision, count(distinct substr(squashed, 1, 220)), case decision when 'accept' then 1 else 2 end from rules group by decision)""",
+    "stored_feedback": f"""
+        select distinct 'rewrite' as kind, r.decision, {squash('p.from_text')} as a, {squash('p.to_text')} as b
+        from ({_RESOLVED}) r join ({_COMMENT_PAIRS}) p on p.doc_id = r.doc_id and p.seq = r.seq where r.decision is not null
+        union all select distinct 'diagnostic', decision, code, rtrim(substr({squash("regexp_extract(text, '(?s)^(?:[^]]*[]]){3}(.*)$', 1)")}, 1, 220)) from ({_RESOLVED}) where decision is not null""",
     "resolve_anchors": _ANCHORED,
     "section_hints": f"select doc_id, seq, unnest(range(len(h))) as nth, unnest(h) as hint from (select doc_id, seq, {hints('loc_section')} as h from v_diagnostics)",
     "comment_rows": f"""

@@ -12,7 +12,7 @@ from redpen.operators.lineage import settle, shared_folder
 from redpen.operators.matching import phrase_hits
 from redpen.plans import profile, refresh, scan
 from redpen.plans.views import Views
-from redpen.sources import configs, packages, sinks
+from redpen.sources import configs, packages, rule_store, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -545,6 +545,16 @@ def merge_feedback(v: Views) -> DataFrame:
     return feedback.feedback_counts(merged, rules)
 
 
+@query
+def stored_feedback(v: Views) -> DataFrame:
+    """Rules stored by two upserts, the second over comments of which the first had half."""
+    folder = shared_folder(v.spark, "rules")
+    resolved = settle(feedback.resolve_decisions(v.comments(), "qa-bot"))
+    for part in (resolved.filter("doc_id % 2 = 0"), resolved):
+        rule_store.upsert(v.spark, folder, part)
+    return rule_store.stored(v.spark, folder).select("kind", "decision", F.when(F.col("kind") == "rewrite", t.squash(F.col("a"))).otherwise(F.col("a")).alias("a"), t.squash(F.col("b")).alias("b"))
+
+
 @query
 def resolve_anchors(v: Views) -> DataFrame:
     return anchors.resolve_anchors(v.diagnostics(), v.paras())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from redpen.operators import alignment, anchors, checks, feedback, learning, matching, ordered, structure
 from redpen.plans import profile, scan
-from redpen.sources import configs, packages, sinks
+from redpen.sources import configs, packages, rule_store, sinks
 
 
 def rows(df):
@@ -284,6 +284,58 @@ def test_decisions_come_from_text_reply_or_neighbour(spark):
     assert not [r for r in feedback.merge_rewrites(once.drop("added"), reviewed).collect() if r["added"]]
 
 
+def _resolved(spark, *said):
+    data = [(doc_id, 0, decision, (f"{a}", f"{b}") if kind == "rewrite" else None, (a, b) if kind == "diagnostic" else None) for doc_id, kind, decision, a, b in said]
+    return spark.createDataFrame(data, "doc_id long, seq long, decision string, rewrite struct<from_text:string,to_text:string>, rule struct<code:string,message_contains:string>")
+
+
+def _rules(spark, folder):
+    return sorted((r.kind, r.decision, r.a, r.b, r.commit) for r in rule_store.stored(spark, folder).collect())
+
+
+def test_stored_rules_grow_by_upserts(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    assert _rules(spark, folder) == []
+    first = _resolved(spark, (1, "rewrite", "accept", "One  two", "one"), (2, "rewrite", "accept", "one two", "ONE"), (1, "diagnostic", "reject", "c-1", "Some  text"))
+    assert rows(rule_store.upsert(spark, folder, first)) == [("diagnostic", "reject", 1), ("rewrite", "accept", 1)]
+    again = _resolved(spark, (3, "rewrite", "accept", "ONE TWO", "one"), (3, "rewrite", "reject", "one two", "one"), (3, "diagnostic", "reject", "C-1", "some text"))
+    assert rows(rule_store.upsert(spark, folder, again)) == [("rewrite", "reject", 1)]
+    want = [("diagnostic", "reject", "c-1", "Some  text", 1), ("rewrite", "accept", "One  two", "one", 1), ("rewrite", "reject", "one two", "one", 2)]
+    assert _rules(spark, folder) == want
+    # folders are gathered, and what came first stays first
+    monkeypatch.setattr(rule_store, "FOLDERS", 2)
+    rule_store.upsert(spark, folder, _resolved(spark, (0, "rewrite", "accept", "a b", "a")))
+    assert _rules(spark, folder) == sorted([*want, ("rewrite", "accept", "a b", "a", 3)]) and len(rule_store.last_commit(spark, folder)[1]) == 1
+    kept = learning.merge_rewrite_rules(spark.createDataFrame([], "from_text string, to_text string, votes long"), rule_store.rewrites(rule_store.stored(spark, folder)).filter("decision = 'accept'"))
+    assert rows(kept.select("from_text")) == [("One  two",), ("a b",)]
+
+
+def test_an_upsert_that_dies_halfway_adds_nothing(spark, tmp_path, monkeypatch):
+    folder, said = str(tmp_path), _resolved(spark, (1, "rewrite", "accept", "a b", "a"))
+    monkeypatch.setattr(rule_store, "_commit", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        rule_store.upsert(spark, folder, said)
+    monkeypatch.undo()
+    assert _rules(spark, folder) == []
+    rule_store.upsert(spark, folder, said)
+    assert _rules(spark, folder) == [("rewrite", "accept", "a b", "a", 1)]
+
+
+def test_two_writers_of_one_commit(spark, tmp_path, monkeypatch):
+    """The other writer is first; what it added is not added again."""
+    folder, commit = str(tmp_path), rule_store._commit
+    mine = _resolved(spark, (1, "rewrite", "accept", "a b", "a"), (2, "rewrite", "accept", "c d", "c"))
+
+    def late(*args):
+        monkeypatch.setattr(rule_store, "_commit", commit)
+        rule_store.upsert(spark, folder, _resolved(spark, (9, "rewrite", "accept", "A B", "a")))
+        commit(*args)
+
+    monkeypatch.setattr(rule_store, "_commit", late)
+    rule_store.upsert(spark, folder, mine)
+    assert _rules(spark, folder) == [("rewrite", "accept", "A B", "a", 1), ("rewrite", "accept", "c d", "c", 2)]
+
+
 def test_anchor_ladder(spark):
     paragraphs = spark.createDataFrame([(1, 0, ""), (1, 1, "Intro text"), (1, 2, "Weak TLS"), (1, 3, "We used weak tls ciphers"), (1, 4, "Gathering of Information for Devices")],
                                        "doc_id long, para_no int, text string")
