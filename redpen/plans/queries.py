@@ -36,29 +36,29 @@ def flat(diagnostics: DataFrame, *more: str) -> DataFrame:
 
 @query
 def ingest_blocks(v: Views) -> DataFrame:
-    blocks = packages.blocks(packages.read_packages(v.packages()))
+    blocks = packages.blocks(packages.read_packages(v.packages(), "block"))
     return blocks.select("doc_id", "block_no", "type", "text", "style_name", "heading_level")
 
 
 @query
 def ingest_layout(v: Views) -> DataFrame:
-    parts = packages.read_packages(v.packages())
+    parts = settle(packages.read_packages(v.packages(), "layout_paragraph", "layout_table", "layout_image"))
     return packages.layout_snapshot(packages.layout_paragraphs(parts), packages.layout_tables(parts), packages.layout_images(parts))
 
 
 @query
 def ingest_breaks(v: Views) -> DataFrame:
-    return packages.breaks(packages.read_packages(v.packages()))
+    return packages.breaks(packages.read_packages(v.packages(), "paragraph"))
 
 
 @query
 def ingest_comments(v: Views) -> DataFrame:
-    return packages.comments(packages.read_packages(v.packages()))
+    return packages.comments(packages.read_packages(v.packages(), "comment"))
 
 
 @query
 def ingest_tracked(v: Views) -> DataFrame:
-    return packages.tracked(packages.read_packages(v.packages()))
+    return packages.tracked(packages.read_packages(v.packages(), "tracked"))
 
 
 @query

@@ -429,3 +429,38 @@ def test_damaged_packages_give_error_rows(spark):
     parts = packages.read_packages(spark.createDataFrame(files, "doc_id long, content binary"))
     assert [r[0] for r in rows(packages.errors(parts).select("doc_id"))] == [1, 2, 3, 4, 5]
     assert packages.breaks(parts).filter("doc_id = 6").count() == 500
+
+
+def test_only_asked_kinds_are_read(spark):
+    """Members that nothing asked for may be damaged; a report is read paragraph by paragraph."""
+    body = "<w:p><w:pPr><w:pStyle w:val='H1'/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p>" + "<w:p><w:r><w:t>x</w:t></w:r></w:p>" * 3
+    whole = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(_package(body, comments="<w:comment w:id='1'/>"))) as good, zipfile.ZipFile(whole, "w") as bad:
+        bad.writestr("word/document.xml", good.read("word/document.xml"))
+        bad.writestr("word/styles.xml", "<w:styles")
+        bad.writestr("word/comments.xml", "no xml")
+    files = spark.createDataFrame([(1, whole.getvalue())], "doc_id long, content binary")
+    assert packages.breaks(packages.read_packages(files, "paragraph")).count() == 4
+    assert rows(packages.read_packages(files, "tracked", "layout_paragraph").groupBy("part").count()) == [("layout_paragraph", 4)]
+    for kind in ("block", "comment"):
+        assert rows(packages.read_packages(files, kind).select("part")) == [("error",)]
+    with pytest.raises(ValueError):
+        packages.read_packages(files, "blocks")
+
+
+def test_a_long_report_is_not_held_whole():
+    import tracemalloc
+
+    def most(n):
+        content = packages.pa.scalar(_package("<w:p><w:r><w:t>some words here</w:t></w:r></w:p>" * n), packages.pa.binary())
+        out = packages._Rows({"paragraph", "error"})
+        tracemalloc.start()
+        for _ in packages._package(out, 1, content):
+            if out.n >= 1000:
+                for _ in out.taken():
+                    pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert most(60_000) < most(6_000) + 4_000_000
