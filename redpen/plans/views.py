@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*COLUMNS[name])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that lies in fewer files than there are cores, dealt to all of them; others as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 class Views:
     """The derived tables of one data directory."""
 
@@ -38,7 +44,8 @@ class Views:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        rows = table(self.spark, self.sf_dir, name)
+        return spread(rows, "doc_id") if name == "documents" else rows
 
     def _sql(self, statement: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(statement, **frames)
