@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import fixed, text as t
 from redpen.operators.lineage import settle
-from redpen.operators.matching import hits_within
+from redpen.operators.matching import phrase_hits
 from redpen.operators.ordered import numbered, position_bucket
 
 
@@ -129,7 +129,7 @@ def resolve_anchors(diagnostics: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
     wanted = needles.select("doc_id", "phrase").unionByName(probes.select("doc_id", "phrase"))
     lowered = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
-    matches = settle(hits_within(lowered, wanted, ["doc_id", "para_no"], ["doc_id"]))
+    matches = settle(phrase_hits(lowered, wanted, ["doc_id", "para_no"], ["doc_id"]).drop("n"))
     hits = matches.join(paragraphs, ["doc_id", "para_no"])
 
     by_needle = candidates.join(_needle_paragraphs(needles, hits), ["doc_id", "needle"]).select(

@@ -235,13 +235,10 @@ def deprecated_phrases(
 
 def preferred_case(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Reports that use a phrase (``lower``) but never in its ``preferred`` casing."""
-    both = texts.select("doc_id", F.col("text").alias("original"), F.lower("text").alias("text"))
-    hits = phrase_hits(both, rules.select(F.col("lower").alias("phrase")), ["doc_id", "original"])
-    missing = (
-        hits.select("doc_id", "original", "phrase")
-        .join(rules.select(F.col("lower").alias("phrase"), "preferred"), "phrase")
-        .filter(~F.contains("original", "preferred"))
-    )
+    hits = phrase_hits(texts.select("doc_id", F.lower("text").alias("text")), rules.select(F.col("lower").alias("phrase")), ["doc_id"])
+    used = hits.select("doc_id", F.col("phrase").alias("lower")).join(rules.select("lower", "preferred"), "lower")
+    cased = phrase_hits(texts.select("doc_id", "text"), rules.select(F.col("preferred").alias("phrase")), ["doc_id"])
+    missing = used.join(cased.select("doc_id", F.col("phrase").alias("preferred")), ["doc_id", "preferred"], "left_anti")
     severity, code, message = fixed.CASE
     return _diagnostics(missing, 8, severity, code, F.format_string(message, "preferred"), section="Document")
 
@@ -263,12 +260,10 @@ def preferred_rewrites(
     """Reports that hold a rule's old wording and not its new one."""
     usable = settle(usable_rewrites(rules, ignored, rejected).withColumnRenamed("from_key", "phrase"))
     squashed = texts.select("doc_id", t.squash(F.col("text")).alias("text"))
-    found = (
-        phrase_hits(squashed, usable.select("phrase"), ["doc_id"])
-        .select("doc_id", "text", "phrase")
-        .join(usable, "phrase")
-        .filter(~F.contains("text", "to_key"))
-    )
+    # the new wording is looked for like the old one, so texts do not travel with their hits
+    both = usable.select("phrase").unionByName(usable.select(F.col("to_key").alias("phrase")))
+    hits = settle(phrase_hits(squashed, both, ["doc_id"]).select("doc_id", "phrase"))
+    found = hits.join(usable, "phrase").join(hits.select("doc_id", F.col("phrase").alias("to_key")), ["doc_id", "to_key"], "left_anti")
     severity, code, message = fixed.REWRITE
     return _diagnostics(
         found, 9, severity, code, F.format_string(message, "from_text", "to_text"), section="Document",
@@ -279,12 +274,13 @@ def preferred_rewrites(
 # --- checks against learned layout ----------------------------------------------------
 
 
-def _unexpected(facts: DataFrame, column: str, learned: DataFrame, at_least: int, shown: Column) -> DataFrame:
-    """The four most used values per report that are not learned, as one text."""
+def _unexpected(facts: DataFrame, column: str, learned: DataFrame, at_least: int, shown: Column, most: int | None) -> DataFrame:
+    """The ``most`` used values per report that are not learned (None: all), as one text."""
     counts = facts.groupBy("doc_id", column).agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
     strange = counts.join(learned.select(column).distinct(), column, "left_anti").filter(learned.exists())
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), column))
-    top = strange.withColumn("rank", rank).filter("rank <= 4")
+    ranked = strange.withColumn("rank", rank)
+    top = ranked if most is None else ranked.filter(F.col("rank") <= most)
     listed = F.sort_array(F.collect_list(F.struct("rank", shown.alias("shown"), F.col(column).alias("value"))))
     return top.groupBy("doc_id").agg(listed.alias("listed")).select(
         "doc_id",
@@ -320,18 +316,18 @@ def table_examples(blocks: DataFrame) -> DataFrame:
     )
 
 
-def paragraph_styles(layout: DataFrame, learned: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+def paragraph_styles(layout: DataFrame, learned: DataFrame, examples: DataFrame | None = None, most: int | None = 4) -> DataFrame:
     shown = F.format_string("%s (%dx)", "style_id", "n")
-    found = _with_example(_unexpected(layout, "style_id", learned, 3, shown), "style_id", examples)
+    found = _with_example(_unexpected(layout, "style_id", learned, 3, shown, most), "style_id", examples)
     severity, code, message = fixed.PARAGRAPH_STYLES
     return _diagnostics(
         found, 10, severity, code, F.format_string(message, "details"), section="Document", text=_cut(F.col("example"))
     )
 
 
-def table_columns(layout: DataFrame, learned: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+def table_columns(layout: DataFrame, learned: DataFrame, examples: DataFrame | None = None, most: int | None = 4) -> DataFrame:
     shown = F.format_string("%d cols (%dx)", "columns", "n")
-    found = _with_example(_unexpected(layout, "columns", learned, 2, shown), "columns", examples)
+    found = _with_example(_unexpected(layout, "columns", learned, 2, shown, most), "columns", examples)
     severity, code, message = fixed.TABLE_COLUMNS
     return _diagnostics(
         found, 11, severity, code, F.format_string(message, "details"), section="Document", text=_cut(F.col("example"))

@@ -35,21 +35,20 @@ def rewrite_pair(text: Column) -> Column:
     return F.when((clean["from_text"] != "") & (clean["to_text"] != ""), clean)
 
 
-def diagnostic_rule(text: Column) -> Column:
-    """Code and message of a ``[label][code][severity] message`` comment, else null.
+def diagnostic_rule(text: Column, most_chars: int | None = fixed.RULE_MESSAGE_CHARS) -> Column:
+    """Code and message of a ``[label][code][severity] message`` comment, else null; ``most_chars`` of the message (None: whole).
 
     Accept and reject markers typed into the comment are not part of it.
     """
     plain = t.strip(F.regexp_replace(text, fixed.MARKER, ""))
     code = t.strip(F.regexp_extract(plain, fixed.DIAGNOSTIC_COMMENT, 1))
     message = F.trim(t.collapse(F.regexp_extract(plain, fixed.DIAGNOSTIC_COMMENT, 2)))
-    rule = F.struct(
-        code.alias("code"), F.rtrim(F.substring(message, 1, fixed.RULE_MESSAGE_CHARS)).alias("message_contains")
-    )
+    kept = message if most_chars is None else F.rtrim(F.substring(message, 1, most_chars))
+    rule = F.struct(code.alias("code"), kept.alias("message_contains"))
     return F.when((code != "") | (message != ""), rule)
 
 
-def resolve_decisions(comments: DataFrame, author: str, ahead: int = 6, id_gap: int = 8) -> DataFrame:
+def resolve_decisions(comments: DataFrame, author: str, ahead: int = 6, id_gap: int = 8, most_chars: int | None = fixed.RULE_MESSAGE_CHARS) -> DataFrame:
     """Comments by ``author`` that state a rule, with the verdict on them.
 
     The verdict is in the comment itself, else in its first deciding reply, else in the
@@ -58,7 +57,7 @@ def resolve_decisions(comments: DataFrame, author: str, ahead: int = 6, id_gap:
     placed = numbered(comments, ["doc_id"], ["seq"], position_bucket("seq"), "nth").withColumn(
         "verdict", decision(F.col("text"))
     )
-    rewrite, rule = rewrite_pair(F.col("text")), diagnostic_rule(F.col("text"))
+    rewrite, rule = rewrite_pair(F.col("text")), diagnostic_rule(F.col("text"), most_chars)
     base = placed.filter(t.strip(F.coalesce("author", F.lit(""))) == author).select(
         "doc_id", "seq", "nth", "comment_id", "text", "verdict", rewrite.alias("rewrite"), rule.alias("rule")
     ).filter("rewrite is not null or rule is not null")

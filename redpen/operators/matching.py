@@ -1,185 +1,153 @@
 """Which phrases occur in which texts, as plain substrings.
 
-Testing every text against every phrase does not scale.  Two exact ways are offered:
-
-* a phrase table whose size was checked is sent to the executors as one automaton,
-  and each text is read once however many phrases there are;
-* otherwise both sides meet on a word.  A word inside a phrase, with a separator on
-  both sides, must be a whole word of any text holding the phrase; its rarest such
-  word is the join key.  Phrases without one are first matched against the distinct
-  words of the texts by a word beginning or a word piece.  The candidates are then
-  verified against the whole text.
+Testing every text against every phrase does not scale, and neither does sending all phrases to
+every task.  Each phrase is known by one short piece of it, the rarest of a few among the phrases.  A bitmap of
+fixed size tells where in the texts such pieces may stand; only these places travel, meet the
+phrases by the piece, and come back to their text, which is read there.  Sizes change nothing but the number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from redpen.functions.text import exact_count
+from redpen.functions.text import bind
 from redpen.operators.lineage import settle
 
-AUTOMATON_PHRASES = 200_000
-AUTOMATON_CHARS = 4_000_000
-SMALL_GROUP_PAIRS = 1_000_000
-PIECES = [1, 2, 3, 5, 8]
-
-_RUN = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
-_HITS = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType())]))
-
-
-def small_phrase_list(phrases: DataFrame) -> list[str] | None:
-    """The distinct phrases if few and short enough to send to every executor, else None."""
-    size = phrases.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).first()
-    if size["n"] > AUTOMATON_PHRASES or size["chars"] > AUTOMATON_CHARS:
-        return None
-    return [r["phrase"] for r in phrases.collect()]
-
-
-def phrase_hits(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per text and phrase found in it, with the non-overlapping count ``n``.
+#: Bytes of a piece: the most that a phrase has of these.
+WIDTHS = (1, 2, 4, 8)
+#: Pieces of a phrase that are considered, spread over it.
+PIECES = 4
+MAP_BITS = 1 << 23
+_CHUNK_BITS = 1 << 15
+#: Bytes of text looked at together.
+CHUNK_BYTES = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _pieces_at(data: np.ndarray, begin: int, n: int, width: int) -> np.ndarray:
+    """A number for each ``width`` bytes that begin at ``begin`` and the ``n - 1`` places behind it; other bytes give other numbers."""
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out |= data[begin + k : begin + k + n].astype(np.uint64) << np.uint64(8 * k)
+    return _mixed(out + np.uint64(width))
+
+
+def _buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string array; nulls are empty."""
+    text = text.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    return offsets, np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+
+
+def _phrase_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(phrase) to (phrase, width, at, piece) for a few pieces of each phrase."""
+    for batch in batches:
+        offsets, data = _buffers(batch.column(0))
+        length = np.diff(offsets)
+        widths = np.array(WIDTHS)[np.searchsorted(WIDTHS, length, "right") - 1]
+        for width in WIDTHS:
+            rows = np.flatnonzero((widths == width) & (length > 0))
+            last = length[rows] - width
+            at = np.unique(np.concatenate([np.column_stack([rows, last * k // (PIECES - 1)]) for k in range(PIECES)]), axis=0)
+            rows, at = at[:, 0], at[:, 1]
+            piece = np.array([_pieces_at(data, b, 1, width)[0] for b in offsets[rows] + at], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), width, np.int32)), pa.array(at.astype(np.int32)), pa.array(piece)], ["phrase", "width", "at", "piece"])
+
+
+def _known_by(phrases: DataFrame) -> DataFrame:
+    """phrase, width, at, piece: the piece of each phrase that the fewest phrases have."""
+    pieces = settle(phrases.mapInArrow(_phrase_pieces, "phrase string, width int, at int, piece bigint"))
+    common = pieces.groupBy(F.col("piece").alias("c_piece")).agg(F.count("*").alias("n"))
+    placed = pieces.join(common, F.col("piece") == F.col("c_piece"))
+    best = F.min_by(F.struct("width", "at", "piece"), F.struct("n", "at"))
+    return placed.groupBy("phrase").agg(best.alias("b")).select("phrase", "b.*")
+
+
+def _bitmap(pieces: DataFrame) -> bytes:
+    spot = F.col("piece").bitwiseAND(F.lit(MAP_BITS - 1))
+    chunks = pieces.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / _CHUNK_BITS).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.col("spot") % _CHUNK_BITS).alias("bits")
+    )
+    whole = bytearray(MAP_BITS // 8)
+    for row in chunks.toLocalIterator():
+        begin = row["chunk"] * (_CHUNK_BITS // 8)
+        whole[begin : begin + len(row["bits"])] = row["bits"]
+    return bytes(whole)
+
+
+def _spots(map_, widths: list[int]):
+    """The places of a text where a known piece may begin."""
+    kind = pa.struct([("piece", pa.int64()), ("at", pa.int32())])
+
+    @F.arrow_udf("array<struct<piece:bigint,at:int>>")
+    def spots(text: pa.Array) -> pa.Array:
+        offsets, data = _buffers(text)
+        cells = np.frombuffer(map_.value, np.uint8)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for begin in range(int(offsets[0]), int(offsets[-1]), CHUNK_BYTES):
+            for width in widths:
+                n = min(CHUNK_BYTES, int(offsets[-1]) - begin - width + 1)
+                if n <= 0:
+                    continue
+                pieces = _pieces_at(data, begin, n, width)
+                spot = pieces & np.uint64(MAP_BITS - 1)
+                hit = np.flatnonzero((cells[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                at = hit + begin
+                inside = at + width <= offsets[np.searchsorted(offsets, at, "right")]
+                found.append((at[inside], pieces[hit[inside]]))
+        at, pieces = (np.concatenate([f[k] for f in found]) for k in range(2))
+        order = np.argsort(at, kind="stable")
+        at, pieces = at[order], pieces[order].view(np.int64)
+        lists = np.searchsorted(at, offsets).astype(np.int32)
+        local = (at - offsets[np.searchsorted(offsets, at, "right") - 1]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(pieces), pa.array(local)], fields=list(kind)))
+
+    return spots
+
+
+def _times(body: Column, phrase: Column, starts: Column) -> Column:
+    """At how many of ``starts`` (ascending, from 0) the bytes of the phrase stand, overlaps left out."""
+    size = F.octet_length(phrase)
+
+    def step(state: Column, at: Column) -> Column:
+        there = (at >= state["free"]) & (F.substring(body, at + 1, size) == phrase.cast("binary"))
+        return F.when(there, F.struct((state["n"] + 1).alias("n"), (at + size).alias("free"))).otherwise(state)
+
+    return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("free")), step)["n"]
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, keep: list[str], within: list[str] | None = None) -> DataFrame:
+    """One row per text and phrase found in it, with the non-overlapping count: keep, phrase, n.
 
     ``texts`` has a ``text`` column and the columns ``keep``, which identify a text;
     ``phrases`` has a ``phrase`` column.  Both must already be in the same letter case.
-    Result: keep, text, phrase, n.
+    With ``within`` (part of ``keep``) a phrase is only looked for in texts with the same values of these.
     """
-    wanted = settle(phrases.select("phrase").filter(F.length("phrase") > 0).distinct())
-    small = small_phrase_list(wanted)
-    if small is None:
-        return hits_by_word(texts, wanted, keep)
-    return hits_by_automaton(texts, small, keep)
-
-
-def hits_by_automaton(texts: DataFrame, phrases: list[str], keep: list[str]) -> DataFrame:
-    @F.pandas_udf(_HITS)
-    def count_phrases(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for phrase in phrases:
-            automaton.add_word(phrase, phrase)
-        automaton.make_automaton()
-
-        def count(text: str | None) -> list[dict]:
-            free_from: dict[str, int] = {}
-            found: dict[str, int] = {}
-            for end, phrase in automaton.iter(text or ""):
-                if end - len(phrase) + 1 >= free_from.get(phrase, 0):
-                    free_from[phrase] = end + 1
-                    found[phrase] = found.get(phrase, 0) + 1
-            return [{"phrase": p, "n": n} for p, n in found.items()]
-
-        for batch in batches:
-            yield batch.map(count)
-
-    if not phrases:
-        return texts.filter("false").select(*keep, "text", F.lit("").alias("phrase"), F.lit(0).alias("n"))
-    hits = texts.select(*keep, "text", F.explode(count_phrases("text")).alias("_hit"))
-    return hits.select(*keep, "text", F.col("_hit.phrase"), F.col("_hit.n"))
-
-
-def word_runs(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(_RUN), F.lit(1))
-
-
-def is_word(c: Column) -> Column:
-    return c.rlike(r"\A[\p{L}\p{N}]")
-
-
-def _piece_length(c: Column) -> Column:
-    """The longest listed piece length that fits."""
-    return F.array_max(F.filter(F.array(*[F.lit(n) for n in PIECES]), lambda n: n <= F.length(c)))
-
-
-def _beginnings(c: Column) -> Column:
-    return F.transform(
-        F.filter(F.array(*[F.lit(n) for n in PIECES]), lambda n: n <= F.length(c)),
-        lambda n: F.substring(c, F.lit(1), n),
-    )
-
-
-def _all_pieces(c: Column) -> Column:
-    def of_length(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
-
-    lengths = F.filter(F.array(*[F.lit(n) for n in PIECES]), lambda n: n <= F.length(c))
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
-def hits_by_word(texts: DataFrame, phrases: DataFrame, keep: list[str], within: list[str] | None = None) -> DataFrame:
-    """Join form of :func:`phrase_hits`; ``within`` keys (part of ``keep``) must be equal too."""
     within = within or []
-    rule = [*within, "phrase"]
-    longest_text = texts.agg(F.max(F.length("text")).alias("n")).select("n").scalar()
-    words = texts.select(*keep, F.explode(F.array_distinct(word_runs(F.col("text")))).alias("word"))
-
-    runs = (
-        phrases.select(*rule)
-        .filter(F.length("phrase") <= longest_text)
-        .distinct()
-        .select(*rule, word_runs(F.col("phrase")).alias("runs"))
-    )
-    inner = F.filter(F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 2, F.lit(0))), is_word)
-    last = F.element_at("runs", -1)
-    longest = F.array_max(F.transform("runs", lambda r: F.struct(is_word(r), F.length(r), r.alias("run"))))["run"]
-    has_start = (F.size("runs") > 1) & is_word(last)
-    parts = runs.select(
-        *rule,
-        F.when(F.size(inner) > 0, "whole").when(has_start, "start").otherwise("piece").alias("how"),
-        F.explode(
-            F.when(F.size(inner) > 0, F.array_distinct(inner)).otherwise(F.array(F.when(has_start, last).otherwise(longest)))
-        ).alias("part"),
-    )
-    piece = F.when(F.col("how") == "whole", F.col("part")).otherwise(
-        F.substring("part", F.lit(1), _piece_length(F.col("part")))
-    )
-    word = F.col("word")
-    keys = F.concat(
-        F.array(F.struct(F.lit("whole").alias("how"), word.alias("piece"))),
-        F.transform(_beginnings(word), lambda p: F.struct(F.lit("start").alias("how"), p.alias("piece"))),
-        F.transform(_all_pieces(word), lambda p: F.struct(F.lit("piece").alias("how"), p.alias("piece"))),
-    )
-    vocabulary = words.groupBy(*within, "word").agg(F.count("*").alias("texts_with"))
-    fitting = (
-        vocabulary.select(*within, "word", "texts_with", F.inline(keys))
-        .join(parts.withColumn("piece", piece), [*within, "how", "piece"])
-        .filter(
-            F.when(F.col("how") == "start", F.startswith("word", "part"))
-            .when(F.col("how") == "piece", F.contains("word", "part"))
-            .otherwise(True)
-        )
-    )
-    # Of the whole words of a phrase only the rarest stays; word pieces stay for every word they fit.
-    slot = F.when(F.col("how") == "whole", "").otherwise(word)
-    anchors = (
-        fitting.groupBy(*rule, slot.alias("slot"))
-        .agg(F.min_by("word", F.struct("texts_with", "word")).alias("word"))
-        .select(*rule, "word")
-    )
-
-    candidates = words.join(anchors, [*within, "word"]).select(*keep, "phrase").distinct()
-    found = candidates.join(texts.select(*keep, "text"), keep).filter(F.contains("text", "phrase"))
-    return found.select(*keep, "text", "phrase", exact_count(F.col("text"), F.col("phrase")).alias("n"))
-
-
-def hits_within(texts: DataFrame, phrases: DataFrame, keep: list[str], within: list[str]) -> DataFrame:
-    """Phrases in the texts with the same ``within`` keys: keep, phrase.
-
-    A group whose texts times phrases stay within a bound is compared directly, which is
-    cheap; larger groups meet on words, so that no group is compared pair by pair.
-    """
-    wanted = phrases.select(*within, "phrase").filter(F.length("phrase") > 0).distinct()
-    sizes = texts.groupBy(*within).agg(F.count("*").alias("texts")).join(
-        wanted.groupBy(*within).agg(F.count("*").alias("phrases")), within
-    )
-    large = settle(sizes.filter(F.col("texts") * F.col("phrases") > SMALL_GROUP_PAIRS).select(*within))
-    direct = texts.join(large, within, "left_anti").join(wanted, within).filter(F.contains("text", "phrase"))
-    found = direct.select(*keep, "phrase")
-    if large.isEmpty():
-        return found
-    by_word = hits_by_word(
-        texts.join(large, within, "left_semi"), wanted.join(large, within, "left_semi"), keep, within
-    )
-    return found.unionByName(by_word.select(*keep, "phrase"))
+    wanted = settle(phrases.select(*within, "phrase").filter(F.length("phrase") > 0).distinct())
+    known = settle(_known_by(wanted.select("phrase").distinct()))
+    widths = sorted(row["width"] for row in known.select("width").distinct().collect())
+    map_ = texts.sparkSession.sparkContext.broadcast(_bitmap(known))
+    rules = known.join(wanted, "phrase") if within else known
+
+    spotted = texts.select(*keep, F.explode(_spots(map_, widths)("text")).alias("spot")).select(*keep, "spot.piece", "spot.at")
+    rules = rules.select(*within, "piece", "phrase", F.col("at").alias("inside"))
+    places = spotted.join(rules, [*within, "piece"]).select(*keep, "phrase", (F.col("at") - F.col("inside")).alias("start")).filter("start >= 0")
+    starts = places.repartition(*keep).groupBy(*keep, "phrase").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    asked = starts.groupBy(*keep).agg(F.collect_list(F.struct("phrase", "starts")).alias("asked"))
+
+    def read(body: Column) -> Column:
+        return F.transform("asked", lambda a: F.struct(a["phrase"].alias("phrase"), _times(body, a["phrase"], a["starts"]).alias("n")))
+
+    hits = texts.select(*keep, "text").join(asked, keep).select(*keep, F.inline(bind(F.col("text").cast("binary"), read)))
+    return hits.filter("n > 0")

@@ -9,13 +9,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from redpen.functions import fixed, text as t
 from redpen.operators import structure
 from redpen.operators.checks import _diagnostics, matching_phrases, usable_rewrites
+from redpen.operators.lineage import settle
 from redpen.operators.ordered import Total, running
 
 # --- JSON in responses ------------------------------------------------------------------
@@ -48,17 +51,25 @@ def _json_in(text: str | None, objects_only: bool) -> str | None:
 @F.pandas_udf(T.StringType())
 def _payload(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(lambda s: _json_in(s, objects_only=False))
+        yield batch.map(lambda s: None if s is None else _json_in(s, objects_only=False))
 
 
 @F.pandas_udf(T.StringType())
 def _object_payload(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(lambda s: _json_in(s, objects_only=True))
+        yield batch.map(lambda s: None if s is None else _json_in(s, objects_only=True))
 
 
 def response_payload(response: Column, objects_only: bool = False) -> Column:
-    return (_object_payload if objects_only else _payload)(response)
+    """The JSON of a response as a variant, null if it has none.
+
+    A response that is JSON as it stands is parsed natively; only the others go through Python.
+    """
+    whole = F.try_parse_json(t.strip(response))
+    fits = _is("OBJECT", whole) if objects_only else _is("OBJECT", whole) | _is("ARRAY", whole)
+    clean = F.coalesce(fits, F.lit(False))
+    found = (_object_payload if objects_only else _payload)(F.when(~clean, response))
+    return F.when(clean, whole).otherwise(F.try_parse_json(found))
 
 
 def _is(kind: str, v: Column) -> Column:
@@ -88,8 +99,8 @@ def grounded(message: Column, text: Column) -> Column:
     return nothing_to_test | F.coalesce(t.bind(stripped, judge), F.lit(True))
 
 
-def counted_message(message: Column, text: Column) -> Column:
-    """Struct (message, max_count): wording complaints with counts of what they quote."""
+def counted_message(message: Column, text: Column, most: int | None = 4) -> Column:
+    """Struct (message, max_count): wording complaints with counts of what they quote, ``most`` of them (None: all) in the message."""
     low = F.lower(message)
     about_wording = F.contains(low, F.lit("overused phrase")) | F.contains(low, F.lit("avoid")) | F.contains(low, F.lit("phrasing"))
     counts = F.filter(
@@ -99,7 +110,7 @@ def counted_message(message: Column, text: Column) -> Column:
 
     def said(found: Column) -> Column:
         listed = F.array_join(
-            F.transform(F.slice(found, 1, 4), lambda c: F.format_string('"%s"=%dx', c["phrase"], c["n"])), ", "
+            F.transform(found if most is None else F.slice(found, 1, most), lambda c: F.format_string('"%s"=%dx', c["phrase"], c["n"])), ", "
         )
         relevant = about_wording & (F.size(found) > 0)
         extended = F.format_string("%s Counts in narrative: %s.", message, listed)
@@ -133,16 +144,15 @@ def complains_of_repetition(message: Column) -> Column:
     return kinds & (F.size(t.quoted_phrases(message)) > 0)
 
 
-def with_example(message: Column, text: Column, hint: Column) -> Column:
-    """Vague complaints get the sentence they are most likely about."""
+def with_example(message: Column, text: Column, hint: Column, most_chars: int | None = fixed.EXAMPLE_CHARS) -> Column:
+    """Vague complaints get the sentence they are most likely about, up to ``most_chars`` of it (None: whole)."""
     low = F.lower(message)
     vague = F.contains(low, F.lit("obvious")) | F.contains(low, F.lit("redundant"))
     shown = F.contains(low, F.lit("sentence:")) | F.contains(low, F.lit("excerpt:"))
 
     def add(sentence: Column) -> Column:
         flat = F.replace(t.strip(sentence), F.lit("\n"), F.lit(" "))
-        keep = fixed.EXAMPLE_CHARS
-        cut = F.when(F.length(flat) > keep, F.concat(F.substring(flat, 1, keep - 3), F.lit("..."))).otherwise(flat)
+        cut = flat if most_chars is None else F.when(F.length(flat) > most_chars, F.concat(F.substring(flat, 1, most_chars - 3), F.lit("..."))).otherwise(flat)
         return F.when(sentence != "", F.concat(message, F.lit(' Example sentence: "'), cut, F.lit('"'))).otherwise(message)
 
     return F.when(
@@ -152,9 +162,7 @@ def with_example(message: Column, text: Column, hint: Column) -> Column:
 
 def parsed(responses: DataFrame, key: str) -> DataFrame:
     """key, payload (variant), issues (array of variant, null when there is no list)."""
-    payload = responses.select(key, response_payload(F.col("response")).alias("json")).select(
-        key, F.try_parse_json("json").alias("payload")
-    )
+    payload = responses.select(key, response_payload(F.col("response")).alias("payload"))
     issues = F.coalesce(
         F.try_variant_get("payload", "$", "array<variant>"), F.try_variant_get("payload", "$.issues", "array<variant>")
     )
@@ -175,7 +183,10 @@ def issues(responses: DataFrame) -> DataFrame:
 
 def review_diagnostics(responses: DataFrame, narratives: DataFrame) -> DataFrame:
     """Issues that hold up against the narrative, with counts, examples and severity."""
-    joined = issues(responses).join(narratives.select("doc_id", "narrative"), "doc_id")
+    stated = settle(issues(responses))
+    # whole narratives are put together once, and only those with an issue
+    told = settle(narratives.select("doc_id", "narrative").join(stated.select("doc_id").distinct(), "doc_id", "left_semi"))
+    joined = stated.join(told, "doc_id")
     text, message = F.col("narrative"), F.col("message")
     kept = (
         joined.filter(grounded(message, text))
@@ -227,9 +238,7 @@ def rubric_scores(responses: DataFrame) -> DataFrame:
 
 
 def _pair_payloads(responses: DataFrame) -> DataFrame:
-    return responses.select(
-        "pair_id", F.try_parse_json(response_payload(F.col("response"), objects_only=True)).alias("payload")
-    ).filter("payload is not null")
+    return responses.select("pair_id", response_payload(F.col("response"), objects_only=True).alias("payload")).filter("payload is not null")
 
 
 def ai_phrase_votes(responses: DataFrame) -> DataFrame:
@@ -313,17 +322,30 @@ def narratives(blocks: DataFrame, finding_fields: DataFrame, texts: DataFrame, m
     )
 
 
-def _top_list(rules: DataFrame, value: Column, order: list[Column], most: int) -> DataFrame:
-    """One row with the first ``most`` values in order, as an array."""
+@dataclass(frozen=True)
+class GuideSizes:
+    """How many of each kind a guide names, best first; None: all.  Rewrites and phrases are ``considered`` before ignored ones are left out."""
+
+    considered: int | None = 12
+    rewrites: int | None = 8
+    style_rules: int | None = 10
+
+
+def _first(df: DataFrame, most: int | None, *order: str) -> DataFrame:
+    return df if most is None else df.orderBy(*order).limit(most)
+
+
+def _top_list(rules: DataFrame, value: Column, order: list[Column], most: int | None) -> DataFrame:
+    """One row with the first ``most`` values in order, as an array: a guide goes into a prompt, so it is put together."""
     top = rules.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), value.alias("value"))
-    chosen = top.orderBy("o", "value").limit(most)
     ordered = F.sort_array(F.collect_list(F.struct("o", "value")))
-    return chosen.agg(F.transform(ordered, lambda r: r["value"]).alias("top"))
+    return _first(top, most, "o", "value").agg(F.transform(ordered, lambda r: r["value"]).alias("top"))
 
 
 def guidance(
     ngrams: DataFrame, ai_phrases: DataFrame, rewrites: DataFrame, style_rules: DataFrame,
     ignored_phrases: DataFrame | None = None, ignored_rewrites: DataFrame | None = None, rejected: DataFrame | None = None,
+    sizes: GuideSizes = GuideSizes(),
 ) -> DataFrame:
     """One row: what past revisions teach, in the form prompts give it.
 
@@ -339,25 +361,58 @@ def guidance(
         return line.scalar()
 
     def phrases(df: DataFrame, order: list[Column]) -> DataFrame:
-        first = df.select("phrase", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o")).orderBy("o", "phrase").limit(12)
+        placed = df.select("phrase", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"))
+        first = _first(placed, sizes.considered, "o", "phrase")
         if ignored_phrases is not None:
             first = first.join(matching_phrases(first.select("phrase"), ignored_phrases), "phrase", "left_anti")
-        return _top_list(first, F.col("phrase"), [F.col("o")], 12)
+        return _top_list(first, F.col("phrase"), [F.col("o")], sizes.considered)
 
     usable = usable_rewrites(rewrites, ignored_rewrites, rejected)
     pairs = _top_list(
-        usable, F.format_string('"%s" -> "%s"', "from_text", "to_text"), [F.col("priority"), -F.col("votes"), F.col("from_text")], 12
+        usable, F.format_string('"%s" -> "%s"', "from_text", "to_text"), [F.col("priority"), -F.col("votes"), F.col("from_text")], sizes.considered
     )
     lines = [
         shown(phrases(ngrams, [F.col("new") - F.col("old"), -F.col("old")]), fixed.GUIDE_DEPRECATED, ", "),
         shown(phrases(ai_phrases, [-F.col("votes")]), fixed.GUIDE_AI_DEPRECATED, ", "),
-        shown(pairs, fixed.GUIDE_REWRITES, "\n- ", 8),
-        shown(_top_list(style_rules, F.col("rule"), [-F.col("votes")], 10), fixed.GUIDE_STYLE_RULES, "\n- "),
+        shown(pairs, fixed.GUIDE_REWRITES, "\n- ", sizes.rewrites),
+        shown(_top_list(style_rules, F.col("rule"), [-F.col("votes")], sizes.style_rules), fixed.GUIDE_STYLE_RULES, "\n- "),
     ]
     one_row = ngrams.sparkSession.range(1)
     return one_row.select(F.concat_ws("\n", *lines).alias("guidance"))
 
 
+def packed(texts: DataFrame, text: str, most_chars: int) -> DataFrame:
+    """The whole ``text`` of each doc_id in numbered parts of at most ``most_chars`` characters: doc_id, part_no, n_parts, part.
+
+    Parts end where lines end; only a longer line is cut.  Joined in order the parts are the text.
+    """
+    @F.arrow_udf("array<int>")
+    def numbers(lengths: pa.Array) -> pa.Array:
+        out = []
+        for row in lengths:
+            part = used = 0
+            own = []
+            for n in row.as_py():
+                if used and used + n > most_chars:
+                    part, used = part + 1, 0
+                used += n
+                own.append(part)
+            out.append(own)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    # a line keeps its line feed; a long one is cut into pieces of the size
+    lines = F.split(F.col(text), r"(?<=\n)", -1)
+    pieces = F.flatten(F.transform(lines, lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.length(x), F.lit(1)) - 1) / most_chars).cast("int")), lambda k: F.substring(x, k * most_chars + 1, F.lit(most_chars)))))
+    split = texts.filter(F.col(text).isNotNull()).select("doc_id", F.filter(pieces, lambda x: x != "").alias("pieces"))
+    numbered_ = split.withColumn("numbers", numbers(F.transform("pieces", F.length)))
+    placed = numbered_.select("doc_id", F.posexplode(F.arrays_zip("pieces", "numbers")).alias("pos", "piece")).select("doc_id", "pos", "piece.*")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "pieces")))
+    parts = placed.groupBy("doc_id", F.col("numbers").alias("part_no")).agg(F.array_join(F.transform(ordered, lambda p: p["pieces"]), "").alias("part"))
+    last = numbered_.select(F.col("doc_id").alias("l_doc"), (F.element_at("numbers", -1) + 1).alias("n_parts")).filter("n_parts is not null")
+    return parts.join(last, F.col("doc_id") == F.col("l_doc")).select("doc_id", "part_no", "n_parts", "part")
+
+
 DEFAULT_RUBRIC = "Judge layout, wording, tone, information and structure."
 DEFAULT_INSTRUCTIONS = (
     "Review this report narrative. Answer in JSON with issues (severity, message, location_hint) "
@@ -366,13 +421,14 @@ DEFAULT_INSTRUCTIONS = (
 
 
 def review_prompts(
-    narratives: DataFrame, guidance: DataFrame, instructions: str = DEFAULT_INSTRUCTIONS, rubric: str = DEFAULT_RUBRIC
+    narratives: DataFrame, guidance: DataFrame, instructions: str = DEFAULT_INSTRUCTIONS, rubric: str = DEFAULT_RUBRIC, most_chars: int | None = None
 ) -> DataFrame:
+    """One prompt per report; with ``most_chars`` as many as its narrative takes, each with so much of it: doc_id, part_no, n_parts, instructions, content."""
     learned = guidance.select("guidance").scalar()
-    content = F.format_string(
-        "Learned guidance:\n%s\n\nRubric guidance:\n%s\n\nText to review:\n%s", learned, F.lit(rubric), F.col("narrative")
-    )
-    return narratives.select("doc_id", F.lit(instructions).alias("instructions"), content.alias("content"))
+    whole = narratives.select("doc_id", F.lit(0).alias("part_no"), F.lit(1).alias("n_parts"), F.col("narrative").alias("part"))
+    parts = whole if most_chars is None else packed(narratives, "narrative", most_chars)
+    content = F.format_string("Learned guidance:\n%s\n\nRubric guidance:\n%s\n\nText to review:\n%s", learned, F.lit(rubric), F.col("part"))
+    return parts.select("doc_id", "part_no", "n_parts", F.lit(instructions).alias("instructions"), content.alias("content"))
 
 
 def pair_prompts(samples: DataFrame, instructions: str) -> DataFrame:

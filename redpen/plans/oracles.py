@@ -750,6 +750,7 @@ STATEMENTS = {
         from ({_ANCHORED}) a join v_diagnostics d on d.doc_id = a.doc_id and d.seq = a.seq
         left join (select doc_id, max(comment_id) as max_id from v_comments where author <> 'qa-bot' group by 1) m on m.doc_id = a.doc_id""",
     "narratives": _NARRATIVES,
+    "packed_narratives": f"select doc_id, narrative, true as complete from ({_NARRATIVES})",
     "review_prompts": f"""
         select doc_id, 'Learned guidance:' || chr(10) || g.guidance || chr(10) || chr(10) || 'Rubric guidance:' || chr(10)
           || 'Judge layout, wording, tone, information and structure.' || chr(10) || chr(10) || 'Text to review:' || chr(10) || narrative as content

@@ -589,7 +589,7 @@ def review_prompts(v: Views) -> DataFrame:
     pairs = _pairs(v)
     ngrams = learning.drops(learning.ngram_counts(v.texts(), pairs), 4)
     accepted = v.rewrite_rules()
-    learned = _learned_rewrites(v).filter("false")
+    learned = _learned_rewrites(v)
     responses = v.pair_responses()
     guide = review.guidance(
         ngrams, review.with_enough_votes(review.ai_phrase_votes(responses)), learning.merge_rewrite_rules(learned, accepted),
@@ -598,6 +598,15 @@ def review_prompts(v: Views) -> DataFrame:
     return review.review_prompts(_narratives(v), guide).select("doc_id", "content")
 
 
+@query
+def packed_narratives(v: Views) -> DataFrame:
+    """Narratives cut into parts of 700 characters at most, and put together again."""
+    parts = review.packed(_narratives(v), "narrative", 700)
+    ordered = F.sort_array(F.collect_list(F.struct("part_no", "part")))
+    complete = (F.count("*") == F.max("n_parts")) & (F.max(F.length("part")) <= 700)
+    return parts.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("narrative"), complete.alias("complete"))
+
+
 @query
 def llm_issues(v: Views) -> DataFrame:
     return flat(review.review_diagnostics(v.responses(), _narratives(v)), "loc_section", "source")

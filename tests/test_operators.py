@@ -102,30 +102,31 @@ def _texts_and_phrases(spark):
     return spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"), texts, phrases
 
 
-def test_both_ways_of_matching_equal_plain_counting(spark):
+def test_matching_equals_plain_counting(spark):
     texts, phrases, plain, wanted = _texts_and_phrases(spark)
     expected = sorted((i, p, t.count(p)) for i, t in plain for p in wanted if p in t)
-    by_word = rows(matching.hits_by_word(texts, phrases, ["id"]).select("id", "phrase", "n"))
-    by_automaton = rows(matching.hits_by_automaton(texts, sorted(wanted), ["id"]).select("id", "phrase", "n"))
-    assert by_word == expected
-    assert by_automaton == expected
+    assert rows(matching.phrase_hits(texts, phrases, ["id"])) == expected
+    assert rows(matching.phrase_hits(texts, phrases.limit(0), ["id"])) == []
+    assert rows(matching.phrase_hits(texts.withColumn("text", F.lit(None).cast("string")), phrases, ["id"])) == []
 
 
-def test_large_groups_match_like_small_ones(spark, monkeypatch):
+def test_matching_of_random_texts(spark, monkeypatch):
+    """Short alphabets, many overlaps, signs of several bytes, pieces across chunks of text."""
+    monkeypatch.setattr(matching, "CHUNK_BYTES", 7)
+    random.seed(12)
+    for signs in ("ab", "aé日", "abcdefgh "):
+        plain = [(i, "".join(random.choices(signs, k=random.choice((0, 1, 7, 40, 90))))) for i in range(40)]
+        wanted = sorted({"".join(random.choices(signs, k=random.choice((1, 2, 3, 5, 9, 14)))) for _ in range(60)} | {t[3:17] for _, t in plain if len(t) > 20})
+        texts, phrases = spark.createDataFrame(plain, "id int, text string"), spark.createDataFrame([(p,) for p in wanted], "phrase string")
+        assert rows(matching.phrase_hits(texts, phrases, ["id"])) == sorted((i, p, t.count(p)) for i, t in plain for p in wanted if p in t)
+
+
+def test_matching_within_a_report(spark):
     texts, phrases, plain, wanted = _texts_and_phrases(spark)
     keyed = texts.withColumn("doc_id", F.col("id") % 3)
     asked = phrases.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("doc_id")))
     expected = sorted((i % 3, i, p) for i, t in plain for p in wanted if p in t and i % 3 < 2)
-    assert rows(matching.hits_within(keyed, asked, ["doc_id", "id"], ["doc_id"])) == expected
-    monkeypatch.setattr(matching, "SMALL_GROUP_PAIRS", 5)
-    assert rows(matching.hits_within(keyed, asked, ["doc_id", "id"], ["doc_id"])) == expected
-
-
-def test_phrase_tables_over_the_bound_take_the_word_join(spark, monkeypatch):
-    texts, phrases, plain, wanted = _texts_and_phrases(spark)
-    monkeypatch.setattr(matching, "AUTOMATON_PHRASES", 3)
-    got = rows(matching.phrase_hits(texts, phrases, ["id"]).select("id", "phrase"))
-    assert got == sorted((i, p) for i, t in plain for p in wanted if p in t)
+    assert rows(matching.phrase_hits(keyed, asked, ["doc_id", "id"], ["doc_id"]).drop("n")) == expected
 
 
 def test_secrets_with_their_surroundings(spark):
