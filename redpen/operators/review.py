@@ -405,11 +405,11 @@ def packed(texts: DataFrame, text: str, most_chars: int) -> DataFrame:
     pieces = F.flatten(F.transform(lines, lambda x: F.transform(
         F.sequence(F.lit(0), F.floor((F.greatest(F.length(x), F.lit(1)) - 1) / most_chars).cast("int")), lambda k: F.substring(x, k * most_chars + 1, F.lit(most_chars)))))
     split = texts.filter(F.col(text).isNotNull()).select("doc_id", F.filter(pieces, lambda x: x != "").alias("pieces"))
-    numbered_ = split.withColumn("numbers", numbers(F.transform("pieces", F.length)))
-    placed = numbered_.select("doc_id", F.posexplode(F.arrays_zip("pieces", "numbers")).alias("pos", "piece")).select("doc_id", "pos", "piece.*")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "pieces")))
-    parts = placed.groupBy("doc_id", F.col("numbers").alias("part_no")).agg(F.array_join(F.transform(ordered, lambda p: p["pieces"]), "").alias("part"))
-    last = numbered_.select(F.col("doc_id").alias("l_doc"), (F.element_at("numbers", -1) + 1).alias("n_parts")).filter("n_parts is not null")
+    numbered_ = settle(split.withColumn("numbers", numbers(F.transform("pieces", F.length))))
+    placed = numbered_.select("doc_id", "numbers", F.posexplode("pieces").alias("pos", "piece")).select("doc_id", "pos", "piece", F.get("numbers", F.col("pos")).alias("part_no"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
+    parts = placed.groupBy("doc_id", "part_no").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("part"))
+    last = numbered_.select(F.col("doc_id").alias("l_doc"), (F.try_element_at("numbers", F.lit(-1)) + 1).alias("n_parts")).filter("n_parts is not null")
     return parts.join(last, F.col("doc_id") == F.col("l_doc")).select("doc_id", "part_no", "n_parts", "part")
 
 

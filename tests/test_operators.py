@@ -337,6 +337,22 @@ def test_two_writers_of_one_commit(spark, tmp_path, monkeypatch):
     assert _rules(spark, folder) == [("rewrite", "accept", "A B", "a", 1), ("rewrite", "accept", "c d", "c", 2)]
 
 
+def test_packed_texts(spark):
+    from redpen.operators import review
+
+    random.seed(3)
+    texts = [(i, "".join(random.choice(("ab", "\n", "x" * 7, "é ", "long" * 9)) for _ in range(random.randrange(60)))) for i in range(40)] + [(90, ""), (91, None), (92, "\n"), (93, "y" * 30)]
+    got = {}
+    for r in review.packed(spark.createDataFrame(texts, "doc_id long, text string"), "text", 10).collect():
+        assert 0 < len(r.part) <= 10
+        got.setdefault(r.doc_id, {})[r.part_no] = (r.part, r.n_parts)
+    assert {k: "".join(x[n][0] for n in range(x[0][1])) for k, x in got.items()} == {i: x for i, x in texts if x}
+    # parts are full: the first line of a part would not have fitted into the one before
+    for parts in got.values():
+        for n in range(1, len(parts)):
+            assert len(parts[n - 1][0]) + len(parts[n][0].split("\n")[0]) + ("\n" in parts[n][0]) > 10
+
+
 def test_anchor_ladder(spark):
     paragraphs = spark.createDataFrame([(1, 0, ""), (1, 1, "Intro text"), (1, 2, "Weak TLS"), (1, 3, "We used weak tls ciphers"), (1, 4, "Gathering of Information for Devices")],
                                        "doc_id long, para_no int, text string")
