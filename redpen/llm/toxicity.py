@@ -11,13 +11,17 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+import sys
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redpen.llm.common import written
+
 #: Which letters a sign may stand for, with the share each takes; "" drops the sign.
 SIGNS = {
     "0": {"o": 0.95, "": 0.01},
@@ -95,16 +99,24 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return np.log((counts + 5.0 * backed[None]) / (counts.sum(axis=2, keepdims=True) + 5.0))
 
 
+#: Letters that tell whether a word can begin a weighed feature.
+_SHORTEST = 3
+
+
 class Decoder:
-    """Restores tokens; keeps those it has met, up to ``most`` of them."""
+    """Restores tokens; keeps those it has met, up to ``most`` of them.
+
+    With ``openings`` only readings that begin with one of them (or are one) are sought: tokens whose lattice has no path that does
+    are not decoded.
+    """
 
     same = re.compile(r"([^\w\s])\1+$|^([^\w\s])\2+")
     plain_edges = re.compile(r"^[\"'(\[{,.;:?]+|[\"')\]},.;:?!]+$")
     doubled = re.compile(r"([^\W\d_])\1")
     spaced = re.compile(r"(?<!\S)[^\s.\-_](?:[\s.\-_]+[^\s.\-_]){2,}(?![^\s.,;:!?\-_])")
 
-    def __init__(self, model: np.ndarray, most: int = 300_000):
-        self.model = model.tolist()
+    def __init__(self, model: np.ndarray, openings: set[str] | None = None, most: int = 300_000):
+        self.model, self.openings = model.tolist(), openings
         self.most, self.met = most, {}
 
     def parts(self, token: str) -> set[str]:
@@ -119,12 +131,24 @@ class Decoder:
         if found is None:
             if len(self.met) >= self.most:
                 self.met.clear()
-            found = self.met[token] = tuple({w for x in self.parts(token) if (w := self._viterbi(x))})
+            plain = token.isalpha() and not self.doubled.search(token)
+            found = self.met[token] = () if plain else tuple({w for x in self.parts(token) if (w := self.word(x))})
         return found
 
     def word(self, letters: str) -> str:
-        """The likeliest reading of letters that stood apart."""
-        return self._viterbi(letters)
+        """The likeliest reading of letters and signs; empty if it cannot begin with an opening."""
+        return self._viterbi(letters) if self.openings is None or self._may_open(letters) else ""
+
+    def _may_open(self, token: str) -> bool:
+        begun = {""}
+        for choices in self._choices(token):
+            longer = {b + letters for b in begun for letters, _ in choices}
+            if any(x[:_SHORTEST] in self.openings for x in longer if len(x) >= _SHORTEST):
+                return True
+            begun = {x for x in longer if len(x) < _SHORTEST}
+            if not begun:
+                return False
+        return any(x in self.openings for x in begun)
 
     def _choices(self, token: str) -> list[list[tuple[str, float]]]:
         out, k = [], 0
@@ -180,8 +204,7 @@ def _features(text: str, decoder: Decoder) -> set[str]:
 
 
 #: Lengths of the word beginnings that are features.
-BEGINNINGS = range(3, 11)
-_SHORTEST = 3
+BEGINNINGS = range(_SHORTEST, 11)
 
 
 def _expanded(words: set[str]) -> set[str]:
@@ -222,6 +245,15 @@ class Model:
     weights: dict[str, float]
     slope: float
     offset: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def decoder(self) -> Decoder:
+        """One per worker process, which serves many tasks."""
+        held = sys.__dict__.setdefault("_redpen_decoders", {})
+        if self.name not in held:
+            held.clear()
+            held[self.name] = Decoder(self.letters, {f.removeprefix("^")[:_SHORTEST] for f in self.weights})
+        return held[self.name]
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -235,7 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     usable = usable.where(crc_third(F.col("doc_id")) != 1)
     sample = usable.orderBy(F.xxhash64(F.lit(settings.seed), "doc_id"), "doc_id").limit(settings.train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id"))
-    rows = rows.select(F.col("toxic").cast("long"), "text")
+    # one row for each sampled id, however many rows have it
+    rows = written(rows.groupBy("l_id").agg(F.max("toxic").cast("long").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), "toxicity-sample")
     n_toxic, n = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n or not n_toxic or n_toxic == n:
         return Model(letters, {}, 0.0, math.log(((n_toxic or 0) + 0.5) / ((n or 0) - (n_toxic or 0) + 0.5)))
@@ -282,12 +315,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 ENOUGH = 10.0
 
 
-def _evidence(text: str, decoder: Decoder, weights: dict[str, float], openings: set[str]) -> float:
-    """The sum over words of the largest weight of the word and its beginnings, flattened for large sums.
-
-    ``openings``: the first letters, as many as the shortest beginning has, of all weighed features.
-    """
-    total = 0.0
+def _evidence(text: str, decoder: Decoder, weights: dict[str, float]) -> float:
+    """The sum over words of the largest weight of the word and its beginnings, flattened for large sums."""
+    total, openings = 0.0, decoder.openings
     for w in _features(text, decoder):
         if w[:_SHORTEST] in openings:
             total += max((weights[f] for f in (w, *(f"^{w[:n]}" for n in BEGINNINGS)) if f in weights), default=0.0)
@@ -297,9 +327,9 @@ def _evidence(text: str, decoder: Decoder, weights: dict[str, float], openings:
 def _summed(model: Model, text_at: int):
     """Batches with a text column to their first columns and the evidence."""
     def run(batches):
-        decoder, openings = Decoder(model.letters), {f.removeprefix("^")[:_SHORTEST] for f in model.weights}
+        decoder = model.decoder()
         for batch in batches:
-            sums = [_evidence(t or "", decoder, model.weights, openings) for t in batch.column(text_at).to_pylist()]
+            sums = [_evidence(t or "", decoder, model.weights) for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.array(sums, pa.float64())], [*batch.schema.names[:text_at], "evidence"])
 
     return run
@@ -328,9 +358,9 @@ def clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     at = docs.columns.index("text")
 
     def run(batches):
-        decoder, openings = Decoder(model.letters), {f.removeprefix("^")[:_SHORTEST] for f in model.weights}
+        decoder = model.decoder()
         for batch in batches:
-            sums = np.array([_evidence(t or "", decoder, model.weights, openings) for t in batch.column(at).to_pylist()])
+            sums = np.array([_evidence(t or "", decoder, model.weights) for t in batch.column(at).to_pylist()])
             score = 1 / (1 + np.exp(-(sums * model.slope + model.offset)))
             yield batch.filter(pa.array(score < settings.threshold))
 
