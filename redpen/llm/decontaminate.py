@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redpen.llm import rowmap, wordhash
-from redpen.llm.common import written
+from redpen.llm.common import words as word_list, written
 
 LAST = (1 << 63) - 1
 #: Word positions that count, of each mask.
@@ -30,18 +30,26 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return out
 
 
-def _seeded(map_):
-    """(d, tie, text) to (seed, d, tie, at): every masked stretch that the map lets through, all of them without a map."""
+def _seeded(map_, short: list[int]):
+    """(d, tie, text) to (seed, d, tie, at): every masked stretch that the map lets through, all of them without a map.
+
+    ``short``: sizes of items shorter than a mask.  Such an item has one seed, over all its words; texts have one for each stretch of these sizes.
+    """
+    masks = [*enumerate(MASKS), *((len(MASKS) + n, tuple(range(n))) for n in short)]
+
     def run(batches):
         for batch in batches:
             for piece in wordhash.pieces(batch.column(2), fold=True):
                 seeds, at = [], []
                 row = np.repeat(np.arange(piece.rows.start, piece.rows.stop), piece.counts())
                 last = np.repeat(piece.first[1:], piece.counts())
-                for number, mask in enumerate(MASKS):
+                size = np.repeat(piece.counts(), piece.counts())
+                for number, mask in masks:
                     own = _seeds(piece.words, mask, number)
                     keep = np.arange(len(own)) + mask[-1] < last[: len(own)]
-                    if map_ is not None:
+                    if map_ is None and number >= len(MASKS):
+                        keep &= size[: len(own)] == len(mask)
+                    elif map_ is not None:
                         keep &= rowmap.held(map_.value, (own & np.uint64(SEED_BITS - 1)).astype(np.int64))
                     where = np.flatnonzero(keep)
                     seeds.append(own[where])
@@ -107,18 +115,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
 
     A passage is an aligned stretch with ``least_words`` equal words, or ``least_share`` of a shorter item's words
     (8 at least, or the whole of an item with fewer), in which ``least_share`` of the words are equal.
-    Items need the 6 words of a mask to be found.  Words are compared with A-Z as a-z.  ``d`` is the doc_id (null: the
+    Items with fewer words than a mask picks are found whole and unchanged only.  Words are compared with A-Z as a-z.  ``d`` is the doc_id (null: the
     largest long) and ``tie`` a hash of the text, which tells rows of one doc_id apart.
     Null texts and items have no words; null item ids count as -1.  Repeated rows give one result.
     """
-    base = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.hash(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.select(F.coalesce("item_id", F.lit(-1)).cast("long").alias("item"), F.hash("text").alias("i_tie"), F.coalesce("text", F.lit("")).alias("item_text"))
-    shape = "seed long, d long, tie int, at int"
-    own = items.select(F.col("item").alias("d"), F.col("i_tie").alias("tie"), "item_text").mapInArrow(_seeded(None), shape)
+    base = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce("item_id", F.lit(-1)).cast("long").alias("item"), F.xxhash64("text").alias("i_tie"), F.coalesce("text", F.lit("")).alias("item_text"))
+    shape = "seed long, d long, tie long, at int"
+    picked = len(MASKS[0])
+    sizes = items.select(F.size(word_list(F.col("item_text"))).alias("n")).where(f"n between 1 and {picked - 1}").distinct()
+    short = sorted(row["n"] for row in sizes.collect())  # fewer than a mask picks
+    own = items.select(F.col("item").alias("d"), F.col("i_tie").alias("tie"), "item_text").mapInArrow(_seeded(None, short), shape)
     own = written(own.select("seed", F.col("d").alias("item"), F.col("tie").alias("i_tie"), F.col("at").alias("i_at")).distinct(), "seeds")
     # the map has one size, however large the benchmark is
     map_ = docs.sparkSession.sparkContext.broadcast(rowmap.bitmap(own, F.col("seed").bitwiseAND(F.lit(SEED_BITS - 1)), SEED_BITS))
-    hits = base.mapInArrow(_seeded(map_), shape)
+    hits = base.mapInArrow(_seeded(map_, short), shape)
     tries = hits.join(own, "seed").select("d", "tie", "item", "i_tie", (F.col("at") - F.col("i_at")).alias("shift")).distinct()
     tries = written(tries, "alignments")
     node = F.struct("d", "tie")
@@ -126,14 +137,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
     facts = items.select("item", "i_tie", "item_text").distinct()
     lists = tries.join(facts, ["item", "i_tie"]).groupBy("d", "tie").agg(F.collect_list(F.struct("item", "shift", "item_text")).alias("tries"))
     wide = texts.join(lists, ["d", "tie"]).select("d", "tie", "text", "tries")
-    return wide.mapInArrow(_verified(least_words, least_share), "d long, tie int, item_id long, start long, length long, same_words long, item_words long")
+    return wide.mapInArrow(_verified(least_words, least_share), "d long, tie long, item_id long, start long, length long, same_words long, item_words long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least_share: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, without a passage of the benchmark."""
-    found = overlaps(docs, benchmark, least_words, least_share).select(F.col("d").alias("leak_d"), F.col("tie").alias("leak_tie")).distinct()
-    keyed = docs.withColumn("leak_d", F.coalesce("doc_id", F.lit(LAST))).withColumn("leak_tie", F.hash(F.coalesce("text", F.lit(""))))
-    return keyed.join(found, ["leak_d", "leak_tie"], "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, without a passage of the benchmark.  Null and empty texts stay."""
+    found = overlaps(docs, benchmark, least_words, least_share).select("d", "tie").distinct()
+    keyed = docs.select(F.struct("*").alias("whole"), F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    return keyed.join(found, ["d", "tie"], "left_anti").select("whole.*")
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
