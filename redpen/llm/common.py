@@ -25,10 +25,12 @@ def words(text: Column) -> Column:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session that names none (tests) gets a temporary one, kept in its settings.
+    Only a local session that names none (tests) gets a temporary one, kept in its settings.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='redpen-')}"
@@ -46,12 +48,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Remove what ``written`` wrote for these frames, once nothing reads it any more."""
-    from pyarrow import fs
-
+    """Remove what ``written`` wrote for these frames, once nothing reads it any more, in whatever store it lies."""
     for frame in frames:
-        files, path = fs.FileSystem.from_uri(frame.written_to if "://" in frame.written_to else f"file://{frame.written_to}")
-        files.delete_dir(path)
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
