@@ -13,6 +13,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data"
 COMPARED = [
     "check_repetition", "check_sensitive", "sections", "finding_fields", "case_normalization", "tracked_pairs",
     "suppress_diagnostics", "resolve_anchors", "format_rules_images", "incremental_refresh", "llm_issues", "ingest_blocks",
+    "deep_sections", "aligned_rewrites", "change_samples", "refreshed_totals", "learned_profile", "profile_scan", "stored_feedback", "check_rewrites", "check_case",
 ]
 
 
