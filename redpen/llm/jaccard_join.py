@@ -1,361 +1,69 @@
 """Similarity join of documents on their word n-grams, by PartEnum signatures.
 
-Rows that share a signature are candidates; exact set sizes decide.  Inside a signature's group
-every row is first compared with the group's first row only.  Groups whose rows lie in one
-component after that are done; the rows of the others are compared across components, in large
-groups first with a few rows of the group, then with all.  Sketches that bound the difference of two sets from
-below keep most of the unlike pairs from being compared in full.
+Rows that share a signature are candidates; exact set sizes decide.  Sketches that bound the difference
+of two sets from below keep most of the unlike pairs from being compared in full (``set_links``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from redpen.llm import part_enum, rowmap, wordhash
-from redpen.llm.batches import whole_keys
-from redpen.llm.common import discard, release, written
+from redpen.llm import part_enum
+from redpen.llm.set_links import first_of_each, grouped
 
-LAST = (1 << 63) - 1
-#: Rows of a leftover group compared at a time.
-BLOCK = 512
-#: Rows that each row of a leftover group meets before all are compared.
-PIVOTS = 8
 
-NODE = "struct<d:long,tie:int>"
-_NODE = pa.struct([("d", pa.int64()), ("tie", pa.int32())])
+@dataclass(frozen=True)
+class Plan:
+    """``percent``: shared shingles as a percentage of all shingles of both.  ``fold``: A-Z count as a-z."""
 
+    gram: int = 5
+    percent: int = 80
+    fold: bool = True
+    leaders: int = 1
+    signs_first = False
 
-def feature_sets(text: pa.Array, gram: int, fold: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct hashes of its ``gram``-word shingles); a text with fewer words is one shingle."""
-    for piece in wordhash.pieces(text, fold):
-        hashes = wordhash.windows(piece.words, gram)
-        for i, (a, b) in enumerate(zip(piece.first[:-1].tolist(), piece.first[1:].tolist(), strict=True)):
-            if b - a >= gram:
-                own = np.sort(hashes[a : b - gram + 1])
-                yield piece.rows.start + i, own[np.append(True, own[1:] != own[:-1])]
-            else:
-                yield piece.rows.start + i, wordhash.windows(piece.words[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+    def signs(self, sets: list[np.ndarray]) -> list[bytes]:
+        """The size of each set, its sketch over the least number of cells, and its sketch."""
+        sketches = [part_enum.sketch(own) for own in sets]
+        return [np.int64(len(own)).tobytes() + part_enum.folded(k).tobytes() + k for own, k in zip(sets, sketches, strict=True)]
 
+    def keys(self, sets: list[np.ndarray], signs: list[bytes | None]) -> list[np.ndarray]:
+        bands = part_enum.Bands(self.percent)
+        return [np.concatenate([part_enum.signatures(own, p) for p in bands.plans(len(own)) if p]).view(np.int64) for own in sets]
 
-def _node(d, tie) -> pa.Array:
-    return pa.StructArray.from_arrays([d, tie], fields=list(_NODE))
+    def likely(self, sign: bytes, others: list[bytes]) -> np.ndarray:
+        head = 8 + part_enum.LEAST_CELLS // 8
+        heads = np.frombuffer(b"".join(x[:head] for x in [sign, *others]), np.uint64).reshape(-1, head // 8)
+        sizes, shorts = heads[:, 0].astype(np.int64), heads[:, 1:]
+        left = np.flatnonzero(self._possible(sizes[0], sizes[1:], np.bitwise_count(shorts[0] ^ shorts[1:]).sum(axis=-1)))
+        # whole sketches where the short ones do not tell
+        apart = np.array([part_enum.apart(sign[head:], others[i][head:]) for i in left.tolist()], np.int64)
+        return left[self._possible(sizes[0], sizes[1:][left], apart)]
 
-
-def _signed(gram: int, fold: bool, percent: int):
-    """(d, tie, text) to (sig, node); rows of a batch with equal sets after the first only link to it: sig is null, node2 the first."""
-    def run(batches):
-        bands = part_enum.Bands(percent)
-        for batch in batches:
-            seen: dict[bytes, int] = {}
-            sigs, rows, twins, firsts = [], [], [], []
-            for i, own in feature_sets(batch.column(2), gram, fold):
-                if not len(own):
-                    continue
-                key = own.tobytes() if len(own) < 4 else wordhash.mix(own).tobytes()[:16] + np.bitwise_xor.reduce(own).tobytes() + own.sum().tobytes() + len(own).to_bytes(8)
-                if key in seen:
-                    twins.append(i)
-                    firsts.append(seen[key])
-                    continue
-                seen[key] = i
-                parts = [part_enum.signatures(own, p) for p in bands.plans(len(own)) if p]
-                sigs += parts
-                rows.append((i, sum(map(len, parts))))
-            sig = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-            row = np.repeat([r for r, _ in rows], [n for _, n in rows]).astype(np.int64)
-            both = np.concatenate([row, np.array(twins, np.int64)])
-            other = np.concatenate([np.full(len(row), -1), np.array(firsts, np.int64)])
-            d, tie = batch.column(0).take(pa.array(both)), batch.column(1).take(pa.array(both))
-            lone = other < 0
-            first = pa.array(np.where(lone, 0, other))
-            d2, tie2 = batch.column(0).take(first), batch.column(1).take(first)
-            sig = pa.array(np.concatenate([sig, np.zeros(len(twins), np.int64)]))
-            yield pa.RecordBatch.from_arrays([sig, d, tie, pa.array(~lone), d2, tie2], ["sig", "d", "tie", "twin", "d2", "tie2"])
-
-    return run
-
-
-def _shared(batches):
-    """Rows sorted by (sig, d, tie) to (sig, node, lead) for signatures that several rows have.
-
-    ``lead`` is the group's first row, which comes out with the group's second.  Twins pass.  Only
-    the current group's first row is held, however many rows it has.
-    """
-    sig0 = d0 = tie0 = seen = 0
-    for batch in batches:
-        twin = batch.column(3).to_numpy(zero_copy_only=False)
-        if twin.any():
-            own = batch.filter(batch.column(3))
-            yield pa.RecordBatch.from_arrays([own.column(0), _node(own.column(1), own.column(2)), _node(own.column(4), own.column(5)), own.column(3)], ["sig", "node", "lead", "twin"])
-        sig, d, tie = (batch.column(k).to_numpy()[~twin] for k in range(3))
-        if not len(sig):
-            continue
-        new = np.append(not (seen and sig[0] == sig0), sig[1:] != sig[:-1])
-        starts, group = np.flatnonzero(new), np.cumsum(new)
-        lead_d, lead_tie = np.append(d0, d[starts])[group], np.append(tie0, tie[starts])[group].astype(np.int32)
-        second = ~new & np.append(seen == 1, new[:-1])
-        sigs = np.concatenate([sig[~new], sig[second]])
-        node = _node(pa.array(np.concatenate([d[~new], lead_d[second]])), pa.array(np.concatenate([tie[~new], lead_tie[second]])))
-        lead = _node(pa.array(np.concatenate([lead_d[~new], lead_d[second]])), pa.array(np.concatenate([lead_tie[~new], lead_tie[second]])))
-        yield pa.RecordBatch.from_arrays([pa.array(sigs), node, lead, pa.array(np.zeros(len(sigs), bool))], ["sig", "node", "lead", "twin"])
-        seen = len(sig) - starts[-1] if len(starts) else seen + len(sig)
-        sig0, d0, tie0 = sig[-1], lead_d[-1], lead_tie[-1]
-
-
-def _described(gram: int, fold: bool):
-    """(node, text) with the size and the sketch of its set, the latter also over the least number of cells."""
-    def run(batches):
-        for batch in batches:
-            sizes, sketches = np.zeros(batch.num_rows, np.int32), [b""] * batch.num_rows
-            for i, own in feature_sets(batch.column(1), gram, fold):
-                sizes[i], sketches[i] = len(own), part_enum.sketch(own)
-            short = [part_enum.folded(k).tobytes() for k in sketches]
-            columns = [batch.column(0), pa.array(sizes), pa.array(short, pa.binary()), pa.array(sketches, pa.binary()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "short", "sketch", "text"])
-
-    return run
-
-
-def _possible(a_size, b_size, apart, percent: int):
-    """Whether two sets may be similar enough, by their sizes and a lower bound of their difference."""
-    low, high = np.minimum(a_size, b_size), np.maximum(a_size, b_size)
-    return (low * 100 >= high * percent) & (apart * (100 + percent) <= (100 - percent) * (low + high))
-
-
-def _shorts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
-
-
-def _prefiltered(percent: int):
-    """Pairs (a, b, sizes, short sketches, sketches) to the likely (a, b)."""
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            keep = _possible(a, b, np.bitwise_count(_shorts(batch.column(4)) ^ _shorts(batch.column(5))).sum(axis=-1), percent)
-            batch, a, b = batch.filter(pa.array(keep)), a[keep], b[keep]
-            # whole sketches where the short ones do not tell
-            apart = np.fromiter(map(part_enum.apart, *(batch.column(k).to_pylist() for k in (6, 7))), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(_possible(a, b, apart, percent)))
-
-    return run
-
-
-def _verified(gram: int, fold: bool, percent: int):
-    """(a, b, text of a, text of b) to the linked (a, b).  Rows of one a lie together, so its set is made once."""
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left = batch.column(2)
-            for at in range(0, batch.num_rows, BLOCK):
-                stop = min(at + BLOCK, batch.num_rows)
-                texts = left.slice(at, stop - at).dictionary_encode()
-                own = [s for _, s in feature_sets(texts.dictionary, gram, fold)]
-                codes = texts.indices.to_pylist()
-                for i, b in feature_sets(batch.column(3).slice(at, stop - at), gram, fold):
-                    a = own[codes[i]]
-                    # sorted distinct sets: equal neighbours in the joined order are what they share
-                    both = np.sort(np.concatenate([a, b]))
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[at + i] = 100 * common >= percent * (len(a) + len(b) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
-def _across(percent: int, pivots: int | None):
-    """Leftover rows sorted by sig, (sig, node, comp, size, short, sketch), to the likely pairs across components.
-
-    With ``pivots``, the rows of a group of over four times that many only meet so many of its rows, spread over it.
-    """
-    def pairs_of(comp_d, comp_tie, size, short):
-        other = np.arange(len(size))
-        if pivots and len(size) > 4 * pivots:
-            # the first rows of some components, and rows spread over the group
-            _, firsts = np.unique(comp_d, return_index=True)
-            other = np.unique(np.concatenate([firsts[: pivots // 2], np.linspace(0, len(size) - 1, pivots // 2).astype(int)]))
-        for at in range(0, len(size), BLOCK):
-            mine = np.arange(at, min(at + BLOCK, len(size)))[:, None]
-            for to in range(0, len(other), BLOCK):
-                theirs = other[None, to : to + BLOCK]
-                ok = (comp_d[mine] != comp_d[theirs]) | (comp_tie[mine] != comp_tie[theirs])
-                ok &= _possible(size[mine], size[theirs], np.bitwise_count(short[mine] ^ short[theirs]).sum(axis=-1), percent)
-                i, j = np.nonzero(ok)
-                if len(i):
-                    x, y = mine[i, 0], theirs[0, j]
-                    yield np.minimum(x, y), np.maximum(x, y)
-
-    def paired(nodes, codes, size, sketch, left, right) -> pa.RecordBatch:
-        """Each pair of nodes of a chunk once, if the whole sketches allow it; codes number the nodes in order."""
-        x, y = np.concatenate(left), np.concatenate(right)
-        _, one = np.unique(np.column_stack([codes[x], codes[y]]), axis=0, return_index=True)
-        x, y = x[one], y[one]
-        apart = np.fromiter((part_enum.apart(sketch[i].as_py(), sketch[j].as_py()) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
-        ok = _possible(size[x], size[y], apart, percent)
-        return pa.RecordBatch.from_arrays([nodes.take(pa.array(x[ok])), nodes.take(pa.array(y[ok]))], ["a", "b"])
-
-    def run(batches):
-        for batch in whole_keys(batches, 0, lambda b: 100 * b.num_rows + b.column(5).nbytes):
-            sig, nodes, sketch = batch.column(0).to_numpy(), batch.column(1), batch.column(5)
-            short, size = _shorts(batch.column(4)), batch.column(3).to_numpy().astype(np.int64)
-            comp_d, comp_tie = (batch.column(2).field(k).to_numpy() for k in range(2))
-            codes = np.unique(np.column_stack([nodes.field(k).to_numpy() for k in range(2)]), axis=0, return_inverse=True)[1].ravel()
-            cuts = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
-            left, right, held = [], [], 0
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for x, y in pairs_of(comp_d[a:b], comp_tie[a:b], size[a:b], short[a:b]):
-                    left.append(x + a)
-                    right.append(y + a)
-                    held += len(x)
-                    if held >= 500_000:
-                        yield paired(nodes, codes, size, sketch, left, right)
-                        left, right, held = [], [], 0
-            if held:
-                yield paired(nodes, codes, size, sketch, left, right)
-
-    return run
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node in ``links`` (a, b): the least node it is joined to by links.
-
-    Large-star and small-star steps in turn: every node's neighbours are tied to the least of
-    them until nothing changes; the number of rounds grows with the logarithm of the largest component.
-    """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("m_u")).agg(F.least(F.min("v"), F.col("m_u")).alias("m"))
-        large = both.join(least, F.col("u") == F.col("m_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u != v").distinct(), "edges")
-        least = large.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("m_u")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        small = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
-        discard(edges, large)
-        # all stars: no node has two parents, and no parent has one
-        parents = small.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        chains = small.join(small.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi")
-        edges = small
-        if parents.isEmpty() and chains.isEmpty():
-            break
-    tops = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
-
-
-class Join:
-    """Documents of ``docs`` (doc_id, text) linked by the share of their word shingles.
-
-    ``percent``: shared shingles as a percentage of all shingles of both.  ``fold``: A-Z count as a-z.
-    Null ids count as one id after all others; rows with equal doc_id and text are one, other rows with
-    equal doc_id are rows of their own.  Null and blank texts have no shingles and no links.
-    """
-
-    def __init__(self, docs: DataFrame, gram: int = 5, percent: int = 80, fold: bool = True):
-        self.docs, self.gram, self.percent, self.fold = docs, gram, percent, fold
-        self.spark = docs.sparkSession
-        d, text = F.coalesce("doc_id", F.lit(LAST)), F.coalesce("text", F.lit(""))
-        self.base = docs.select(d.alias("d"), F.hash(text).alias("tie"), text.alias("text"))
-        self.node = F.struct(F.col("d").alias("d"), F.col("tie").alias("tie"))
-
-    def links(self) -> DataFrame:
-        """(a, b) of verified links that join the same rows as all links do.  Nodes are structs (d, tie)."""
-        signed = self.base.mapInArrow(_signed(self.gram, self.fold, self.percent), "sig long, d long, tie int, twin boolean, d2 long, tie2 int")
-        dealt = signed.repartition("sig", F.when(F.col("twin"), F.col("d"))).sortWithinPartitions("sig", "d", "tie")
-        every = shared = written(dealt.mapInArrow(_shared, f"sig long, node {NODE}, lead {NODE}, twin boolean"), "jaccard-shared")
-        release(self.spark)
-        twins = shared.where("twin and node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        shared = shared.where("not twin")
-        stars = shared.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-
-        self.candidates = written(self._candidates(shared.select("node").distinct()), "jaccard-candidates")
-        release(self.spark)
-        tried = written(self._likely(stars), "jaccard-tried")
-        found = written(self._linked(tried).unionByName(twins), "jaccard-links")
-        spent = [every, self.candidates, tried]
-        for pivots in (PIVOTS, None):
-            whole = written(components(found), "jaccard-components")
-            spent.append(whole)
-            comps = whole.withColumnRenamed("node", "c_node")
-            rows = shared.join(comps, F.col("node") == F.col("c_node"), "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")).distinct()
-            open_ = rows.groupBy(F.col("sig").alias("o_sig")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-            if pivots is None:
-                # smaller groups have been compared in full
-                open_ = open_.where(F.col("n") > 4 * PIVOTS)
-            left = rows.join(open_.select("o_sig"), F.col("sig") == F.col("o_sig"), "left_semi")
-            facts = self.candidates.select(F.col("node").alias("f_node"), "size", "short", "sketch")
-            left = left.join(facts, F.col("node") == F.col("f_node")).select("sig", "node", "comp", "size", "short", "sketch")
-            left = left.repartition("sig").sortWithinPartitions("sig", "node")
-            pairs = left.mapInArrow(_across(self.percent, pivots), f"a {NODE}, b {NODE}").distinct()
-            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
-            spent.append(pairs)
-            if pairs.isEmpty():
-                continue
-            more = written(self._linked(pairs), "jaccard-links")
-            tried, found = tried.unionByName(pairs), found.unionByName(more)
-        discard(*spent)
-        release(self.spark)
-        return found
-
-    def _candidates(self, nodes: DataFrame) -> DataFrame:
-        """(node, size, short, sketch, text) of ``nodes``."""
-        texts = rowmap.kept(self.base.select(self.node.alias("node"), "text"), nodes, "node").dropDuplicates(["node"])
-        texts = texts.join(nodes, "node", "left_semi")
-        return texts.mapInArrow(_described(self.gram, self.fold), f"node {NODE}, size int, short binary, sketch binary, text string")
-
-    def _likely(self, pairs: DataFrame) -> DataFrame:
-        kinds = ("size", "short", "sketch")
-        a, b = (self.candidates.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in kinds)) for x in ("a", "b"))
-        wide = pairs.join(b, "b").join(a, "a").select("a", "b", *(f"{x}_{k}" for k in kinds for x in ("a", "b")))
-        return wide.mapInArrow(_prefiltered(self.percent), f"a {NODE}, b {NODE}")
-
-    def _linked(self, pairs: DataFrame) -> DataFrame:
-        a, b = (self.candidates.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
-        wide = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
-        return wide.mapInArrow(_verified(self.gram, self.fold, self.percent), f"a {NODE}, b {NODE}")
-
-    def classes(self) -> DataFrame:
-        """(node, comp) of every linked row."""
-        return components(self.links())
-
-
-def _sizes(gram: int, fold: bool):
-    def run(batches):
-        for batch in batches:
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for i, own in feature_sets(batch.column(3), gram, fold):
-                sizes[i] = len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes)], ["doc_id", "d", "tie", "n_shingles"])
-
-    return run
+    def _possible(self, a_size, b_size, apart):
+        """Whether two sets may be similar enough, by their sizes and a lower bound of their difference."""
+        low, high = np.minimum(a_size, b_size), np.maximum(a_size, b_size)
+        return (low * 100 >= high * self.percent) & (apart * (100 + self.percent) <= (100 - self.percent) * (low + high))
 
 
 def joined(docs: DataFrame, gram: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
-    See Join for nulls, blanks and repeated rows.  An empty table gives no rows; columns other than
-    doc_id and text are ignored.
+    Null and blank texts have no shingles and no links.  Null ids count as one id after all others; a class of
+    nothing else has a null id.  An empty table gives no rows; columns other than doc_id and text are ignored.
     """
-    join = Join(docs, gram, percent, fold)
-    comps = join.classes().select(F.col("node.d").alias("c_d"), F.col("node.tie").alias("c_tie"), F.col("comp.d").alias("comp_d"))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.hash("text"))
-    sized = rows.select("doc_id", "d", "tie", "text").mapInArrow(_sizes(gram, fold), "doc_id long, d long, tie int, n_shingles long")
-    out = sized.join(comps, (F.col("d") == F.col("c_d")) & (F.col("tie") == F.col("c_tie")), "left")
-    return out.select("doc_id", "n_shingles", F.nullif(F.coalesce("comp_d", "d"), F.lit(LAST)).alias("component_id"))
+    return grouped(docs, Plan(gram, percent, fold))
 
 
 def representatives(docs: DataFrame, gram: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
     """The rows of ``docs``, all columns, that are the least of their component; rows without links stay.
 
-    Of rows equal in doc_id and text one stays.
+    Of rows equal in doc_id and text one stays.  Columns may have any names.
     """
-    comps = Join(docs, gram, percent, fold).classes().where("node != comp")
-    later = comps.select(F.col("node.d").alias("near_d"), F.col("node.tie").alias("near_tie"))
-    keyed = docs.withColumn("near_d", F.coalesce("doc_id", F.lit(LAST))).withColumn("near_tie", F.hash(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(later, ["near_d", "near_tie"], "left_anti").dropDuplicates(["near_d", "near_tie"])
-    return kept.select(*docs.columns)
+    return first_of_each(docs, Plan(gram, percent, fold))
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -1,30 +1,21 @@
 """Near copies by MinHash bands and sequential Bayesian verification.
 
-Documents with equal word-shingle sets are one set.  Sets that share a band of their signatures are
-candidates.  Every set first meets one leader of its band; bands whose sets then still
-lie in several components are compared across components, block by block.  Signatures are compared a batch of
+Sets that share a band of their signatures are candidates.  Signatures are compared a batch of
 hashes at a time, and a pair is given up once the posterior chance that it is similar enough falls below
-the chosen miss probability.  What is left is confirmed on the full sets.
+the chosen miss probability.  What is left is confirmed on the full sets (``set_links``).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm import rowmap, wordhash
-from redpen.llm.common import discard, release, written
-from redpen.llm.jaccard_join import components, feature_sets
-
-LAST = (1 << 63) - 1
-#: Sets of an open band that meet in one task, and partners of a leader.
-BLOCK = 1024
+from redpen.llm import wordhash
+from redpen.llm.set_links import grouped
 
 
 @dataclass(frozen=True)
@@ -41,6 +32,7 @@ class Plan:
     batch: int = 16
     miss: float = 1e-6
     leaders: int = 2
+    signs_first = True
 
     def multipliers(self) -> np.ndarray:
         return (wordhash.mix(np.arange(1, self.hashes + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -60,6 +52,19 @@ class Plan:
             out.append((n, m))
         return out
 
+    def signs(self, sets: list[np.ndarray]) -> list[bytes]:
+        return [sign.tobytes() for sign in signatures(sets, self)]
+
+    def keys(self, sets: list[np.ndarray | None], signs: list[bytes]) -> list[np.ndarray]:
+        return list(bands(_of_bytes(signs, self), self))
+
+    def likely(self, sign: bytes, others: list[bytes]) -> np.ndarray:
+        return going_on(np.frombuffer(sign, "<u4"), _of_bytes(others, self), self)
+
+
+def _of_bytes(signs: list[bytes], plan: Plan) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), "<u4").reshape(-1, plan.hashes)
+
 
 def signatures(sets: list[np.ndarray], plan: Plan) -> np.ndarray:
     """One row of least hashes for each of ``sets`` (sorted distinct 64-bit hashes, none empty)."""
@@ -82,237 +87,15 @@ def bands(sigs: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def going_on(sig: np.ndarray, others: np.ndarray, plan: Plan) -> np.ndarray:
-    """Which rows of ``others`` the batches of ``sig`` (one row, or one for each) leave as likely partners."""
+    """Which rows of ``others`` the batches of ``sig`` leave as likely partners."""
     live, equal, at = np.arange(len(others)), np.zeros(len(others), np.int64), 0
     for n, least in plan.least_matches():
-        own = sig[at:n] if sig.ndim == 1 else sig[live, at:n]
-        equal = equal + (others[live, at:n] == own).sum(axis=1)
+        equal = equal + (others[live, at:n] == sig[at:n]).sum(axis=1)
         live, equal = live[equal >= least], equal[equal >= least]
         at = n
     return live
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted distinct sets share ``percent`` of all their members."""
-    low, high = sorted((len(a), len(b)))
-    if 100 * low < percent * high:
-        return False
-    both = np.sort(np.concatenate([a, b]))
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def _of_bytes(column: pa.Array, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
-
-
-def _names(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    x = wordhash.mix(own)
-    return int(x.sum(dtype=np.uint64).view(np.int64)), int(wordhash.mix(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64))
-
-
-def _pieces(text: pa.Array, plan: Plan, most: int = 400_000) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """(row, set) of the texts that have words, some at a time."""
-    held, size = [], 0
-    for i, own in feature_sets(text, plan.gram, plan.fold):
-        if len(own):
-            held.append((i, own))
-            size += len(own)
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _signed(plan: Plan):
-    """(doc_id, d, text) with the size, name and signature of the text's set; a text without words has size 0 and no signature."""
-    def run(batches):
-        for batch in batches:
-            n, h1, h2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            sigs = [b""] * batch.num_rows
-            for piece in _pieces(batch.column(2), plan):
-                for (i, own), sig in zip(piece, signatures([s for _, s in piece], plan), strict=True):
-                    n[i], sigs[i] = len(own), sig.tobytes()
-                    h1[i], h2[i] = _names(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary())], ["doc_id", "d", "n", "h1", "h2", "sig"])
-
-    return run
-
-
-def _banded(plan: Plan):
-    def run(batches):
-        for batch in batches:
-            keys = bands(_of_bytes(batch.column(1), "<u4", plan.hashes), plan)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))], ["key", "e"])
-
-    return run
-
-
-def _named(plan: Plan):
-    """(d, text) to (d, h1, h2, members): the sorted set of each text that has words."""
-    def run(batches):
-        for batch in batches:
-            for piece in _pieces(batch.column(1), plan):
-                rows, names = [i for i, _ in piece], [_names(own) for _, own in piece]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), *(pa.array([x[k] for x in names], pa.int64()) for k in range(2)), pa.array([own.tobytes() for _, own in piece], pa.binary())],
-                    ["d", "h1", "h2", "members"],
-                )
-
-    return run
-
-
-def _led(check):
-    """Rows (a, salt, partner, b, data) sorted by the first three to the pairs (a, b) that ``check`` lets through.
-
-    The leader's own row, without a partner, comes first; only that one is held.
-    """
-    def run(batches):
-        data = None
-        for batch in batches:
-            partner = batch.column(2).to_numpy(zero_copy_only=False)
-            cuts = np.append(np.flatnonzero(~partner), batch.num_rows)
-            begin = 0
-            for stop in cuts.tolist():
-                if stop > begin:
-                    own = batch.slice(begin, stop - begin)
-                    yield own.select(["a", "b"]).take(pa.array(check(data, own.column(4)), pa.int64()))
-                if stop < batch.num_rows:
-                    data = batch.column(4)[stop].as_py()
-                begin = stop + 1
-
-    return run
-
-
-def _across(plan: Plan):
-    """The sets of one or two blocks of an open band to links (a, b) between its components, no more than are needed to join them.
-
-    A pair is looked at in the first band that its signatures share, and only while its components are still apart.
-    """
-    def run(key, table):
-        table = table.combine_chunks()
-        band, low, high = (k.as_py() for k in key)
-        e, comp, part = (table[k].to_numpy() for k in ("e", "comp", "part"))
-        sigs = _of_bytes(table["sig"], "<u4", plan.hashes)
-        members = table["members"].combine_chunks() if len(table) else []
-        keys = bands(sigs, plan)
-        own = (keys == band).argmax(axis=1)
-        _, root = np.unique(comp, return_inverse=True)
-        left, right = [], []
-        order = np.lexsort((e, part))
-        for at, x in enumerate(order.tolist()):
-            others = order[at + 1 :]
-            others = others[root[others] != root[x]]
-            if low != high:
-                others = others[part[others] != part[x]]
-            if not len(others):
-                continue
-            others = others[~(keys[others, : own[x]] == keys[x, : own[x]]).any(axis=1)]
-            others = others[going_on(sigs[x], sigs[others], plan)]
-            mine = np.frombuffer(members[x].as_py(), np.uint64)
-            for y in others.tolist():
-                if root[x] != root[y] and similar(mine, np.frombuffer(members[y].as_py(), np.uint64), plan.percent):
-                    left.append(e[x])
-                    right.append(e[y])
-                    root[root == root[y]] = root[x]
-        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return run
-
-
-class NearCopies:
-    """Sets of the documents ``docs`` (doc_id, text), and the links between them.
-
-    ``rows``: doc_id, n (size of the set), h1, h2 (the set's name).  ``sets``: e (a number), h1, h2, d (least doc_id), sig.
-    """
-
-    def __init__(self, docs: DataFrame, plan: Plan):
-        self.docs, self.plan, self.spark = docs, plan, docs.sparkSession
-        self.base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-        self.rows = written(self.base.mapInArrow(_signed(plan), "doc_id long, d long, n long, h1 long, h2 long, sig binary"), "minhash-rows")
-        sets = self.rows.where("n > 0").groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"))
-        self.sets = written(sets.select(F.monotonically_increasing_id().alias("e"), "*"), "minhash-sets")
-
-    def _shared(self) -> DataFrame:
-        """(key, e, a): the bands that several sets share, their sets, and of each band the least one."""
-        banded = self.sets.select("e", "sig").mapInArrow(_banded(self.plan), "key long, e long")
-        leads = banded.groupBy(F.col("key").alias("l_key")).agg(F.min("e").alias("a"), F.max("e").alias("last")).where("a < last")
-        return banded.join(leads, F.col("key") == F.col("l_key")).select("key", "e", "a")
-
-    def _features(self, chosen: DataFrame) -> DataFrame:
-        """(e, sig, members) of the sets ``chosen``, each from one of its documents."""
-        names = self.sets.join(chosen, "e", "left_semi")
-        texts = rowmap.kept(self.base.select("d", "text"), names.select("d"), "d")
-        members = texts.mapInArrow(_named(self.plan), "d long, h1 long, h2 long, members binary")
-        return members.join(names, ["d", "h1", "h2"]).select("e", "sig", "members").dropDuplicates(["e"])
-
-    def _met(self, pairs: DataFrame, features: DataFrame, data: str, check) -> DataFrame:
-        """The pairs (a, b) that ``check`` lets through by their ``data``.  A leader's row goes once to each task that has partners of it."""
-        many = pairs.groupBy(F.col("a").alias("m_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        dealt = pairs.join(many, F.col("a") == F.col("m_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
-        own = features.select(F.col("e").alias("f_e"), F.col(data).alias("data"))
-        partners = dealt.join(own, F.col("b") == F.col("f_e")).select("a", "salt", F.lit(True).alias("partner"), "b", "data")
-        leaders = dealt.select("a", "salt").distinct().join(own, F.col("a") == F.col("f_e")).select("a", "salt", F.lit(False).alias("partner"), F.col("a").alias("b"), "data")
-        rows = leaders.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
-        return rows.mapInArrow(_led(check), "a long, b long")
-
-    def _confirmed(self, pairs: DataFrame, features: DataFrame) -> DataFrame:
-        plan = self.plan
-
-        def likely(lead, column):
-            return going_on(np.frombuffer(lead, "<u4"), _of_bytes(column, "<u4", plan.hashes), plan)
-
-        def alike(lead, column):
-            mine = np.frombuffer(lead, np.uint64)
-            return [i for i, x in enumerate(column) if similar(mine, np.frombuffer(x.as_py(), np.uint64), plan.percent)]
-
-        return self._met(self._met(pairs, features, "sig", likely), features, "members", alike)
-
-    def links(self) -> DataFrame:
-        """(a, b) of confirmed links between sets that join the same sets as all links do."""
-        shared = written(self._shared(), "minhash-shared")
-        features = written(self._features(shared.select("e").distinct()), "minhash-features")
-        release(self.spark)
-        found = written(self._confirmed(shared.where("a < e").select("a", F.col("e").alias("b")).distinct(), features), "minhash-links")
-        spent = [shared, features]
-        for turn in range(1, self.plan.leaders + 1):
-            comps = written(components(found), "minhash-components")
-            spent.append(comps)
-            placed = shared.select("key", "e").join(comps.withColumnRenamed("node", "c_e"), F.col("e") == F.col("c_e"), "left").select("key", "e", F.coalesce("comp", "e").alias("comp"))
-            apart = placed.groupBy(F.col("key").alias("o_key")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("e", F.lit(turn)), "e", "comp")).alias("lead")).where("low < high")
-            open_ = written(placed.join(apart, F.col("key") == F.col("o_key")).select("key", "e", "comp", "n", "lead"), "minhash-open")
-            spent.append(open_)
-            if open_.isEmpty():
-                break
-            if turn < self.plan.leaders:
-                pairs = open_.where("comp != lead.comp").select(F.least("e", "lead.e").alias("a"), F.greatest("e", "lead.e").alias("b")).distinct()
-                more = self._confirmed(pairs, features)
-            else:
-                more = self._blocks(open_, features)
-            found = found.unionByName(written(more, "minhash-links"))
-            release(self.spark)
-        discard(*spent)
-        return found
-
-    def _blocks(self, open_: DataFrame, features: DataFrame) -> DataFrame:
-        """Links between the components of open bands.  The sets of a band are dealt to blocks, and each two blocks meet."""
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = open_.select("key", "e", "comp", parts.alias("parts"), F.pmod(F.xxhash64("e"), parts).cast("int").alias("part"))
-        rows = rows.join(features.withColumnRenamed("e", "f_e"), F.col("e") == F.col("f_e"))
-        rows = rows.select("key", "e", "comp", "part", "sig", "members", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "e", "comp", "part", "sig", "members")
-        return rows.groupBy("key", "low", "high").applyInArrow(_across(self.plan), "a long, b long")
-
-    def classes(self) -> DataFrame:
-        """(h1, h2, least): of each set the least doc_id that links reach, as ``d``."""
-        found = components(self.links())
-        placed = self.sets.select("e", "h1", "h2", "d").join(found, F.col("e") == F.col("node"), "left").select("h1", "h2", "d", F.coalesce("comp", "e").alias("comp"))
-        least = placed.groupBy(F.col("comp").alias("l_comp")).agg(F.min("d").alias("least"))
-        return placed.join(least, F.col("comp") == F.col("l_comp")).select("h1", "h2", "least")
-
-
 def near_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and kept.
 
@@ -320,11 +103,7 @@ def near_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     with the class's id is kept, so rows that repeat it are too.  Null ids come after all others: a class of nothing else has a null id, and its
     rows are kept.  An empty table gives no rows; columns other than doc_id and text are ignored.
     """
-    near = NearCopies(docs, plan)
-    classes = near.classes().select(F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), "least")
-    joined = near.rows.select("doc_id", "d", "n", "h1", "h2").join(classes, (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2")) & (F.col("n") > 0), "left")
-    component = F.nullif(F.coalesce("least", "d"), F.lit(LAST))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return grouped(docs, plan).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op12_query(spark, sf_dir: str) -> DataFrame:

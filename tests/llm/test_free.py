@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from redpen.llm import decontaminate, jaccard_join, lines, part_enum, substring, token_files, toxicity, warc, wordhash
+from redpen.llm import decontaminate, jaccard_join, lines, part_enum, set_links, substring, token_files, toxicity, warc, wordhash
 from tests.llm.conftest import AWKWARD, WORD
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,6 +75,41 @@ def test_jaccard_join(spark, sf_dir, gram, percent):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], gram, percent)
 
 
+def test_jaccard_join_of_a_group_just_below_the_share(spark, monkeypatch):
+    """Many texts about the threshold: some pairs link, most do not; they meet in blocks."""
+    monkeypatch.setattr(set_links, "BLOCK", 32)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    base = [rnd.choice(words) for _ in range(90)]
+    rows = []
+    for member in range(300):
+        own = base[:]
+        for _ in range(rnd.randint(1, 4)):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        rows.append((member, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_rows_of_keys_that_several_sets_have():
+    rnd = random.Random(3)
+    for _ in range(200):
+        rows = sorted((rnd.randrange(6), rnd.randrange(4)) for _ in range(rnd.randrange(40)))
+        cut = sorted(rnd.randrange(len(rows) + 1) for _ in range(4))
+        parts = [rows[a:b] for a, b in zip([0, *cut], [*cut, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in range(2)], ["key", "h1"]) for p in parts]
+        got = sorted(x for b in set_links._shared(batches) for x in zip(*(c.to_pylist() for c in b.columns)))
+        want = sorted({r for r in rows if len({h for k, h in rows if k == r[0]}) > 1})
+        assert got == want
+
+
+def test_representatives_keep_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (None, "a b c d e f", 7, "z"), (3, None, 8, "q")], "doc_id long, text string, d long, tie string")
+    docs = docs.selectExpr("*", "d as near_d", "tie as near_tie", "doc_id as comp", "text as whole")
+    kept = jaccard_join.representatives(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.where("doc_id in (1, 3)").collect()))
+
+
 def test_jaccard_join_odd_rows(spark, awkward, empty):
     rows = jaccard_join.joined(awkward).collect()
     assert len(rows) == len(AWKWARD)
@@ -99,8 +135,7 @@ def test_similar_sets_share_a_signature(percent):
 
 def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 101)]
-    df = spark.createDataFrame([((a, 0), (b, 0)) for a, b in links], f"a {jaccard_join.NODE}, b {jaccard_join.NODE}")
-    got = {r.node.d: r.comp.d for r in jaccard_join.components(df).collect()}
+    got = {r.node: r.comp for r in set_links.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
 
 
@@ -195,6 +230,37 @@ def test_toxicity(spark, sf_dir, awkward, empty):
     assert toxicity.predicted(empty, labels.limit(0)).count() == 0
 
 
+def test_decoding_equals_the_best_of_all_lattice_paths():
+    rnd = random.Random(6)
+    model = np.log(np.random.default_rng(6).dirichlet(np.ones(toxicity.ALPHABET), (toxicity.ALPHABET, toxicity.ALPHABET)))
+    decoder = toxicity.Decoder(model)
+    signs = "abelost" + "".join(toxicity.SIGNS) + "é-"
+
+    def score(path):
+        x = y = 0
+        total = 0.0
+        for letters, cost in path:
+            total += cost
+            for c in letters:
+                z = int(toxicity._TABLE[ord(c)]) if ord(c) < len(toxicity._TABLE) else 27
+                total += model[x][y][z]
+                x, y = y, z
+        return total + model[x][y][0]
+
+    for _ in range(400):
+        token = "".join(rnd.choice(signs) * rnd.choice((1, 1, 1, 2, 3)) for _ in range(rnd.randint(1, 5)))
+        choices = decoder._choices(token)
+        if np.prod([len(c) for c in choices]) > 20_000:
+            continue
+        paths = sorted(((score(p), "".join(x for x, _ in p)) for p in itertools.product(*choices)), reverse=True)
+        found = decoder._viterbi(token)
+        assert any(text == found and value > paths[0][0] - 1e-9 for value, text in paths)
+        # a reading is only left out if no path begins with an opening
+        openings = {"".join(rnd.choices("abelost", k=rnd.choice((2, 3)))) for _ in range(4)}
+        opened = any(text[:3] in openings for _, text in paths)
+        assert toxicity.Decoder(model, openings).word(token) == (found if opened else "")
+
+
 def test_toxicity_of_other_disguises(spark):
     rnd = random.Random(7)
     plain = ["river", "stone", "garden", "winter", "letter", "window", "orange", "market", "silver", "summer"]
@@ -261,6 +327,16 @@ def brute_passage(words, item):
     return False
 
 
+def test_decontamination_finds_short_items_whole(spark):
+    bench = spark.createDataFrame([(1, "What is TWO plus two"), (2, "three words only"), (3, "  "), (4, None), (5, "one two three four five six")], "item_id long, text string")
+    texts = ["so what is two plus two then", "what is two plus three", "Three words only", "three words", "two", "", None, "x one two three four five six"]
+    docs = spark.createDataFrame([(k, t, "l", k) for k, t in enumerate(texts)], "doc_id long, text string, leak_d string, d long")
+    found = {(r.d, r.item_id, r.start, r.length) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert found == {(0, 1, 1, 5), (2, 2, 0, 3), (7, 5, 1, 6)}
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [tuple(r) for r in docs.orderBy("doc_id").collect() if r.doc_id not in (0, 2, 7)]
+
+
 def test_decontamination_counts_whole_alignments(spark):
     items = {1: [f"a{k}" for k in range(15)], 2: [f"b{k}" for k in range(59)], 3: [f"c{k}" for k in range(40)]}
     swap = lambda words, at: [f"z{k}" if k in at else w for k, w in enumerate(words)]

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from redpen.llm import minhash
+from redpen.llm import minhash, set_links
 from tests.llm.conftest import AWKWARD
 from tests.llm.test_free import brute_components
 
@@ -38,9 +38,10 @@ def test_near_copies(spark, plan):
     check(spark, groups(plan.gram, 20, (5, 12, 20, 40, 80, 150, 400), 20), plan)
 
 
-def test_many_about_the_threshold(spark, monkeypatch):
-    """A large group whose sets are now above, now below the share, in several blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+@pytest.mark.parametrize("block", [16, 1024])
+def test_many_about_the_threshold(spark, monkeypatch, block):
+    """A large group whose sets are now above, now below the share, as one group and in blocks of keys."""
+    monkeypatch.setattr(set_links, "BLOCK", block)
     check(spark, groups(9, 150, (60,), 12), SMALL)
 
 
@@ -70,4 +71,4 @@ def test_signatures_estimate_similarity():
     b = np.sort(np.concatenate([a[:700], rnd.integers(0, 1 << 63, 300).astype(np.uint64)]))
     x, y = minhash.signatures([a, b], plan)
     assert abs((x == y).mean() - 700 / 1300) < 0.06
-    assert minhash.similar(a, a[:800], 80) and not minhash.similar(a, a[:799], 80)
+    assert set_links.similar(a, a[:800], 80) and not set_links.similar(a, a[:799], 80)
