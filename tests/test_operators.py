@@ -481,3 +481,12 @@ def test_a_long_report_is_not_held_whole():
         return peak
 
     assert most(60_000) < most(6_000) + 4_000_000
+
+
+def test_lines_lose_their_outer_blanks_only(spark, tmp_path):
+    from redpen.plans.views import Views
+
+    rows = [(1, "0 zero 0\n1 one 1\n  two  \n\n   \n55"), (2, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = Views(spark, str(tmp_path)).texts().filter("doc_id = 1").first()["text"]
+    assert texts == "0 zero 0\n1 one 1\ntwo\n55"
