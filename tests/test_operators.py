@@ -507,3 +507,37 @@ def test_places_of_other_reports_phrases_do_not_travel(spark):
     widths = [r["width"] for r in rules.select("width").distinct().collect()]
     spots = matching._spots(spark.sparkContext.broadcast(bits), widths)("text", home)
     assert texts.filter("doc_id <> 1").select(F.sum(F.size(spots))).first()[0] <= 39 * 3
+
+
+def test_fields_run_on_from_one_stretch_of_lines_to_the_next(spark):
+    step = structure.STRETCH_LINES
+    said = [(0, "before"), (1, "Narrative:"), (2, "a"), (step + 5, "b"), (3 * step, "c"), (3 * step + 1, "Notes:"), (3 * step + 2, "d"), (4 * step, "Evidence:"), (4 * step + 1, " e ")]
+    lines = spark.createDataFrame([(1, n, at, line) for n in (1, 2) for at, line in said if n == 1 or at], "doc_id long, finding_no int, line_no int, line string")
+    want = [(1, n, "evidence", 4 * step + 1, "e") for n in (1, 2)] + [(1, n, "narrative", at, x) for n in (1, 2) for at, x in ((2, "a"), (step + 5, "b"), (3 * step, "c"))]
+    assert rows(structure.finding_fields(lines)) == sorted(want)
+    assert rows(structure.finding_fields(structure.stretches(lines))) == sorted(want)
+
+
+def test_fields_of_findings_in_one_row_move_no_lines(spark):
+    stretch = "array(struct(0 as line_no, 'Narrative:' as line), struct(1 as line_no, 'a' as line))"
+    lines = spark.range(4).selectExpr("id as doc_id", "1 as finding_no", "0L as stretch", "true as alone", f"{stretch} as lines").filter("alone")
+    fields = structure.finding_fields(lines)
+    assert rows(fields) == [(i, 1, "narrative", 1, "a") for i in range(4)]
+    assert "Exchange" not in fields._jdf.queryExecution().executedPlan().toString()
+
+
+def test_narratives_of_findings_part_at_findings(spark):
+    from redpen.operators import review
+
+    fields = spark.createDataFrame([(1, 2, "narrative", 4, "c"), (1, 1, "narrative", 7, "b"), (1, 1, "narrative", 2, "a"), (1, 2, "evidence", 1, "x")], "doc_id long, finding_no int, field string, line_no int, line string")
+    blocks = spark.createDataFrame([(1, 0, "p", "T", 1)], "doc_id long, block_no int, type string, text string, heading_level int")
+    texts = spark.createDataFrame([(1, "T"), (2, "whole")], "doc_id long, text string")
+    assert rows(review.narratives(blocks, fields, texts)) == [(1, "a b\nc"), (2, "whole")]
+
+
+def test_packing_moves_nothing(spark):
+    from redpen.operators import review
+
+    plan = review.packed(spark.range(3).selectExpr("id as doc_id", "repeat('ab\n', 9) as text"), "text", 10)
+    assert [r.n_parts for r in plan.filter("doc_id = 0").collect()] == [3, 3, 3]
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
