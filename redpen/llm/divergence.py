@@ -19,9 +19,9 @@ from redpen.llm.common import written
 from redpen.llm.gallop import common as common_places
 
 #: Texts are counted in pieces of about this many bytes; a longer text is one piece.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 #: A task hands its counts on when it holds this many.
-HELD_COUNTS = 1_000_000
+HELD_COUNTS = 300_000
 SCALE = 1_000_000_000
 
 _TERM = np.zeros(256, bool)
@@ -99,6 +99,9 @@ def _counted(batches):
                     yield from held.pop().to_batches(1 << 16)
     if held:
         yield from combined().to_batches(1 << 16)
+    # the worker serves other tasks: what this one needed goes back
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def term_counts(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:

@@ -71,3 +71,22 @@ def test_shares_of_large_counts():
     counts = np.array([0, 1, 10**12, 10**15 + 7])
     m = 10**16 + 3
     assert divergence.shares(counts, m, 2).tolist() == [1 + 10**9 * (int(c) + 2) // m for c in counts]
+
+
+def test_a_task_hands_counts_on_before_it_has_read_many():
+    import pyarrow as pa
+
+    from redpen.llm import divergence
+
+    read = []
+
+    def batches():
+        for k in range(60):
+            read.append(k)
+            text = " ".join("".join(chr(97 + (n // 26**d) % 26) for d in range(5)) for n in range(k * 25_000, (k + 1) * 25_000))
+            yield pa.record_batch([pa.array(["en"]), pa.array(["web"]), pa.array([text])], ["lang", "source", "text"])
+
+    out = divergence._counted(batches())
+    rows = next(out).num_rows
+    assert len(read) < 30
+    assert rows + sum(b.num_rows for b in out) == 1_500_000
