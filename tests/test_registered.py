@@ -45,3 +45,11 @@ def test_native_queries_run_no_python_and_no_cross_join(spark, name):
     plan = entry_module.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for operator in ("ArrowEvalPython", "MapInPandas", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["ngram_counts", "deprecated_ngrams", "change_profile"])
+def test_word_runs_are_counted_where_they_are_made(spark, name):
+    plan = entry_module.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(phrase" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "phrase#" in line]

@@ -126,3 +126,14 @@ def test_review_message_rules(spark):
     assert [value(spark, review.elevated(F.lit(s), F.lit(n))) for s, n in [("suggestion", 2), ("Suggestion", 3), ("warning", 5), ("warning", 6)]] == [
         "suggestion", "warning", "warning", "error",
     ]
+
+
+@pytest.mark.parametrize("shortest, longest", [(3, 5), (1, 2), (2, 2), (4, 6)])
+def test_stretches_hold_each_word_run_once(spark, shortest, longest):
+    texts = ["", "it's two", "a b c", "the the the the the the the of the", " ".join(f"w{chr(97 + i * i % 23)} of" for i in range(60))]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    direct = docs.select(F.explode(t.all_ngrams(F.col("text"), shortest, longest)).alias("g"))
+    packed = docs.select(F.inline(t.word_runs(F.col("text"), shortest, longest)))
+    runs = packed.select("key", F.explode(t.stretch_ngrams(F.col("stretch"), F.col("heads"), shortest, longest)).alias("g"))
+    assert sorted(r["g"] for r in runs.collect()) == sorted(r["g"] for r in direct.collect())
+    assert runs.distinct().count() == direct.distinct().count()  # one key for equal runs
