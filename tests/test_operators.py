@@ -541,3 +541,22 @@ def test_packing_moves_nothing(spark):
     plan = review.packed(spark.range(3).selectExpr("id as doc_id", "repeat('ab\n', 9) as text"), "text", 10)
     assert [r.n_parts for r in plan.filter("doc_id = 0").collect()] == [3, 3, 3]
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packages_are_made_and_read_in_small_batches():
+    import pyarrow as pa
+
+    from redpen.plans import views
+    from redpen.sources import packages
+
+    texts = ["\n".join(["word " * 200] * 300)] * 12
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    packed = list(views._pack(iter([batch])))
+    assert [i for p in packed for i in p.column(0).to_pylist()] == list(range(12)) and max(p.num_rows for p in packed) <= 4
+    out, most = packages._Rows({"paragraph", "error"}), 0
+    for p in packed:
+        for doc_id, content in zip(*p.columns):
+            for _ in packages._package(out, doc_id.as_py(), content):
+                if out.full():
+                    most = max(most, sum(b.get_total_buffer_size() for b in out.taken()))
+    assert 0 < most < 4 * packages.BATCH_CHARS
