@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import sys
 from array import array
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm.common import written
+from redpen.llm.common import of_worker, written
 from redpen.llm.gallop import common as common_places
 from redpen.llm.gallop import places
 
@@ -241,11 +240,7 @@ class Aligner:
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One per worker process, which serves many tasks."""
-    held = sys.__dict__.setdefault("_redpen_aligners", {})
-    if (a_path, b_path) not in held:
-        held[a_path, b_path] = Aligner(a_path, b_path)
-    return held[a_path, b_path]
+    return of_worker(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def _stretches(batches, most: int = PIECE_BYTES):

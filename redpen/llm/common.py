@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import sys
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,16 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def of_worker(key: Hashable, make: Callable):
+    """What ``make`` gives, made once per worker process, which serves many tasks.
+
+    A worker holds one such thing: that of an earlier operation, in whose place it comes, is let go first.
+    """
+    held = sys.__dict__.setdefault("_redpen_held", {})
+    if key not in held:
+        held.clear()
+        gc.collect()
+        held[key] = make()
+    return held[key]

@@ -10,7 +10,6 @@ reader of a doc_id range only its row groups and pages.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 import zlib
 from array import array
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redpen.llm.common import shared_folder
+from redpen.llm.common import of_worker, shared_folder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: A cache of a worker's encoded words is emptied at this many entries.
@@ -148,11 +147,7 @@ class _Known:
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
-    """One per worker process, which serves many tasks."""
-    held = sys.__dict__.setdefault("_redpen_encoders", {})
-    if (path, end_id) not in held:
-        held[path, end_id] = Encoder(path, end_id)
-    return held[path, end_id]
+    return of_worker(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, form: Format = Format()) -> None:

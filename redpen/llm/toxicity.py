@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpen.llm.common import written
+from redpen.llm.common import of_worker, written
 
 #: Which letters a sign may stand for, with the share each takes; "" drops the sign.
 SIGNS = {
@@ -248,12 +247,7 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def decoder(self) -> Decoder:
-        """One per worker process, which serves many tasks."""
-        held = sys.__dict__.setdefault("_redpen_decoders", {})
-        if self.name not in held:
-            held.clear()
-            held[self.name] = Decoder(self.letters, {f.removeprefix("^")[:_SHORTEST] for f in self.weights})
-        return held[self.name]
+        return of_worker(("decoder", self.name), lambda: Decoder(self.letters, {f.removeprefix("^")[:_SHORTEST] for f in self.weights}))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:

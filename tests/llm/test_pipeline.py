@@ -40,3 +40,18 @@ def test_query_equals_sql(spark, sf_dir, name):
     result = connection.execute(oracles.ORACLES[name])
     names = [d[0] for d in result.description]
     assert got == collections.Counter(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
+
+
+def test_a_worker_lets_go_of_what_an_earlier_operation_held(monkeypatch):
+    import sys
+
+    import public_tokenizers
+
+    from redpen.llm import token_files
+    from redpen.llm.common import of_worker
+
+    monkeypatch.setitem(sys.__dict__, "_redpen_held", {})
+    of_worker(("decoder", "a"), lambda: object())
+    encoder = token_files._encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert list(sys.__dict__["_redpen_held"].values()) == [encoder]
+    assert token_files._encoder(public_tokenizers.path("word_bpe_49k.json"), 2) is encoder
