@@ -17,16 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.llm.common import of_worker, shared_folder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
-#: A cache of a worker's encoded words is emptied at this many entries.
-CACHED_WORDS = 800_000
-#: Texts are encoded in pieces of about this many characters.
-PIECE_CHARS = 1 << 20
+#: A cache of a worker's encoded words keeps the quarter met most often when it has this many entries.
+CACHED_WORDS = 300_000
+#: Texts are encoded in pieces of about this many bytes.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.words, self.pieces = _Known([self.end_id]), _Known([])
+        # blanks at the ends of a text leave words without characters
+        self.words.put([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def _learn(self, new: set[str]) -> None:
         """Encode words not met before, by way of their distinct pieces."""
@@ -81,7 +84,7 @@ class Encoder:
         found = self.piece.findall("\n".join(new) + "\n")
         missing = list(set(found).difference(self.pieces.codes))
         if missing:
-            ids = np.array(self.library.encode("\n".join(missing), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.library.encode_batch_fast(["\n".join(missing)], add_special_tokens=False)[0].ids, np.int32)
             stops = np.flatnonzero(self.is_end[ids]) + 1
             if len(stops) != len(missing):
                 # a piece whose ids do not end where a word ends: one by one
@@ -95,23 +98,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text the position after its end."""
-        if max(len(self.words.codes), len(self.pieces.codes)) > CACHED_WORDS:
-            self.clear()
-        words: list[str] = []
-        counts, odd = [], []
-        for n, text in enumerate(texts):
-            if self.plain.fullmatch(text) and not self.special.search(text):
-                own = text.lower().split()
-                words += own
-                counts.append(len(own) + 1)
-            else:
-                odd.append(n)
-                counts.append(1)
-            words.append("\n")
-        if new := set(words).difference(self.words.codes):
+        for known in (self.words, self.pieces):
+            if len(known.codes) > CACHED_WORDS:
+                known.trim(CACHED_WORDS // 4)
+        odd = [n for n, text in enumerate(texts) if not self.plain.fullmatch(text) or self.special.search(text)]
+        plain = pa.array(texts, pa.large_string())
+        if odd:
+            known = np.ones(len(texts), bool)
+            known[odd] = False
+            plain = pc.if_else(pa.array(known), plain, "")
+        own = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        words = own.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := set(distinct).difference(self.words.codes):
             self._learn(new)
-        ids, stops = self.words.take(np.fromiter(map(self.words.codes.__getitem__, words), np.int64, len(words)))
-        ends = stops[np.cumsum(counts) - 1]
+        codes = np.fromiter(map(self.words.codes.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        # the end id stands behind the words of each text
+        stops_of_texts = np.cumsum(pc.list_value_length(own).to_numpy())
+        ids, stops = self.words.take(np.insert(codes, stops_of_texts, 0))
+        ends = stops[stops_of_texts + np.arange(len(texts))]
         if odd:
             whole = self.library.encode_batch_fast([texts[n] for n in odd], add_special_tokens=False)
             at = ends[odd] - 1
@@ -128,6 +133,7 @@ class _Known:
     def __init__(self, ids_of_line_feed: list[int]):
         self.codes = {"\n": 0}
         self.flat, self.starts, self.lens = array("i", ids_of_line_feed), array("q", [0]), array("q", [len(ids_of_line_feed)])
+        self.met = np.zeros(1, np.int64)
 
     def put(self, new: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
         """``new`` get codes in order; their ids follow each other in ``ids`` and end at ``stops``."""
@@ -140,6 +146,24 @@ class _Known:
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of ``codes`` in a row, and where those of each end."""
+        times = np.bincount(codes, minlength=len(self.met))
+        times[: len(self.met)] += self.met
+        self.met = times
+        return self._ids(codes)
+
+    def trim(self, most: int) -> None:
+        """Keep the ``most`` strings met most often since the last time, and the first two."""
+        times = np.zeros(len(self.starts), np.int64)
+        times[: len(self.met)] = self.met
+        times[:2] = times.max() + 1
+        kept = np.sort(np.argsort(-times, kind="stable")[:most])
+        names, (ids, stops) = list(self.codes), self._ids(kept)
+        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+        self.codes = {names[old]: new for new, old in enumerate(kept.tolist())}
+        self.flat, self.starts, self.lens = array("i", ids.tobytes()), array("q", starts.tobytes()), array("q", (stops - starts).tobytes())
+        self.met = np.zeros(1, np.int64)
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = np.frombuffer(self.lens, np.int64)[codes]
         stops = np.cumsum(lens)
         at = np.repeat(np.frombuffer(self.starts, np.int64)[codes] - (stops - lens), lens)
@@ -164,13 +188,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, form: Format
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, at = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             begin = 0
-            while begin < len(texts):
-                stop, chars = begin, 0
-                while stop < len(texts) and (stop == begin or chars + len(texts[stop]) <= PIECE_CHARS):
-                    chars, stop = chars + len(texts[stop]), stop + 1
-                ids, ends = encoder.encode(texts[begin:stop])
+            while begin < len(upto):
+                done = upto[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(upto, done + PIECE_BYTES, "right")))
+                ids, ends = encoder.encode([t or "" for t in batch.column(1).slice(begin, stop - begin).to_pylist()])
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -378,6 +378,21 @@ def test_encoder_equals_the_library():
         assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_encoder_keeps_the_words_met_most_often(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 400)
+    own, whole = token_files.Encoder(_tokenizer(), 2), token_files.Encoder(_tokenizer(), 2)
+    for n in range(12):
+        texts = [" often said, ÉTÉ\n" * 20 + f" rare{chr(97 + n)}{chr(97 + k % 26)}{chr(97 + k // 26)}x " for k in range(90)] + ["", "  ", "漢字 text"]
+        ids, ends = own.encode(texts)
+        monkeypatch.setattr(token_files, "CACHED_WORDS", 1 << 30)
+        expected, expected_ends = whole.encode(texts)
+        monkeypatch.setattr(token_files, "CACHED_WORDS", 400)
+        assert ids.tolist() == expected.tolist() and ends.tolist() == expected_ends.tolist()
+        assert len(own.words.codes) < 600
+    own.words.trim(100)
+    assert {"often", "said,", "été"} <= own.words.codes.keys() and len(own.words.codes) == 100
+
+
 def test_token_files(spark, sf_dir, awkward, empty, tmp_path):
     from tokenizers import Tokenizer
 
