@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from redpen.functions import text as t
+from redpen.functions import fixed, text as t
 from redpen.operators import anchors, feedback, review
 
 
@@ -137,3 +137,15 @@ def test_stretches_hold_each_word_run_once(spark, shortest, longest):
     runs = packed.select("key", F.explode(t.stretch_ngrams(F.col("stretch"), F.col("heads"), shortest, longest)).alias("g"))
     assert sorted(r["g"] for r in runs.collect()) == sorted(r["g"] for r in direct.collect())
     assert runs.distinct().count() == direct.distinct().count()  # one key for equal runs
+
+
+def test_only_white_space_that_changes_is_replaced(spark):
+    points = [chr(c) for c in range(1, 0x3100)] + ["😀", "\ufeff"]
+    texts = [f"{a}{p}b {p} c{p}{p} D.{p}" for p in points for a in ("", "a")] + ["", " ", "  a  b "]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    once = [F.regexp_replace(c, f"[{fixed.WHITESPACE}]+", " ") for c in (F.col("x"), F.regexp_replace(F.lower("x"), r"(?U)[^a-z0-9\s]", ""))]
+    assert df.filter((t.collapse(F.col("x")) != once[0]) | (t.bare_sentence(F.col("x")) != F.trim(once[1]))).count() == 0
+    # single spaces make no match
+    pattern = r"(?U) [\s\x1c-\x1f]+|[\t-\x1f\x85-\u3000&&[\s\x1c-\x1f]][\s\x1c-\x1f]*"
+    assert pattern in df.select(t.collapse(F.col("x")))._jdf.queryExecution().analyzed().toString()
+    assert value(spark, F.regexp_count(F.lit("a b  c d\te"), F.lit(pattern))) == 2
