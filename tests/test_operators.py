@@ -4,6 +4,8 @@ import io
 import random
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -121,6 +123,22 @@ def test_matching_of_random_texts(spark, monkeypatch):
         assert rows(matching.phrase_hits(texts, phrases, ["id"])) == sorted((i, p, t.count(p)) for i, t in plain for p in wanted if p in t)
 
 
+def test_pieces_of_phrases_are_read_all_at_once(monkeypatch):
+    random.seed(13)
+    phrases = ["", "a", "é", None, *("".join(random.choices("abé日 ", k=random.randrange(1, 40))) for _ in range(300))]
+    expected = set()
+    for phrase in filter(None, phrases):
+        data = phrase.encode()
+        width = max(w for w in matching.WIDTHS if w <= len(data))
+        for at in {(len(data) - width) * k // (matching.PIECES - 1) for k in range(matching.PIECES)}:
+            piece = matching._pieces_at(np.frombuffer(data, np.uint8), at, 1, width).view(np.int64)[0]
+            expected.add((phrase, width, at, int(piece)))
+    monkeypatch.setattr(matching, "_pieces_at", None)  # one call for each piece is what took the time
+    batch = pa.RecordBatch.from_arrays([pa.array(phrases)], ["phrase"])
+    got = [tuple(r.values()) for b in matching._phrase_pieces([batch]) for r in b.to_pylist()]
+    assert set(got) == expected
+
+
 def test_matching_within_a_report(spark):
     texts, phrases, plain, wanted = _texts_and_phrases(spark)
     keyed = texts.withColumn("doc_id", F.col("id") % 3)
