@@ -76,6 +76,12 @@ def test_findings_and_their_lines(spark):
     blocks = spark.createDataFrame([(1, *d) for d in data], "doc_id long, block_no int, type string, text string, rows array<array<string>>")
     assert rows(structure.findings(blocks)) == [(1, 1, "First", "High", "7.1"), (1, 2, "Second", "High", "7.1")]
     assert rows(structure.finding_lines(blocks).select("finding_no", "line")) == [(1, "Second"), (1, "a"), (2, "b")]
+    outline = [(1, 1, "First", "High", "7.1", 2), (1, 2, "Second", "High", "7.1", 1)]
+    assert rows(structure.finding_outline(blocks)) == outline
+    for width in (2, 3, 5, 9):  # stretches of blocks, cut anywhere
+        cut = [(1, [d for d in data[a:a + width]]) for a in range(0, 9, width)] + [(1, [])]
+        kind = "doc_id long, blocks array<struct<block_no:int,type:string,text:string,rows:array<array<string>>>>"
+        assert rows(structure.finding_outline(spark.createDataFrame(cut, kind))) == outline
 
 
 def test_finding_checks_without_table_values_read_the_text(spark):
