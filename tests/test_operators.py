@@ -584,3 +584,37 @@ def test_packages_are_made_and_read_in_small_batches():
                 if out.full():
                     most = max(most, sum(b.get_total_buffer_size() for b in out.taken()))
     assert 0 < most < 4 * packages.BATCH_CHARS
+
+
+def test_long_phrases_are_known_by_long_pieces(spark):
+    """Texts made of the same words hold each short piece of a phrase, but few hold a long one."""
+    random.seed(14)
+    words = ["".join(random.choices("abcdefgh", k=7)) for _ in range(30)]
+    texts = spark.createDataFrame([(i, " ".join(random.choices(words, k=60))) for i in range(50)], "id int, text string")
+    said = [" ".join(random.choices(words, k=7)) for _ in range(200)]
+    known = matching._known_by(spark.createDataFrame([(p,) for p in said], "phrase string").distinct())
+    assert known.filter("width < 32").count() == 0 and known.count() == len(set(said))
+    spots = matching._spots(spark.sparkContext.broadcast(matching._bitmap(known.select("piece"))), [32])("text", F.lit(0).cast("bigint"))
+    assert texts.select(F.sum(F.size(spots))).first()[0] < 50
+
+
+def test_places_of_a_piece_travel_in_one_row(spark):
+    known = matching._known_by(spark.createDataFrame([("the",)], "phrase string"))
+    spots = matching._spots(spark.sparkContext.broadcast(matching._bitmap(known.select("piece"))), [2])("text", F.lit(0).cast("bigint"))
+    texts = spark.createDataFrame([("",), ("the " * 500,), ("no",), ("the the",)], "text string")
+    assert [[len(s["at"]) for s in row[0]] for row in texts.select(spots).collect()] == [[], [500], [], [2]]
+
+
+def test_phrases_do_not_travel_with_their_places(spark, monkeypatch):
+    """Phrases are told apart by digest, and one longer than all known ones is not looked for in these."""
+    asked = []
+
+    def seen(texts, phrases, keep, within=None):
+        asked.append((keep, sorted(r["phrase"] for r in phrases.select("phrase").collect())))
+        return matching.phrase_hits(texts, phrases, keep, within)
+
+    monkeypatch.setattr(checks, "phrase_hits", seen)
+    phrases = spark.createDataFrame([("of  THE report",), ("OF",), ("none",), ("a longer text of all",), ("of the report",), (None,), (" ",)], "phrase string")
+    known = spark.createDataFrame([("of the",), ("of The ",)], "phrase string")
+    assert rows(checks.matching_phrases(phrases, known)) == [("OF",), ("of  THE report",), ("of the report",)]
+    assert asked == [(["id"], ["of the"]), (["known"], ["none", "of"])]
