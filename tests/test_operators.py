@@ -618,3 +618,41 @@ def test_phrases_do_not_travel_with_their_places(spark, monkeypatch):
     known = spark.createDataFrame([("of the",), ("of The ",)], "phrase string")
     assert rows(checks.matching_phrases(phrases, known)) == [("OF",), ("of  THE report",), ("of the report",)]
     assert asked == [(["id"], ["of the"]), (["known"], ["none", "of"])]
+
+
+def test_repeats_of_a_finding_in_one_row_are_counted_there(spark):
+    """Findings in one row and others, over random lines, against the long form."""
+    random.seed(15)
+    said = ["Narrative:", "Notes:", "Same  words.", "same words.", "One. Two!", "runs on", "see www.x.org.", "", " Other words here? ", "Other, words here?"]
+    long = [(1, n, at, random.choice(said) if at else "Narrative:") for n in range(40) for at in range(random.randrange(1, 30))]
+    lines = spark.createDataFrame(long, "doc_id long, finding_no int, line_no int, line string")
+    findings = spark.range(40).selectExpr("1L as doc_id", "cast(id as int) as finding_no", "'T' as title")
+    rows_of = structure.stretches(lines).withColumn("alone", F.col("finding_no") % 3 > 0)
+    columns = ["doc_id", "pos", "message"]
+    for least in (2, 3):
+        want = rows(checks.finding_repetition(findings, structure.finding_fields(lines), 4, least).select(columns))
+        assert rows(checks.finding_repetition(findings, structure.field_stretches(rows_of), 4, least).select(columns)) == want != []
+    own = checks._repeats_in_row(structure.field_stretches(rows_of.filter("alone")).filter("alone"), 4, 2)
+    assert "hashpartitioning" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_narratives_from_stretches(spark):
+    from redpen.operators import review
+
+    data = [(1, 2, 0, "Narrative:"), (1, 2, 4, "c"), (1, 2, 5, ""), (1, 2, 6, "d"), (1, 1, 1, "Narrative:"), (1, 1, 7, " b"), (1, 1, 9, "Notes:"), (1, 1, 10, "x"), (2, 3, 0, "y")]
+    lines = spark.createDataFrame(data, "doc_id long, finding_no int, line_no int, line string")
+    blocks = spark.createDataFrame([(1, 0, "p", "T", 1)], "doc_id long, block_no int, type string, text string, heading_level int")
+    texts = spark.createDataFrame([(1, "T"), (2, "whole")], "doc_id long, text string")
+    told = review.narratives(blocks, structure.field_stretches(lines), texts)
+    assert rows(told) == rows(review.narratives(blocks, structure.finding_fields(lines), texts)) == [(1, "b\nc d"), (2, "whole")]
+    by_finding = "collect_list(struct(finding_no"
+    assert told._jdf.queryExecution().optimizedPlan().toString().count(by_finding) == 1
+
+
+def test_signs_of_addresses_do_not_hide_any(spark):
+    from redpen.functions import fixed, text as t
+
+    said = ["HTTPS://a", "http:/x", "see WwW.b.c", "10.0.0.1", "1.2.3", "a.b.c.d", "fe80:0:1", "a:b", "ab:cd:ef", "x. y. z. 1.1.1.1", "", "http ://", "www", None]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    plain = F.col("s").rlike(fixed.URL) | F.col("s").rlike(fixed.IPV4) | F.col("s").rlike(fixed.IPV6)
+    assert df.filter(~plain.eqNullSafe(t.has_url_or_ip(F.col("s")))).count() == 0
