@@ -690,3 +690,13 @@ def test_issues_are_judged_where_the_narrative_is(spark):
     found = review.review_diagnostics(responses, told)
     assert rows(found.select("doc_id", "pos")) == [(1, 0), (1, 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_stretches_of_blocks_are_cut_once(spark):
+    kind = "doc_id long, blocks array<struct<block_no:int,type:string,text:string,rows:array<array<string>>>>"
+    data = [(0, "p", "First", None), (1, "tbl", None, [["Threat Level", "High"]]), (2, "p", "said", None), (3, "p", " \t", None), (4, "tbl", None, [["Threat Level"]]), (5, "p", " ", None)]
+    cut = spark.createDataFrame([(1, data)], kind)
+    found = structure.finding_outline(cut)
+    assert rows(found) == [(1, 1, "First", "High", None, 2), (1, 2, "said", None, None, 1)]
+    # the running values read the cut pieces, twice, and the blocks no more
+    assert "blocks" not in found._jdf.queryExecution().analyzed().toString()
