@@ -700,3 +700,28 @@ def test_stretches_of_blocks_are_cut_once(spark):
     assert rows(found) == [(1, 1, "First", "High", None, 2), (1, 2, "said", None, None, 1)]
     # the running values read the cut pieces, twice, and the blocks no more
     assert "blocks" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_among_keys(spark):
+    """None is lost, whatever the type of the keys, and nearly all others are left out."""
+    keys = spark.range(-500, 40_000, 7).select(F.col("id").cast("int").alias("k"))
+    rows_ = spark.range(-1_000, 60_000).selectExpr("id as doc_id", "'x' as text")
+    kept = matching.among(rows_, "doc_id", keys)
+    assert kept.columns == ["doc_id", "text"]
+    got, wanted = [r[0] for r in kept.select("doc_id").collect()], {r[0] for r in keys.collect()}
+    assert wanted <= set(got) and len(set(got)) == len(got) < len(wanted) + 100
+    assert matching.among(rows_, "doc_id", keys.limit(0)).count() == 0
+
+
+def test_texts_without_a_pair_do_not_travel(spark, monkeypatch):
+    from redpen.operators import alignment
+
+    asked, plain = [], matching.among
+    for module in (learning, alignment):
+        monkeypatch.setattr(module, "among", lambda df, column, keys: asked.append(plain(df, column, keys)) or asked[-1])
+    docs = spark.createDataFrame([(i, f"One {i}. Two {i // 2}. Three.") for i in range(20)], "doc_id long, text string")
+    pairs = spark.createDataFrame([("p", "f", 4, 5)], "pair_id string, family string, old_doc long, new_doc long")
+    counts = learning.merge_counts(learning.sentence_counts(docs, pairs))
+    assert rows(counts) == [("one 4.", 1, 0), ("one 5.", 0, 1), ("three.", 1, 1), ("two 2.", 1, 1)]
+    assert rows(alignment.sentence_changes(docs, pairs)) == [("p", "replaced", 0, "One 4.", "One 5.")]
+    assert [sorted(r["doc_id"] for r in df.collect()) for df in asked] == [[4, 5], [4], [5]]
