@@ -725,3 +725,23 @@ def test_texts_without_a_pair_do_not_travel(spark, monkeypatch):
     assert rows(counts) == [("one 4.", 1, 0), ("one 5.", 0, 1), ("three.", 1, 1), ("two 2.", 1, 1)]
     assert rows(alignment.sentence_changes(docs, pairs)) == [("p", "replaced", 0, "One 4.", "One 5.")]
     assert [sorted(r["doc_id"] for r in df.collect()) for df in asked] == [[4, 5], [4], [5]]
+
+
+def test_guides_count_wording_once(spark):
+    from redpen.operators import review
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ngrams = spark.createDataFrame([("of the", 9, 1), ("as is", 8, 0), ("to be", 7, 1)], "phrase string, old long, new long")
+    none = spark.createDataFrame([], "phrase string, votes long")
+    rewrites = spark.createDataFrame([], "from_text string, to_text string, votes long, priority int")
+    ignored = spark.createDataFrame([("AS IS",)], "phrase string")
+    guide = review.guidance(ngrams.mapInArrow(counted, ngrams.schema), none, rewrites, none.withColumnRenamed("phrase", "rule"), ignored_phrases=ignored)
+    said = guide.first()["guidance"]
+    assert "of the, to be" in said and "as is" not in said
+    assert read.value == 3
